@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -22,7 +22,7 @@ def shingle_hashes(words: list[str], size: int, memo: dict[str, int]) -> np.ndar
     """Sorted distinct 64-bit hashes of all runs of ``size`` successive words (empty if too few)."""
     n = len(words) - size + 1
     if n <= 0:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.int64)
     get = memo.get
     ids = np.empty(len(words), np.uint64)
     for k, w in enumerate(words):
@@ -36,7 +36,8 @@ def shingle_hashes(words: list[str], size: int, memo: dict[str, int]) -> np.ndar
         mixed ^= mixed >> np.uint64(29)
     mixed *= _MULT[5]
     mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    # as signed numbers in the order of the unsigned ones, as Spark has no other
+    return (np.unique(mixed) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
@@ -57,20 +58,14 @@ def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
                 docs.append(doc)
                 cls.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
                 counts.append(len(found))
-                signed = found.view(np.int64)
-                sketches.append(signed[:k])
-                sets.append(signed)
+                sketches.append(found[:k])
+                sets.append(found)
             as_list = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cls, pa.string()), pa.array(counts, pa.int32()), as_list(sketches), as_list(sets)], ["doc", "cls", "n", "sketch", "shingles"])
 
     return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc long, cls string, n int, sketch array<long>, shingles array<long>")
 
 
-def _unsigned(value: Column) -> Column:
-    """Order of the unsigned value: the sketches are the smallest hashes taken as unsigned."""
-    return value.bitwiseXOR(F.lit(-(2**63)))
-
-
 class NearDuplicates:
     """Classes of equal shingle sets, and all links between classes with Jaccard of at least ``threshold``.
 
@@ -80,9 +75,9 @@ class NearDuplicates:
     at k (a link at the threshold is lost with a probability below 1e-4, and links above it
     far more rarely).  Candidates come from inverted lists: a pair must share at least
     o = ceil((threshold - slack) * retained) values, so each text is entered only under its
-    retained - o + 1 rarest values.  A value that all pages of a site share is rare for no text
+    retained - o + c rarest values, of which a partner must share c = min(o, ``shared``).  A value that all pages of a site share is rare for no text
     but those that hold little else.  Lists longer than ``list_limit`` are split by a second
-    value, which o >= 2 allows without loss (texts with o < 2 are entered under both).
+    value, which c >= 2 allows without loss (texts with c < 2 are entered under both).
     The last step compares the whole shingle sets, so no false link remains.
 
     ``members``: doc, cls (the text's class id, its smallest doc), one row per document.
@@ -91,8 +86,8 @@ class NearDuplicates:
     count once; of different texts under one id the one with the smallest class digest counts.
     """
 
-    def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 64, list_limit: int = 400) -> None:
-        self.k, self.threshold, self.list_limit = k, threshold, list_limit
+    def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 64, list_limit: int = 400, shared: int = 4) -> None:
+        self.k, self.threshold, self.list_limit, self.shared = k, threshold, list_limit, shared
         self.slack = 4 * math.sqrt(threshold * (1 - threshold) / k)
         table = written(shingled(pages, id_col, text_col, size, k), "shingled")
         one = table.groupBy("doc").agg(F.min("cls").alias("digest"))
@@ -109,36 +104,40 @@ class NearDuplicates:
         return self._links
 
     def _postings(self, slim: DataFrame) -> DataFrame:
-        """(value, rep): each text under its rarest retained values."""
+        """(key, second, rep, least): each text under its rarest retained values; ``least`` is
+        how many of them a partner must share at least."""
         low = self.threshold - self.slack
         entries = slim.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
         shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
         need = F.greatest(F.ceil(F.col("m") * F.lit(low)), F.lit(1)).cast("int")
+        least = F.least(need, F.lit(self.shared))
         # values of one text only fill the prefix first; they lead to no pair
         ranked = entries.join(shared, "value").groupBy("rep", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most k entries
-        room = (F.size("v") - need + 1).alias("room")
-        kept = ranked.select("rep", need.alias("need"), room, "v").where("room > 0")
-        # one more value than the prefix is at hand for splitting long lists
-        split = kept.select("rep", "need", "room", F.col("v"), F.posexplode(F.slice("v", F.lit(1), F.col("room"))).alias("at", "x"))
+        kept = ranked.select("rep", least.alias("least"), (F.size("v") - need + least).alias("room"), "v").where("room > 0 AND size(v) >= least")
+        split = kept.select("rep", "least", "room", "v", F.posexplode(F.slice("v", F.lit(1), F.col("room"))).alias("at", "x"))
         hot = F.col("x.df") > self.list_limit
-        # texts of one or two values (need = 1) can share a single one, so they stay under it too
-        single = split.where(~hot | (F.col("need") < 2)).select(F.col("x.value").alias("key"), F.lit(0).cast("long").alias("second"), "rep")
-        double = split.where(hot).select(F.col("x.value").alias("key"), F.explode(F.transform(F.slice("v", F.col("at") + 2, F.col("room") - F.col("at")), lambda y: y["value"])).alias("second"), "rep")
+        # texts that may share a single value (least = 1) stay under it too
+        single = split.where(~hot | (F.col("least") < 2)).select(F.col("x.value").alias("key"), F.lit(None).cast("long").alias("second"), "rep", "least")
+        double = split.where(hot).select(F.col("x.value").alias("key"), F.explode(F.transform(F.slice("v", F.col("at") + 2, F.col("room") - F.col("at")), lambda y: y["value"])).alias("second"), "rep", "least")
         return single.unionByName(double)
 
+    def _candidates(self, postings: DataFrame) -> DataFrame:
+        """Pairs that share enough values: a pair of values of a long list, or ``least`` single
+        ones, one less where the last shared value may be a frequent one."""
+        a, b = postings.select("key", "second", F.col("rep").alias("a"), F.col("least").alias("la")), postings.select("key", "second", F.col("rep").alias("b"), F.col("least").alias("lb"))
+        met = a.join(b, (a["key"] == b["key"]) & a["second"].eqNullSafe(b["second"]) & (F.col("a") < F.col("b"))).select("a", "b", F.least("la", "lb").alias("least"), F.when(a["second"].isNull(), 1).otherwise(self.shared).alias("one"))
+        return met.groupBy("a", "b").agg(F.sum("one").alias("shared"), F.min("least").alias("least")).where(F.col("shared") >= F.greatest(F.col("least") - 1, F.lit(1))).select("a", "b")
+
     def _find(self) -> DataFrame:
         slim = written(self.reps.select("rep", "n", "sketch"), "sketches")
-        postings = written(self._postings(slim), "postings")
-        a, b = postings.withColumnRenamed("rep", "a"), postings.withColumnRenamed("rep", "b")
-        pairs = a.join(b, ["key", "second"]).where("a < b").select("a", "b").distinct()
+        pairs = self._candidates(written(self._postings(slim), "postings"))
         left = slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sized = F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb")
         both = pairs.join(left, "a").join(right, "b").where(sized)
-        union = F.array_sort(F.transform(F.array_union("sa", "sb"), _unsigned))
-        width = F.least(F.size(union), F.lit(self.k))
-        common = F.size(F.filter(F.transform(F.array_intersect("sa", "sb"), _unsigned), lambda x: x <= F.element_at(union, width)))
-        likely = written(both.where(common >= F.lit(self.threshold - self.slack) * width).select("a", "b"), "likely")
+        seen = both.select("a", "b", F.array_intersect("sa", "sb").alias("common"), F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.k).alias("union"))
+        inside = F.size(F.filter("common", lambda x: x <= F.element_at("union", -1)))
+        likely = written(seen.where(inside >= F.lit(self.threshold - self.slack) * F.size("union")).select("a", "b"), "likely")
         sets = self.reps.select("rep", "n", "shingles")
         whole = likely.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         counted = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
