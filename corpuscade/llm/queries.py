@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leximin, neardup, repeated_lines
+from . import leakage, leximin, neardup, packing, repeated_lines, sentences
 
 SCORES = ("dense_score", "sparse_score", "rerank_score")
 
@@ -51,8 +51,29 @@ def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(table(spark, d, "extracted_pages"), 10)
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every text of documents in containers of each capacity."""
+    windows = [(r["window_id"], r["capacity_tokens"]) for r in table(spark, d, "context_windows").where("capacity_tokens > 0").distinct().collect()]  # a fixed table of three rows
+    return packing.pack(packing.sized(table(spark, d, "documents")), windows).withColumnRenamed("doc", "doc_id")
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every document that holds twelve successive words of an item."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_extent(spark: SparkSession, d: str) -> DataFrame:
+    """The same with the longest run of shared words."""
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """The sentences of every text."""
+    return sentences.sentences(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
+    return {"p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
 
 
 _SITE_LINES = r"""
@@ -68,6 +89,12 @@ _SITE_LINES = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p9_found": r"""
+            WITH words AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM documents WHERE text IS NOT NULL),
+            grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM words),
+            iwords AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM eval_items),
+            igrams AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM iwords)
+            SELECT DISTINCT doc_id, item_id FROM grams JOIN igrams USING (g)""",
         "p3_found": """
             WITH one AS (SELECT query_id, chunk_id,
                 max(CASE WHEN isnan(dense_score) THEN NULL ELSE dense_score END) AS a,
