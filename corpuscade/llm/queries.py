@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, leximin, neardup, packing, repeated_lines, sentences
+from . import leakage, leximin, neardup, packing, repeated_lines, sentences, similar
 
 SCORES = ("dense_score", "sparse_score", "rerank_score")
 
@@ -14,6 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of chunks of which one is among the other's five most similar."""
+    found = similar.SimilarVectors(table(spark, d, "chunks"), "chunk_no", "embedding", 128).neighbours()
+    return found.select(F.least("id", "neighbour").alias("chunk_a"), F.greatest("id", "neighbour").alias("chunk_b")).distinct()
+
+
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar chunks of every chunk, in order."""
+    found = similar.SimilarVectors(table(spark, d, "chunks"), "chunk_no", "embedding", 128).neighbours()
+    return found.select(F.col("id").alias("chunk_no"), F.col("neighbour").alias("similar_no"), F.round("cos", 4).alias("cosine"), "place")
+
+
 def _near_duplicates(spark: SparkSession, d: str) -> neardup.NearDuplicates:
     return neardup.NearDuplicates(table(spark, d, "extracted_pages"), "page_id", "text", size=3, threshold=0.6)
 
@@ -73,7 +85,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
 
 
 _SITE_LINES = r"""
