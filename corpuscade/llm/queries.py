@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, leximin, neardup, packing, repeated_lines, sentences, similar
+from . import boilerplate, leakage, leximin, neardup, packing, repeated_lines, sentences, similar
 
 SCORES = ("dense_score", "sparse_score", "rerank_score")
 
@@ -46,6 +46,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.leximin_top(table(spark, d, "search_results"), "query_id", "chunk_id", SCORES, 3).select("query_id", "chunk_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The lines that aren't main body."""
+    return boilerplate.boilerplate_lines(table(spark, d, "raw_pages"), table(spark, d, "extracted_pages")).where("boilerplate").select("page_id", "line_no")
+
+
+def p4_body(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every page."""
+    return boilerplate.main_body(table(spark, d, "raw_pages"), table(spark, d, "extracted_pages"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that stand on ten or more pages of their host."""
     lines = repeated_lines.site_lines(table(spark, d, "extracted_pages"))
@@ -85,7 +95,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_body": p4_body, "p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
 
 
 _SITE_LINES = r"""
