@@ -86,7 +86,7 @@ class NearDuplicates:
     count once; of different texts under one id the one with the smallest class digest counts.
     """
 
-    def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 64, list_limit: int = 400, shared: int = 4) -> None:
+    def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 192, list_limit: int = 400, shared: int = 8) -> None:
         self.k, self.threshold, self.list_limit, self.shared = k, threshold, list_limit, shared
         self.slack = 4 * math.sqrt(threshold * (1 - threshold) / k)
         table = written(shingled(pages, id_col, text_col, size, k), "shingled")
