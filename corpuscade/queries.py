@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from .functions.urls import canonical_url_col
 from .operators import capture, compaction
+from .plans import lexical, retrieval
 from .session import work_path
 
+PLANS = (lexical, retrieval)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -90,11 +93,14 @@ def p7_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_unique": p7_unique}
+    own = {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_unique": p7_unique}
+    for plan in PLANS:
+        own |= plan.QUERIES
+    return own
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    own = {
         "p5_found": """
             WITH last AS (
               SELECT url, page_id, sha256(coalesce(html, '')) AS h,
@@ -107,3 +113,6 @@ def oracle_sql() -> dict[str, str]:
             SELECT l.page_id FROM last l LEFT JOIN stored s ON l.url IS NOT DISTINCT FROM s.url AND s.n = 1
             WHERE l.n = 1 AND (s.n IS NULL OR s.status IS DISTINCT FROM 'active' OR s.h IS DISTINCT FROM l.h)""",
     }
+    for plan in PLANS:
+        own |= plan.SQL
+    return own
