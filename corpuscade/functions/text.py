@@ -38,7 +38,7 @@ def first_line_col(text: Column) -> Column:
 
 
 def snippet_col(text: Column, limit: int = 1800) -> Column:
-    return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit)), F.lit("..."))).otherwise(text)
+    return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
 def url_label_col(url: Column, limit: int = 56) -> Column:

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions.urls import canonical_url_col
 from .operators import capture, compaction
-from .plans import lexical, retrieval
+from .plans import answers, documents, lexical, retrieval
 from .session import work_path
 
-PLANS = (lexical, retrieval)
+PLANS = (lexical, retrieval, documents, answers)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
