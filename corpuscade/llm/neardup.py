@@ -135,9 +135,20 @@ class NearDuplicates:
         right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
         sized = F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb")
         both = pairs.join(left, "a").join(right, "b").where(sized)
-        seen = both.select("a", "b", F.array_intersect("sa", "sb").alias("common"), F.slice(F.sort_array(F.array_union("sa", "sb")), 1, self.k).alias("union"))
-        inside = F.size(F.filter("common", lambda x: x <= F.element_at("union", -1)))
-        likely = written(seen.where(inside >= F.lit(self.threshold - self.slack) * F.size("union")).select("a", "b"), "likely")
+        k, low = self.k, self.threshold - self.slack
+
+        def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                (x, xs), (y, ys) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column("sa"), batch.column("sb")))
+                keep = []
+                for n in range(batch.num_rows):
+                    both = np.sort(np.concatenate([x[xs[n] : xs[n + 1]], y[ys[n] : ys[n + 1]]]))
+                    twice = both[1:] == both[:-1]
+                    union = both[np.concatenate([[True], ~twice])][:k]
+                    keep.append(int((twice & (both[1:] <= union[-1])).sum()) >= low * len(union))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+        likely = written(both.select("a", "b", "sa", "sb").mapInArrow(estimated, "a long, b long"), "likely")
         sets = self.reps.select("rep", "n", "shingles")
         whole = likely.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         counted = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
