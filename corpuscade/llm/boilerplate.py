@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import host_col
 from .boilerplate_labels import LABELLED
-from .repeated_lines import distinct_docs, line_key
+from .repeated_lines import distinct_docs, site_lines
 
 #: The features in the order of the labelled table and of the tree.
 FEATURES = ("words", "links", "prev_words", "prev_links", "next_words", "next_links", "beside_title", "marked", "after_title", "pages", "names_site")
@@ -221,7 +221,7 @@ def line_features(raw: DataFrame, extracted: DataFrame) -> DataFrame:
 
     schema = "page_id long, line_no int, words int, links float, prev_words int, prev_links float, next_words int, next_links float, beside_title int, marked int, after_title int, names_site int"
     own = texts.join(markup, "page_id", "left").select("page_id", "lines", "blocks").mapInArrow(rows, schema)
-    keyed = extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long").alias("doc"), F.coalesce(host_col(F.col("url")), F.lit("")).alias("site"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).select("site", "doc", "line_no", line_key(F.col("line")).alias("key")).where("key IS NOT NULL")
+    keyed = site_lines(extracted.withColumn("page_id", F.col("page_id").cast("long")))
     often = distinct_docs(keyed, ["site", "key"]).where("docs > 1")
     spread = keyed.join(often, ["site", "key"]).groupBy(F.col("doc").alias("page_id"), "line_no").agg(F.max("docs").alias("pages"))
     return own.join(spread, ["page_id", "line_no"], "left").withColumn("pages", F.coalesce("pages", F.lit(1)).cast("int"))
