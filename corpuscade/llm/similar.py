@@ -114,7 +114,9 @@ class SimilarVectors:
         return flagged.mapInArrow(rows, "dir int, proj float, rep long, query boolean, tail binary")
 
     def _candidates(self, queries: DataFrame | None, number: int) -> DataFrame:
-        """Pairs ``a < b`` with enough collisions, of the given queries in round ``number``."""
+        """Pairs (query a, other b) with enough collisions, of the given queries in round
+        ``number``; where every vector is a query (None), ``a < b``, each pair once."""
+        both_ways = queries is None
         threshold, reach, segment, wide, t = self.thresholds[number], 1 << number, self.segment, self.directions > 65536, min(self.tail, self.directions)
         ordered = self._postings(queries).repartitionByRange("dir", "proj", "rep").sortWithinPartitions("dir", "proj", "rep")
 
@@ -130,7 +132,7 @@ class SimilarVectors:
                 before = np.arange(t) < (q["tail"][row] == q["dir"]).argmax(axis=1)[:, None]
                 again = ((q["tail"][row][:, :, None] == d["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
                 x, y = q["rep"][row[~again]], d["rep"][col[~again]]
-                out.append((np.minimum(x, y), np.maximum(x, y)))
+                out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             recent: list[dict] = []
@@ -180,29 +182,44 @@ class SimilarVectors:
 
         return ordered.mapInArrow(rows, "a long, b long").distinct()
 
-    def _verified(self, pairs: DataFrame) -> DataFrame:
-        """``a, b, cos`` of the pairs."""
+    def _verified(self, pairs: DataFrame, least: float, queries: DataFrame | None) -> DataFrame:
+        """``a, b, cos`` of the pairs whose cosine is at least ``least``.
+
+        The queries' vectors are joined first: a query's vector is then repeated over its pairs
+        in order, which compresses well when the pairs move on to the others' vectors.
+        """
         dim = self.dim
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 cos = np.einsum("ij,ij->i", unpack(batch.column(2), dim), unpack(batch.column(3), dim)).astype(np.float64) if batch.num_rows else np.empty(0)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], ["a", "b", "cos"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cos)], ["a", "b", "cos"]).filter(pa.array(cos >= least))
 
-        left, right = self.vectors.select(F.col("rep").alias("a"), F.col("vec").alias("x")), self.vectors.select(F.col("rep").alias("b"), F.col("vec").alias("y"))
+        asked = self.vectors if queries is None else self.vectors.join(queries, "rep", "left_semi")
+        left, right = asked.select(F.col("rep").alias("a"), F.col("vec").alias("x")), self.vectors.select(F.col("rep").alias("b"), F.col("vec").alias("y"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(rows, "a long, b long, cos double")
 
-    def links(self) -> DataFrame:
-        """All verified pairs of classes, ``a < b`` and their cosine, each once."""
-        found, queries = None, None
-        for number in range(len(self.thresholds)):
-            own = written(self._verified(self._candidates(queries, number)), "verified")
+    def near(self) -> DataFrame:
+        """``rep, other, cos``: verified neighbours of every class, at least the k nearest found.
+
+        A round yields the pairs within its radius only; a query that isn't content with those
+        is asked again with a lower threshold, which finds the same pairs and more.  The last
+        round yields the k nearest of whatever it verified.
+        """
+        found, queries, last = None, None, len(self.thresholds) - 1
+        for number in range(last + 1):
+            pairs = written(self._verified(self._candidates(queries, number), self.radii[number] if number < last else -2.0, queries), "pairs")
+            own = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cos")
+            if queries is None:
+                own = own.unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other"), "cos"))
+            if number == last:
+                own = top_k_per_group(own, ["rep"], [F.desc("cos"), F.asc("other")], self.k)
             found = own if found is None else found.unionByName(own)
-            if number + 1 == len(self.thresholds):
+            if number == last:
                 break
-            near = found.where(F.col("cos") >= self.radii[number]).distinct().select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n")).where(F.col("n") >= self.k)
+            content = found.where(F.col("cos") >= self.radii[number]).groupBy("rep").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= self.k)
             asked = self.classes.where("id = rep").select("rep") if queries is None else queries
-            queries = written(asked.join(near, "rep", "left_anti").select("rep"), "queries")
+            queries = written(asked.join(content, "rep", "left_anti").select("rep"), "queries")
             if queries.isEmpty():
                 break
         return found.distinct()
@@ -211,9 +228,7 @@ class SimilarVectors:
         """``id, neighbour, cos, place``: the k most similar other ids of every id (fewer where
         fewer were found), ties in the order of the ids; copies come first with cosine 1."""
         k = self.k
-        links = self.links()
-        both = links.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cos").unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other"), "cos"))
-        near = top_k_per_group(both, ["rep"], [F.desc("cos"), F.asc("other")], k)
+        near = top_k_per_group(self.near(), ["rep"], [F.desc("cos"), F.asc("other")], k)
         members = top_k_per_group(self.classes.select("rep", "id"), ["rep"], [F.asc("id")], k + 1)
         others = near.join(members.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other").select("rep", "neighbour", "cos")
         same = members.select("rep", F.col("id").alias("neighbour"), F.lit(1.0).alias("cos"))
