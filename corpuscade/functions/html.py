@@ -19,6 +19,7 @@ _SPACE = re.compile(r"\s+")
 # Elements without content, elements an opening tag closes, elements sections leave out.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
+CLOSED_BY |= {tag: {"p"} for tag in "address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 DROPPED = frozenset("script style noscript svg header footer nav aside form".split())
 SECTION_LINES = frozenset("h1 h2 h3 h4 p li".split())
 PROFILE_MARK = "profile"

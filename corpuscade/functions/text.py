@@ -33,7 +33,7 @@ def token_estimate_col(text: Column) -> Column:
 
 def first_line_col(text: Column) -> Column:
     """First line that isn't blank, without outer quotes and backticks, white space squeezed."""
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"(?U)\S"))
     return squeezed_col(F.regexp_replace(F.trim(F.get(lines, F.lit(0))), "^[\"'`]+|[\"'`]+$", ""))
 
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions.urls import canonical_url_col
 from .operators import capture, compaction
-from .plans import answers, documents, graph, lexical, retrieval
+from .plans import answers, documents, graph, lexical, monitor, retrieval, tables
 from .session import work_path
 
-PLANS = (lexical, retrieval, documents, answers, graph)
+PLANS = (lexical, retrieval, documents, answers, graph, tables, monitor)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
