@@ -293,5 +293,5 @@ def main_body(raw: DataFrame, extracted: DataFrame) -> DataFrame:
     gone = boilerplate_lines(raw, extracted).groupBy("page_id").agg(F.collect_set(F.when(F.col("boilerplate"), F.col("line_no"))).alias("gone"))  # one page's lines
     unique = extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "text").dropDuplicates(["page_id"])
     numbered = F.transform(F.split("text", "\n"), lambda line, n: F.struct(n.alias("n"), line.alias("line")))
-    kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["n"]) & (F.trim(x["line"]) != ""))
+    kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["n"]) & x["line"].rlike(r"(?U)\S"))
     return unique.join(gone, "page_id", "left").select("page_id", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))

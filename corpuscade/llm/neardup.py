@@ -198,4 +198,5 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-    return now.groupBy(F.col("u").alias("cls")).agg(F.min("v").alias("root"))
+    both = now.select(F.col("u").alias("cls"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("cls"), F.col("v").alias("root")))
+    return both.groupBy("cls").agg(F.min("root").alias("root"))

@@ -151,13 +151,12 @@ def _best_pair(sizes: _Sizes, room: int, without: int) -> int:
     high = bisect.bisect_right(order, room) - 1
     have = lambda s: sizes.left[s] - (s == without)
     while low <= high:
-        total = order[low] + order[high]
-        if total > room:
+        if order[low] + order[high] > room or have(order[high]) <= 0:
             high -= 1
-            continue
-        if have(order[low]) > 0 and have(order[high]) > 0 and (low != high or have(order[low]) > 1):
-            best = max(best, total)
-        low += 1
+        else:
+            if have(order[low]) > (low == high):
+                best = max(best, order[low] + order[high])
+            low += 1
     return best
 
 
