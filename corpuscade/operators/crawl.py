@@ -32,6 +32,24 @@ def scope_col(url: Column, base_domain: Column, allowed_subdomains: Column | Non
     return host
 
 
+SCOPE = "allowed_subdomains array<string>, allowed_paths array<string>, outside_depth int, max_depth int, lang string"
+
+
+def scopes_of(tenants: DataFrame, config: str = "config") -> DataFrame:
+    """Tenants with ``scope``, read from their JSON settings; missing settings and unreadable ones
+    give empty lists and no hop outside."""
+    raw = F.from_json(F.col(config), SCOPE)
+    none = F.array().cast("array<string>")
+    return tenants.withColumn("scope", F.struct(F.coalesce(raw["allowed_subdomains"], none).alias("allowed_subdomains"), F.coalesce(raw["allowed_paths"], none).alias("allowed_paths"), F.coalesce(raw["outside_depth"], F.lit(0)).alias("outside_depth"), raw["max_depth"].alias("max_depth")))
+
+
+def patched_config_col(config: Column, patch: dict[str, str]) -> Column:
+    """JSON settings of plain values with some of them set; null counts as no settings."""
+    old = F.coalesce(F.from_json(config, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, v: ~k.isin(*patch))
+    return F.to_json(F.map_concat(kept, F.create_map(*[F.lit(x) for kv in sorted(patch.items()) for x in kv])))
+
+
 def seed_urls(scopes: DataFrame) -> DataFrame:
     """``url``: every host with every path of a scope (``hosts``, ``paths``), https, without repeats."""
     paths = F.when(F.size("paths") > 0, F.col("paths")).otherwise(F.array(F.lit("/")))

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-
 
 def reciprocal_rank(rank: Column, k: int = 60) -> Column:
     return F.coalesce(F.lit(1.0) / (F.lit(k) + rank), F.lit(0.0))
@@ -46,5 +44,10 @@ def neighbour_context(chunks: DataFrame, reach: int = 1, document: str = "docume
     return chunks.select(*columns).join(merged, [document, position], "left").withColumn("context", F.coalesce("context", F.lit("")))
 
 
-def stored_scores(df: DataFrame, tag: str) -> DataFrame:
-    return written(df, tag)
+def blended_rerank(scored: DataFrame, group: str = "query_id", model: str = "model_score", heuristic: str = "heuristic_score", weight: float = 0.8) -> DataFrame:
+    """Add ``rerank``: a model's scores and the heuristic's, blended.  A model's scores of a group
+    that don't all lie between 0 and 1 go through a sigmoid first."""
+    edges = scored.groupBy(group).agg(F.min(model).alias("__lo"), F.max(model).alias("__hi"))
+    bounded = (F.col("__lo") >= 0) & (F.col("__hi") <= 1)
+    value = F.when(bounded, F.col(model)).otherwise(1 / (1 + F.exp(-F.col(model))))
+    return scored.join(edges, group).withColumn("rerank", weight * value + (1 - weight) * F.col(heuristic)).drop("__lo", "__hi")

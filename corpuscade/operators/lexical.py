@@ -15,6 +15,15 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col), F.explode(tokens_col(F.col(text_col))).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
+def weighted_postings(docs: DataFrame, id_col: str, fields: dict[str, float]) -> DataFrame:
+    """``id, term, weight``: term frequencies over several text columns, each with its weight."""
+    parts = [docs.select(F.col(id_col), F.explode(tokens_col(F.col(c))).alias("term"), F.lit(w).alias("w")) for c, w in fields.items()]
+    every = parts[0]
+    for more in parts[1:]:
+        every = every.unionByName(more)
+    return every.groupBy(id_col, "term").agg(F.sum("w").alias("weight"))
+
+
 def lengths(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, dl``: tokens of every document, 0 for null texts."""
     return docs.select(F.col(id_col), F.size(tokens_col(F.col(text_col))).alias("dl"))

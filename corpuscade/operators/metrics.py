@@ -29,6 +29,27 @@ def percentile_report(events: DataFrame, group: str, value: str, points: tuple[f
     return events.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c")).groupBy(group).agg(F.sum("c").alias("events"), *exprs)
 
 
+def citation_accuracy(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``query_id, cited, supported``: cited sentences and those that stand in the text they cite.
+
+    ``answers``: query_id, source, sentence; ``evidence``: query_id, source, snippet.  White space
+    and case don't count; a citation of an unknown source isn't supported.
+    """
+    from ..functions.text import squeezed_col
+
+    told = answers.join(evidence.select("query_id", "source", "snippet"), ["query_id", "source"], "left")
+    stands = F.coalesce(F.contains(F.lower("snippet"), F.lower(squeezed_col(F.col("sentence")))), F.lit(False))
+    return told.groupBy("query_id").agg(F.count("*").alias("cited"), F.count_if(stands).alias("supported"))
+
+
+def unsupported_values(answers: DataFrame, evidence: DataFrame) -> DataFrame:
+    """``query_id, value``: numbers of an answer that stand in none of its evidence."""
+    number = F.lit(r"(\d+(?:[.,]\d+)*)")
+    said = answers.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.regexp_replace("answer", r"(?i)\[source\s+\d+\]", ""), number, F.lit(1)))).alias("value"))
+    known = evidence.select("query_id", F.explode(F.regexp_extract_all("snippet", number, F.lit(1))).alias("value")).distinct()
+    return said.join(known, ["query_id", "value"], "left_anti")
+
+
 def never_retrieved(chunks: DataFrame, results: DataFrame, key: str = "chunk_id") -> DataFrame:
     return chunks.select(key).distinct().join(results.select(key).distinct(), key, "left_anti")
 
@@ -44,6 +65,10 @@ def tenant_mismatches(children: DataFrame, parents: DataFrame, key: str, tenant:
     return known.where(~F.array_contains("__tenants", F.col(tenant))).drop("__tenants")
 
 
+def slow_events(events: DataFrame, duration: str, threshold: float) -> DataFrame:
+    return events.where(F.col(duration) > threshold)
+
+
 def throughput(events: DataFrame, width: str, ts: str = "ts", group: str | None = None) -> DataFrame:
     """``window_start, events`` by tumbling windows."""
     keys = [F.window(ts, width).alias("w"), *([F.col(group)] if group else [])]

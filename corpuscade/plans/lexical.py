@@ -65,12 +65,19 @@ def embedding_inputs(spark: SparkSession, d: str) -> DataFrame:
     return chunks.select("chunk_id", F.sha2(fn.embedding_input_col(F.col("heading_trail"), F.col("text")), 256).alias("content_hash"))
 
 
-QUERIES = {f.__name__: f for f in (tokenize_terms, bm25_doc_freq, bm25_corpus_stats, bm25_idf, bm25_search_topk, hash_embedding, token_estimate, heuristic_rerank, process_intent, embedding_inputs)}
+def weighted_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of headings (weight 1) and texts (weight 0.4) of the chunks."""
+    return lexical.weighted_postings(chunk_table(spark, d), "chunk_id", {"heading": 1.0, "text": 0.4}).select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+
+
+QUERIES = {f.__name__: f for f in (weighted_terms, tokenize_terms, bm25_doc_freq, bm25_corpus_stats, bm25_idf, bm25_search_topk, hash_embedding, token_estimate, heuristic_rerank, process_intent, embedding_inputs)}
 
 _POSTINGS = f"SELECT doc_id, t AS term, count(*) AS tf FROM (SELECT doc_id, unnest({tokens_sql('text')}) AS t FROM documents) GROUP BY ALL"
 _STATS = f"SELECT count(*) AS n, coalesce(avg(len({tokens_sql('text')})), 0) AS avgdl FROM documents"
 
 SQL = {
+    "weighted_terms": f"""WITH c AS ({CHUNKS}), p AS (SELECT chunk_id, unnest({tokens_sql('heading')}) AS term, 1.0 AS w FROM c UNION ALL SELECT chunk_id, unnest({tokens_sql('text')}), 0.4 FROM c)
+        SELECT chunk_id, term, round(sum(w)::DOUBLE, 6) AS weight FROM p GROUP BY ALL""",
     "tokenize_terms": _POSTINGS,
     "bm25_doc_freq": f"SELECT term, count(*) AS df FROM ({_POSTINGS}) GROUP BY term",
     "bm25_corpus_stats": f"SELECT n, round(avgdl, 6) AS avgdl FROM ({_STATS})",

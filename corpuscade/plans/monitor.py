@@ -81,11 +81,32 @@ def recrawl_schedule(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("document_id", F.date_add(F.col("last_crawled").cast("date"), days).cast("string").alias("due"))
 
 
-QUERIES = {f.__name__: f for f in (eval_retrieval_metrics, latency_percentiles, throughput, autoscaler_trace, never_retrieved, stale_content, stalest_content, tenant_isolation, metadata_filter, purge_expired, recrawl_schedule)}
+def slow_events(spark: SparkSession, d: str) -> DataFrame:
+    return metrics.slow_events(table(spark, d, "events"), "value", 100.0).select("event_id", "value")
+
+
+def top_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The twenty questions with most results (a report)."""
+    asked = table(spark, d, "search_results").select("query_id", "query_text", "chunk_id").distinct().groupBy("query_text").agg(F.countDistinct("query_id").alias("asked"), F.count("*").alias("results"))
+    return asked.orderBy(F.desc("asked"), F.desc("results"), F.asc("query_text")).limit(20)
+
+
+def citation_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Of the extractive answers: sentences cited and those found in the evidence of the same number."""
+    from ..operators import answers
+    from .answers import _results
+
+    results = _results(spark, d)
+    return metrics.citation_accuracy(answers.extractive_answers(results), answers.evidence(results))
+
+
+QUERIES = {f.__name__: f for f in (slow_events, top_queries, citation_accuracy, eval_retrieval_metrics, latency_percentiles, throughput, autoscaler_trace, never_retrieved, stale_content, stalest_content, tenant_isolation, metadata_filter, purge_expired, recrawl_schedule)}
 
 _HOURLY = "h AS (SELECT event_type, date_trunc('hour', ts) AS w, count(*) AS events FROM events GROUP BY ALL)"
 
 SQL = {
+    "slow_events": "SELECT event_id, value FROM events WHERE value > 100.0",
+    "top_queries": "SELECT query_text, count(DISTINCT query_id) AS asked, count(*) AS results FROM (SELECT DISTINCT query_id, query_text, chunk_id FROM search_results) GROUP BY query_text ORDER BY asked DESC, results DESC, query_text LIMIT 20",
     "eval_retrieval_metrics": """
         WITH s AS (SELECT query_id, chunk_id, max(CASE WHEN NOT isnan(dense_score) THEN dense_score END) AS d, max(CASE WHEN NOT isnan(rerank_score) THEN rerank_score END) AS r FROM search_results GROUP BY ALL),
         gold AS (SELECT query_id, chunk_id FROM s WHERE r IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r DESC, chunk_id) <= 3),

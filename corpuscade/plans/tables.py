@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import crawl, tables
+from ..operators.frontier import Frontier
 from .common import table
 
 
@@ -144,7 +145,23 @@ def rolling_sessions(spark: SparkSession, d: str) -> DataFrame:
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").cast("string").alias("first_seen"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("string").alias("expires_at"))
 
 
-QUERIES = {f.__name__: f for f in (change_detect, upsert_outcomes, upsert_documents, ingest_report, replace_chunks, vector_upsert, cascade_delete, embedding_cache_split, skip_reasons, scope_filter, subtree_urls, audit_requeue, min_depth, domain_roots, crawl_counters, rolling_sessions)}
+def scope_config(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of every university, and the same with one of them set."""
+    scoped = crawl.scopes_of(table(spark, d, "universities"))
+    return scoped.select("university_id", F.col("scope.max_depth").alias("max_depth"), F.col("scope.outside_depth").alias("outside_depth"), F.from_json(crawl.patched_config_col(F.col("config"), {"max_depth": "9"}), "max_depth string")["max_depth"].cast("int").alias("patched"))
+
+
+def crawl_frontier(spark: SparkSession, d: str) -> DataFrame:
+    """A crawl of the link graph from every fetched page below /news, three levels deep, html only."""
+    from ..session import work_path
+    from .graph import page_edges
+
+    edges = page_edges(spark, d).select("source", "target")
+    roots = edges.where(urls.path_col(F.col("source")).startswith("/news")).select(F.col("source").alias("url")).distinct()
+    return Frontier(spark, work_path(spark, "frontier")).run(roots, edges, lambda c: c.where(~urls.skipped_url_col(F.col("url"))), max_depth=3)
+
+
+QUERIES = {f.__name__: f for f in (scope_config, crawl_frontier, change_detect, upsert_outcomes, upsert_documents, ingest_report, replace_chunks, vector_upsert, cascade_delete, embedding_cache_split, skip_reasons, scope_filter, subtree_urls, audit_requeue, min_depth, domain_roots, crawl_counters, rolling_sessions)}
 
 _STORED = "stored AS (SELECT * FROM indexed_documents QUALIFY row_number() OVER (PARTITION BY university_id, url ORDER BY last_crawled DESC, status DESC, content_hash DESC, document_id DESC) = 1)"
 _FETCHED = "fetched AS (SELECT university_id, url, sha256(coalesce(html, '')) AS content_hash, fetched_at FROM raw_pages WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY university_id, url ORDER BY fetched_at DESC, ingested_at DESC, page_id DESC) = 1)"
@@ -157,6 +174,13 @@ _URL_HOST = _HOST.format("url")
 _URL_PATH = _PATH.format("url")
 
 SQL = {
+    "scope_config": "SELECT university_id, (config->>'max_depth')::INT AS max_depth, 0 AS outside_depth, 9 AS patched FROM universities",
+    "crawl_frontier": r"""WITH RECURSIVE pages AS (SELECT DISTINCT url, html FROM raw_pages WHERE status_code = 200),
+        hrefs AS (SELECT url, unnest(regexp_extract_all(html, '<a href=["'']([^"'']*)["'']', 1)) AS h FROM pages),
+        edges AS (SELECT DISTINCT url AS source, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/]*') || h WHEN h LIKE '#%' THEN regexp_replace(url, '#.*$', '') ELSE h END AS target FROM hrefs),
+        walk AS (SELECT DISTINCT source AS url, 0 AS depth FROM edges WHERE regexp_matches(source, '^https?://[^/]+/news') UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = url
+          WHERE depth < 3 AND NOT regexp_matches(target, '(?i)\.(pdf|zip|doc|docx|xls|xlsx|ppt|pptx|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|dmg|exe)$'))
+        SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     "change_detect": f"WITH {_STORED}, {_FETCHED} SELECT university_id, url, content_hash FROM fetched f WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.status = 'active' AND s.university_id = f.university_id AND s.url = f.url AND lower(s.content_hash) = f.content_hash)",
     "upsert_outcomes": f"WITH {_OUTCOME} SELECT university_id, url, outcome FROM outcome",
     "upsert_documents": f"""WITH {_OUTCOME}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tables
@@ -17,6 +17,25 @@ _STATE = "first_us long, last_us long, events long"
 _KEYS = ["university_id", "url"]
 
 
+class Progress(StreamingQueryListener):
+    """Counts rows and reports every ``every`` of them to ``tell(rows, rate)``."""
+
+    def __init__(self, every: int, tell) -> None:  # noqa: ANN001
+        self.every, self.tell, self.rows, self.told = every, tell, 0, 0
+
+    def onQueryStarted(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: ANN001, N802
+        self.rows += event.progress.numInputRows
+        if self.rows - self.told >= self.every:
+            self.told = self.rows
+            self.tell(self.rows, event.progress.processedRowsPerSecond)
+
+    def onQueryTerminated(self, event) -> None:  # noqa: ANN001, N802
+        pass
+
+
 def ingest(pages: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Fetched pages into a table of documents, micro-batch by micro-batch.
 
