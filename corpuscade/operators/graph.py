@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import scalars, written
 
 EDGE_TYPES = ("link", "redirect")
 
@@ -31,8 +31,8 @@ def nodes(edges: DataFrame) -> DataFrame:
 
 def graph_stats(edges: DataFrame) -> DataFrame:
     """One row: distinct nodes, edges with their repeats, links and redirects."""
-    count = nodes(edges).agg(F.count("*").alias("node_count"))
-    return edges.agg(F.count("*").alias("edge_count"), F.count_if(F.col("type") == "link").alias("links"), F.count_if(F.col("type") == "redirect").alias("redirects")).crossJoin(count)  # a row each
+    count = scalars(nodes(edges).agg(F.count("*").alias("node_count")))
+    return edges.agg(F.count("*").alias("edge_count"), F.count_if(F.col("type") == "link").alias("links"), F.count_if(F.col("type") == "redirect").alias("redirects")).withColumns(count)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -78,7 +78,7 @@ def all_depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Depths with nodes out of reach one deeper than the deepest."""
     reached = depths(edges, roots)
     beyond = reached.agg((F.coalesce(F.max("depth"), F.lit(-1)) + 1).alias("beyond"))
-    return nodes(edges).join(reached, "node", "left").crossJoin(F.broadcast(beyond)).select("node", F.coalesce("depth", "beyond").alias("depth"))  # one row
+    return nodes(edges).join(reached, "node", "left").select("node", F.coalesce("depth", scalars(beyond)["beyond"]).alias("depth"))
 
 
 def crawl_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -116,7 +116,7 @@ def ring_layout(depth: DataFrame, gap: float = 120.0) -> DataFrame:
     from .ranking import grouped_rank
 
     sizes = depth.groupBy("depth").agg(F.count("*").alias("size"))
-    placed = grouped_rank(depth, ["depth"], ["node"], "at").join(F.broadcast(sizes), "depth")  # a row a depth
+    placed = grouped_rank(depth, ["depth"], ["node"], "at").join(sizes, "depth")
     angle = 2 * F.pi() * (F.col("at") - 1) / F.col("size")
     return placed.select("node", "depth", (F.col("depth") * gap * F.cos(angle)).alias("x"), (F.col("depth") * gap * F.sin(angle)).alias("y"))
 

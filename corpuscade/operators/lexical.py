@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens_col
+from ..session import scalars
 
 K1, B = 1.5, 0.75
 
@@ -40,7 +41,8 @@ def doc_freqs(posted: DataFrame) -> DataFrame:
 
 def idf(freqs: DataFrame, stats: DataFrame) -> DataFrame:
     """``term, df, idf``."""
-    return freqs.crossJoin(F.broadcast(stats)).select("term", "df", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    n = scalars(stats)["n"]
+    return freqs.select("term", "df", F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_col: str, question_col: str) -> DataFrame:
@@ -56,6 +58,7 @@ def scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, quer
     wanted = asked.select("term").distinct()
     posted = sized.select(id_col, "dl", F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy(id_col, "dl", "term").agg(F.count("*").alias("tf"))
     weights = idf(doc_freqs(posted), stats).select("term", "idf")
-    length = F.when(F.col("avgdl") > 0, K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))).otherwise(F.lit(K1))
-    weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    return posted.join(weights, "term").join(asked, "term").crossJoin(F.broadcast(stats.select("avgdl"))).groupBy(query_col, id_col).agg(F.sum(weight * F.col("qtf")).alias("score"))
+    avgdl = scalars(stats)["avgdl"]
+    length = F.when(avgdl > 0, K1 * (1 - B + B * F.col("dl") / avgdl)).otherwise(F.lit(K1))
+    weighed = posted.withColumn("w", F.col("tf") * (K1 + 1) / (F.col("tf") + length)).join(weights, "term").join(asked, "term")
+    return weighed.groupBy(query_col, id_col).agg(F.sum(F.col("idf") * F.col("w") * F.col("qtf")).alias("score"))

@@ -55,6 +55,7 @@ def exact_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str, vec_co
                 own = np.array(batch.column(0).to_pylist(), object)[at]
                 mine = np.array(batch.column(2).to_pylist(), object)[at] if tenant_col else None
                 near = np.round(q @ x.T, 12)
+                most = k + len(own) - len(set(own))  # repeated rows of an id count once
                 for n, name in enumerate(names):
                     keep = np.ones(len(at), bool)
                     if others_only:
@@ -62,8 +63,8 @@ def exact_top_k(queries: DataFrame, base: DataFrame, k: int, id_col: str, vec_co
                     if tenant_col:
                         keep &= mine == tenants[n]
                     found, score = own[keep], near[n][keep]
-                    if len(score) > k:
-                        cut = np.partition(score, len(score) - k)[len(score) - k]
+                    if len(score) > most:
+                        cut = np.partition(score, len(score) - most)[len(score) - most]
                         found, score = found[score >= cut], score[score >= cut]
                     found, score = np.concatenate([best_ids[n], found]), np.concatenate([best[n], score])
                     order = sorted(range(len(found)), key=lambda i: (-score[i], found[i]))

@@ -24,7 +24,7 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_table(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.lit(QUESTION).alias("query_text"))
+    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUESTION).alias("query_text"))
 
 
 #: SQL for the same tables.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html
 from ..operators import graph
+from ..session import scalars
 from .common import table
 
 
@@ -21,7 +22,7 @@ def part_edges(spark: SparkSession, d: str) -> DataFrame:
     parts = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("long").alias("s"))
     size = table(spark, d, "part").agg(F.count("*").alias("n"))
     target = F.explode(F.array(F.struct((F.col("k") * 7 + F.col("s")).alias("t"), F.lit(1).alias("m")), F.struct((F.col("k") * 3 + 2).alias("t"), F.lit(2).alias("m")), F.struct((F.col("k") + F.col("s") * 11).alias("t"), F.lit(3).alias("m"))))
-    made = parts.crossJoin(F.broadcast(size)).select("k", "n", target.alias("e")).where("k % 4 <> 3 OR e.m = 1")  # one row
+    made = parts.select("k", scalars(size)["n"].alias("n"), target.alias("e")).where("k % 4 <> 3 OR e.m = 1")
     return made.select(F.col("k").alias("source"), (F.col("e.t") % F.col("n") + 1).alias("target"), F.when((F.col("k") + F.col("e.m")) % 5 == 0, "redirect").otherwise("link").alias("type"))
 
 

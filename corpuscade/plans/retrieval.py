@@ -11,7 +11,7 @@ from ..functions import text as fn
 from ..functions import vectors
 from ..operators import fusion, lexical, vector_search
 from ..operators.ranking import top_k_per_group
-from ..session import written
+from ..session import scalars, written
 from .common import CHUNKS, QUESTION, chunk_table, question_table, table, tokens_sql
 
 
@@ -51,7 +51,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, config: HybridConfig |
     legs = dense_scores(allowed, queries, c.dim).join(sparse, ["query_id", "chunk_id"], "full_outer")
     legs = (legs.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if domains else legs).na.fill(0.0, ["dense", "sparse"])
     size = allowed.agg(F.count("*").alias("__all"))
-    by = legs.groupBy("query_id").agg(F.max("sparse").alias("ms"), F.min("dense").alias("lo"), F.max("dense").alias("hi"), F.count("*").alias("seen")).crossJoin(F.broadcast(size))
+    by = legs.groupBy("query_id").agg(F.max("sparse").alias("ms"), F.min("dense").alias("lo"), F.max("dense").alias("hi"), F.count("*").alias("seen")).withColumn("__all", scalars(size)["__all"])
     unseen = F.col("seen") < F.col("__all")
     by = by.select("query_id", "ms", F.when(unseen, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(unseen, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
     normal = legs.join(by, "query_id").select("query_id", "chunk_id", F.when(F.col("hi") > F.col("lo"), (F.col("dense") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("dense_norm"), F.when(F.col("ms") > 0, F.col("sparse") / F.col("ms")).otherwise(0.0).alias("sparse_norm"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import crawl, tables
 from ..operators.frontier import Frontier
+from ..session import scalars
 from .common import table
 
 
@@ -58,10 +59,10 @@ def replace_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_upsert(spark: SparkSession, d: str) -> DataFrame:
-    """Chunks with a digest, upserted by the upper-case texts of every third position: text and
+    """Chunks with a digest, upserted by the longer texts of every third position: text and
     digest change, document and position stay."""
     stored = _chunks(spark, d).select("chunk_id", "document_id", "position", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
-    incoming = _chunks(spark, d).where("position % 3 = 0").select("chunk_id", F.lit("other").alias("document_id"), F.lit(-1).alias("position"), F.sha2(F.upper(F.coalesce("text", F.lit(""))), 256).alias("digest"))
+    incoming = _chunks(spark, d).where("position % 3 = 0").select("chunk_id", F.lit("other").alias("document_id"), F.lit(-1).alias("position"), F.sha2(F.concat(F.coalesce("text", F.lit("")), F.lit("+")), 256).alias("digest"))
     return tables.merge(stored, incoming, ["chunk_id"], ["digest"])
 
 
@@ -118,7 +119,7 @@ def audit_requeue(spark: SparkSession, d: str) -> DataFrame:
     matches, counts = crawl.status_scan(records, 404)
     queue = records.where("depth = 2 AND normalized_url IS NOT NULL").select(F.col("normalized_url").alias("url"), "depth").distinct()
     _, done = crawl.requeue(matches, queue)
-    return done.crossJoin(counts)  # a row each
+    return done.withColumns(scalars(counts))
 
 
 def min_depth(spark: SparkSession, d: str) -> DataFrame:
@@ -189,7 +190,7 @@ SQL = {
         FROM stored s FULL JOIN outcome o ON s.university_id = o.university_id AND s.url = o.url""",
     "ingest_report": f"WITH {_OUTCOME} SELECT count(*) AS pages, count(*) FILTER (outcome = 'new') AS pages_new, count(*) FILTER (outcome = 'changed') AS pages_changed, count(*) FILTER (outcome = 'unchanged') AS pages_unchanged FROM outcome",
     "replace_chunks": f"WITH {_CHUNKS}, again AS (SELECT DISTINCT document_id FROM c WHERE contains(text, 'handbook')), n AS (SELECT c.* FROM c JOIN again USING (document_id) WHERE position = 0) SELECT chunk_id, document_id, position FROM c WHERE document_id NOT IN (SELECT document_id FROM n) UNION ALL SELECT chunk_id, document_id, position FROM n",
-    "vector_upsert": f"WITH {_CHUNKS} SELECT chunk_id, document_id, position, CASE WHEN position % 3 = 0 THEN sha256(upper(coalesce(text, ''))) ELSE sha256(coalesce(text, '')) END AS digest FROM c",
+    "vector_upsert": f"WITH {_CHUNKS} SELECT chunk_id, document_id, position, CASE WHEN position % 3 = 0 THEN sha256(coalesce(text, '') || '+') ELSE sha256(coalesce(text, '')) END AS digest FROM c",
     "cascade_delete": f"""WITH {_CHUNKS}, gone AS (SELECT DISTINCT document_id FROM indexed_documents WHERE status = 'error'), dead AS (SELECT chunk_id FROM c WHERE document_id IN (SELECT document_id FROM gone)),
         d AS (SELECT DISTINCT * FROM indexed_documents), r AS (SELECT DISTINCT query_id, chunk_id FROM search_results)
         SELECT 'documents' AS name, count(*) AS rows FROM d WHERE document_id NOT IN (SELECT document_id FROM gone) UNION ALL SELECT 'chunks', count(*) FROM c WHERE document_id NOT IN (SELECT document_id FROM gone)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.urls import canonical_url_col
 from .operators import capture, compaction
 from .plans import answers, documents, graph, lexical, monitor, retrieval, tables
-from .session import work_path
+from .session import scalars, work_path
 
 PLANS = (lexical, retrieval, documents, answers, graph, tables, monitor)
 
@@ -34,7 +34,7 @@ def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
     feed = capture.ChangeCapture(spark)
     stored, log = table(spark, d, "indexed_documents"), table(spark, d, "raw_pages")
     cut = table(spark, d, "crawl_runs").where("run_status = 'success'").agg(F.percentile_approx("started_at", 0.5).alias("c"))
-    early = log.join(F.broadcast(cut), F.col("ingested_at") <= F.col("c")).drop("c")  # one row
+    early = log.where(F.col("ingested_at") <= scalars(cut)["c"])
 
     def process(part: DataFrame) -> DataFrame:
         return capture.changed_fetches(part, stored)
@@ -77,6 +77,12 @@ def compacted_records(spark: SparkSession, d: str, target_bytes: int = 32 << 20)
     return read.withColumns({"canonical": canonical_url_col(F.col("normalized_url")), "instant": instant})
 
 
+def p7_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The files that compaction writes, with what went into each and whether it read back the same."""
+    written_files = compaction.validate(compaction.compact(small_files(spark, d), work_path(spark, "compacted"), 4 << 20))
+    return written_files.select("bin", "files", "fragments", "bytes_in", "bytes_added", "bytes_out", "ok")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of records with one address and one instant."""
     keyed = compacted_records(spark, d).where("canonical IS NOT NULL AND instant IS NOT NULL").select("record_id", "canonical", "instant").distinct()
@@ -93,7 +99,7 @@ def p7_unique(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_unique": p7_unique}
+    own = {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_unique": p7_unique, "p7_manifest": p7_manifest}
     for plan in PLANS:
         own |= plan.QUERIES
     return own

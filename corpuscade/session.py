@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -69,3 +70,18 @@ def written(df: DataFrame, tag: str) -> DataFrame:
 def local_path(uri: str) -> str:
     """The path of a ``file:`` URI."""
     return os.path.abspath(uri.removeprefix("file://").removeprefix("file:"))
+
+
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a table of one row as scalar subqueries, to be used in another table's plan.
+
+    Unlike a join with the row it can't multiply rows, and an empty table gives nulls.
+    """
+    row = one_row.select(F.struct(*one_row.columns).alias("row")).scalar()
+    return {name: row.getField(name) for name in one_row.columns}
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Remove all tables written into the shared folder; results that read them are gone too."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpuscade")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
