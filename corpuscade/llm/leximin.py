@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.ranking import grouped_running_sum, top_k_per_group
+from ..operators.ranking import grouped_rank, grouped_running_sum, top_k_per_group
 
 
 def percentiles(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
@@ -33,6 +33,16 @@ def percentiles(df: DataFrame, group: str, item: str, scores: Sequence[str]) ->
     return vectors.join(sizes.withColumnRenamed("g", "sg"), F.col("g").eqNullSafe(F.col("sg"))).select(F.col("g").alias(group), F.col("i").alias(item), F.transform("mids", lambda m: m / F.col("n")).alias("profile"))
 
 
+def leximin_ranking(df: DataFrame, group: str, item: str, scores: Sequence[str]) -> DataFrame:
+    """Every item with its ``place`` from 1 in its group, in the order of :func:`leximin_top`.
+
+    Numbered over range partitions, so a group of any size is ranked without gathering.
+    """
+    keys = [f"__w{n}" for n in range(len(scores))]
+    turned = percentiles(df, group, item, scores).select(F.col(group), F.col(item), *[(-F.col("profile")[n]).alias(k) for n, k in enumerate(keys)])
+    return grouped_rank(turned, [group], [*keys, item], "place").select(group, item, "place")
+
+
 def leximin_top(df: DataFrame, group: str, item: str, scores: Sequence[str], k: int) -> DataFrame:
     """The first ``k`` items of each group in leximin order, with ``profile`` and ``place``.
 
@@ -42,6 +52,4 @@ def leximin_top(df: DataFrame, group: str, item: str, scores: Sequence[str], k:
     ranked = percentiles(df, group, item, scores)
     order = [*[F.desc(F.col("profile")[n]) for n in range(len(scores))], F.asc(item)]
     best = top_k_per_group(ranked, [group], order, k)
-    from pyspark.sql import Window
-
     return best.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order)))

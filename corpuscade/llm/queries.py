@@ -36,9 +36,15 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    """One row per page: class of equal texts, its size, links to other classes, and group."""
+    """One row per page: class of equal texts, its size, links to other classes, and group.
+
+    Pages of one content hash belong together too: each is linked to the first page of its hash.
+    """
     found = _near_duplicates(spark, d)
-    return found.groups().withColumnRenamed("doc", "page_id")
+    hashed = table(spark, d, "extracted_pages").where("content_hash IS NOT NULL").select(F.lower("content_hash").alias("h"), F.col("page_id").alias("b")).distinct()
+    first = hashed.groupBy("h").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
+    same = hashed.join(first, "h").where("a <> b").select("a", "b")
+    return found.groups(same).withColumnRenamed("doc", "page_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -46,6 +52,11 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return leximin.leximin_top(table(spark, d, "search_results"), "query_id", "chunk_id", SCORES, 3).select("query_id", "chunk_id")
 
 
+def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """The whole ranking of each query's chunks."""
+    return leximin.leximin_ranking(table(spark, d, "search_results"), "query_id", "chunk_id", SCORES)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The lines that aren't main body."""
     return boilerplate.boilerplate_lines(table(spark, d, "raw_pages"), table(spark, d, "extracted_pages")).where("boilerplate").select("page_id", "line_no")
@@ -95,7 +106,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_body": p4_body, "p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
+    return {"p1_found": p1_found, "p1_neighbours": p1_neighbours, "p4_found": p4_found, "p4_body": p4_body, "p8_packed": p8_packed, "p9_found": p9_found, "p9_extent": p9_extent, "p10_found": p10_found, "p2_found": p2_found, "p2_groups": p2_groups, "p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_cleaned": p6_cleaned}
 
 
 _SITE_LINES = r"""
@@ -130,6 +141,19 @@ def oracle_sql() -> dict[str, str]:
               FROM one),
             sorted AS (SELECT query_id, chunk_id, list_sort([x, y, z]) AS v FROM mid)
             SELECT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, chunk_id) AS n FROM sorted) WHERE n <= 3""",
+        "p3_ranking": """
+            WITH one AS (SELECT query_id, chunk_id,
+                max(CASE WHEN isnan(dense_score) THEN NULL ELSE dense_score END) AS a,
+                max(CASE WHEN isnan(sparse_score) THEN NULL ELSE sparse_score END) AS b,
+                max(CASE WHEN isnan(rerank_score) THEN NULL ELSE rerank_score END) AS c
+              FROM search_results GROUP BY query_id, chunk_id),
+            mid AS (SELECT query_id, chunk_id,
+                CASE WHEN a IS NULL THEN 0 ELSE rank() OVER (PARTITION BY query_id ORDER BY a NULLS LAST) - 1 + count(a) OVER (PARTITION BY query_id, a) / 2.0 END AS x,
+                CASE WHEN b IS NULL THEN 0 ELSE rank() OVER (PARTITION BY query_id ORDER BY b NULLS LAST) - 1 + count(b) OVER (PARTITION BY query_id, b) / 2.0 END AS y,
+                CASE WHEN c IS NULL THEN 0 ELSE rank() OVER (PARTITION BY query_id ORDER BY c NULLS LAST) - 1 + count(c) OVER (PARTITION BY query_id, c) / 2.0 END AS z
+              FROM one),
+            sorted AS (SELECT query_id, chunk_id, list_sort([x, y, z]) AS v FROM mid)
+            SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, chunk_id) AS place FROM sorted""",
         "p6_found": f"WITH {_SITE_LINES} SELECT DISTINCT page_id, line_no FROM keyed JOIN often USING (site, k)",
         "p6_cleaned": f"""
             WITH {_SITE_LINES},

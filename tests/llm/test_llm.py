@@ -84,12 +84,15 @@ def test_leximin_equals_brute_force(spark):
     data.append(data[0])
     df = spark.createDataFrame(data, "q long, c string, a double, b double, s double, n int").repartition(4)
     got = {(r["q"], r["place"]): r["c"] for r in leximin.leximin_top(df, "q", "c", ("a", "b", "s"), 3).collect()}
+    whole = {(r["q"], r["place"]): r["c"] for r in leximin.leximin_ranking(df, "q", "c", ("a", "b", "s")).collect()}
+    assert len(whole) == 44
     for q in (1, 2, None):
         own = sorted({d[1]: d for d in data if d[0] == q}.values())
         clean = [[None if v is None or math.isnan(v) else v for v in d[2:5]] for d in own]
         profile = lambda k: sorted(0.0 if clean[k][j] is None else (sum(1 for x in clean if x[j] is not None and x[j] < clean[k][j]) + sum(1 for x in clean if x[j] == clean[k][j]) / 2) / len(own) for j in range(3))  # noqa: E731, B023
         want = sorted(range(len(own)), key=lambda k: ([-x for x in profile(k)], own[k][1]))[:3]
         assert [got[q, n + 1] for n in range(3)] == [own[k][1] for k in want]
+        assert [whole[q, n + 1] for n in range(3)] == [own[k][1] for k in want]
     assert leximin.leximin_top(df.limit(0), "q", "c", ("a", "b"), 3).count() == 0
 
 
