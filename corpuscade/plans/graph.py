@@ -71,7 +71,7 @@ def outside_hops_bfs(spark: SparkSession, d: str) -> DataFrame:
 
 def ring_layout(spark: SparkSession, d: str) -> DataFrame:
     placed = graph.ring_layout(bfs_depth(spark, d))
-    return placed.select("node", "depth", F.round(F.col("x") + 0.0, 3).alias("x"), F.round(F.col("y") + 0.0, 3).alias("y"))
+    return placed.select("node", "depth", (F.round("x", 3) + 0.0).alias("x"), (F.round("y", 3) + 0.0).alias("y"))
 
 
 def find_nodes(spark: SparkSession, d: str) -> DataFrame:
@@ -91,6 +91,10 @@ _PART = """
     edges AS (SELECT k AS source, t % n + 1 AS target, CASE WHEN (k + m) % 5 = 0 THEN 'redirect' ELSE 'link' END AS type FROM raw, n WHERE k % 4 <> 3 OR m = 1)"""
 
 SQL = {
+    "ring_layout": f"""WITH RECURSIVE {_PART}, walk AS (SELECT 1::BIGINT AS node, 0 AS depth UNION SELECT e.target, w.depth + 1 FROM walk w JOIN edges e ON e.source = w.node WHERE w.depth < 40), r AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
+        d AS (SELECT a.node, coalesce(depth, (SELECT max(depth) + 1 FROM r)) AS depth FROM (SELECT source AS node FROM edges UNION SELECT target FROM edges) a LEFT JOIN r ON r.node = a.node),
+        p AS (SELECT node, depth, 2 * pi() * (row_number() OVER (PARTITION BY depth ORDER BY node) - 1) / count(*) OVER (PARTITION BY depth) AS t FROM d)
+        SELECT node, depth, round(depth * 120.0::DOUBLE * cos(t), 3) + 0.0 AS x, round(depth * 120.0::DOUBLE * sin(t), 3) + 0.0 AS y FROM p""",
     "extract_links": f"WITH {_EDGES} SELECT source, target FROM edges",
     "link_graph_stats": f"WITH {_EDGES} SELECT (SELECT count(*) FROM (SELECT source FROM edges UNION SELECT target FROM edges)) AS node_count, count(*) AS edge_count, count(*) AS links, 0 AS redirects FROM edges",
     "adjacency": f"WITH {_EDGES} SELECT source, string_agg(target, ' ' ORDER BY target) AS targets FROM edges GROUP BY source",

@@ -90,16 +90,16 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, ["canonical", "instant"]).where("record_a < record_b").select("record_a", "record_b").distinct()
 
 
-def p7_unique(spark: SparkSession, d: str) -> DataFrame:
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     """Every record once: the smallest record_id of each address and instant, with its copies;
     records without a readable address or instant stand for themselves."""
     keyed = compacted_records(spark, d)
     own = F.when(F.col("canonical").isNull() | F.col("instant").isNull(), F.col("record_id"))
-    return keyed.groupBy("canonical", "instant", own.alias("own")).agg(F.min("record_id").alias("record_id"), F.countDistinct("record_id").alias("copies")).select("record_id", "canonical", "instant", "copies")
+    return keyed.groupBy("canonical", "instant", own.alias("own")).agg(F.min("record_id").alias("record_id"), F.countDistinct("record_id").alias("copies")).select("record_id", "copies")
 
 
 def queries() -> dict:
-    own = {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_unique": p7_unique, "p7_manifest": p7_manifest}
+    own = {"p5_found": p5_found, "p5_resumed": p5_resumed, "p7_found": p7_found, "p7_kept": p7_kept, "p7_manifest": p7_manifest}
     for plan in PLANS:
         own |= plan.QUERIES
     return own
@@ -119,6 +119,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT l.page_id FROM last l LEFT JOIN stored s ON l.url IS NOT DISTINCT FROM s.url AND s.n = 1
             WHERE l.n = 1 AND (s.n IS NULL OR s.status IS DISTINCT FROM 'active' OR s.h IS DISTINCT FROM l.h)""",
     }
+    keyed = r"""
+            WITH p AS (SELECT DISTINCT record_id, lower(regexp_extract(normalized_url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(normalized_url, '^[A-Za-z]+://([^/?#]*)', 1)) AS net,
+              regexp_extract(normalized_url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(normalized_url, '\?([^#]*)', 1) AS q, try_cast(nullif(trim(fetched_at), '') AS TIMESTAMPTZ) AS instant FROM page_records),
+            r AS (SELECT record_id, instant, scheme, CASE WHEN scheme = 'https' THEN regexp_replace(net, ':443$', '') WHEN scheme = 'http' THEN regexp_replace(net, ':80$', '') ELSE net END AS net,
+              regexp_replace(regexp_replace(path, '/[^/]+/\.\./', '/', 'g'), '/\./', '/', 'g') AS path,
+              array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^(utm_[^=]*|fbclid|gclid)(=|$)'))), '&') AS q FROM p),
+            k AS (SELECT record_id, instant, CASE WHEN net <> '' THEN scheme || '://' || net || CASE WHEN path = '' THEN '/' ELSE path END || CASE WHEN q = '' THEN '' ELSE '?' || q END END AS canonical FROM r)"""
+    own["p7_found"] = keyed + """
+            SELECT DISTINCT a.record_id AS record_a, b.record_id AS record_b FROM k a JOIN k b ON a.canonical = b.canonical AND a.instant = b.instant AND a.record_id < b.record_id"""
+    own["p7_kept"] = keyed + """
+            SELECT min(record_id) AS record_id, count(DISTINCT record_id) AS copies FROM k GROUP BY canonical, instant, CASE WHEN canonical IS NULL OR instant IS NULL THEN record_id END"""
     for plan in PLANS:
         own |= plan.SQL
     return own
