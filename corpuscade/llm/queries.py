@@ -122,6 +122,12 @@ _SITE_LINES = r"""
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": """
+            WITH u AS (SELECT DISTINCT chunk_no AS id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM chunks
+              WHERE len(embedding) = 128 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+            s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a JOIN u b ON a.id <> b.id),
+            k AS (SELECT a, b FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 9) DESC, b) <= 5)
+            SELECT DISTINCT least(a, b) AS chunk_a, greatest(a, b) AS chunk_b FROM k""",
         "p9_found": r"""
             WITH words AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM documents WHERE text IS NOT NULL),
             grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM words),
