@@ -67,7 +67,9 @@ class SimilarVectors:
     The number of directions grows with the square root of the number of vectors.  No array is
     compared as a whole with itself: it is cut at ``segment`` entries, and a query looks into
     its own segment and 1, 2, 4, ... to either side, so the work stays in proportion to the
-    vectors even where a third of them crowd into one array.  Arrays are range-partitioned by
+    vectors even where a third of them crowd into one array.  As collision counting does, a
+    query stops collecting once a part of its window gave ``enough`` candidates, those with
+    most collisions first; that happens among thousands of vectors alike only.  Arrays are range-partitioned by
     (direction, projection) and streamed in order; the end of a range cuts a window short.
     Collisions are counted on direction numbers modulo 512, so they may be counted too high (a
     pair more is verified).  The search is approximate; recall against brute force is in the
@@ -77,7 +79,8 @@ class SimilarVectors:
     with its class (the smallest id) and the class's size.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int = 12, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.8, 0.6), segment: int = 4096, seed: int = 11) -> None:
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int = 12, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.8, 0.6), segment: int = 4096, enough: int = 64, seed: int = 11) -> None:
+        self.enough = enough
         self.dim, self.k, self.tail, self.probes, self.thresholds, self.radii, self.segment, self.seed = dim, k, tail, probes, thresholds, radii, segment, seed
         table = written(usable_vectors(df, id_col, vec_col, dim), "vectors")
         reps = table.groupBy("key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
@@ -117,6 +120,7 @@ class SimilarVectors:
         """Pairs (query a, other b) with enough collisions, of the given queries in round
         ``number``; where every vector is a query (None), ``a < b``, each pair once."""
         both_ways = queries is None
+        enough = self.enough
         threshold, reach, segment, wide, t = self.thresholds[number], 1 << number, self.segment, self.directions > 65536, min(self.tail, self.directions)
         ordered = self._postings(queries).repartitionByRange("dir", "proj", "rep").sortWithinPartitions("dir", "proj", "rep")
 
@@ -124,14 +128,19 @@ class SimilarVectors:
             asked = np.flatnonzero(q["query"])
             for k in range(0, len(asked), 512):
                 own = asked[k : k + 512]
-                row, col = np.nonzero(q["hot"][own] @ d["hot"].T >= threshold)
-                row = own[row]
-                keep = q["rep"][row] != d["rep"][col]
-                row, col = row[keep], col[keep]
-                # only where no earlier direction of the query holds both
+                shared = q["hot"][own] @ d["hot"].T
+                shared[q["rep"][own][:, None] == d["rep"][None, :]] = 0
+                full = (shared >= threshold).sum(axis=1) > enough
+                for k2 in np.flatnonzero(full):  # a crowd: those with most collisions, of equal ones by place
+                    line = shared[k2]
+                    line[np.argpartition(-line, enough)[enough:]] = 0
+                row, col = np.nonzero(shared >= threshold)
+                # each pair where it is met first: no earlier direction of the query holds both
+                crowded, row = full[row], own[row]
                 before = np.arange(t) < (q["tail"][row] == q["dir"]).argmax(axis=1)[:, None]
                 again = ((q["tail"][row][:, :, None] == d["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
-                x, y = q["rep"][row[~again]], d["rep"][col[~again]]
+                keep = crowded | ~again
+                x, y = q["rep"][row[keep]], d["rep"][col[keep]]
                 out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
