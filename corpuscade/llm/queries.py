@@ -116,7 +116,7 @@ _SITE_LINES = r"""
     lines AS (SELECT page_id, site, unnest(range(len(l)))::INT AS line_no, unnest(l) AS line
       FROM (SELECT page_id, site, string_split(text, chr(10)) AS l FROM parts)),
     keyed AS (SELECT page_id, site, line_no,
-      regexp_replace(replace(lower(line), 'ß', 'ss'), '[\s\pZ\p{Cf}\x{0B}\x{1c}-\x{1f}\x{85}\p{Nd}]+', '', 'g') AS k FROM lines),
+      regexp_replace(replace(lower(line), 'ß', 'ss'), '[\s\pZ\x{0B}\x{1c}-\x{1f}\x{85}\p{Nd}]+', '', 'g') AS k FROM lines),
     often AS (SELECT site, k FROM keyed WHERE k <> '' GROUP BY site, k HAVING count(DISTINCT page_id) >= 10)"""
 
 

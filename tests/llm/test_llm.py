@@ -120,7 +120,7 @@ def page_table(spark):
 
 
 def brute_key(line):
-    return "".join(ch for ch in line.lower().replace("ß", "ss") if not ch.isspace() and unicodedata.category(ch) not in ("Nd", "Cf"))
+    return "".join(ch for ch in line.lower().replace("ß", "ss") if not ch.isspace() and unicodedata.category(ch) != "Nd")
 
 
 def brute_repeated(data, least):
