@@ -102,11 +102,11 @@ def fused_retrieval(chunks: DataFrame, queries: DataFrame, config: FusedConfig |
 
 
 def hybrid_search_query(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid_search(chunk_table(spark, d), question_table(spark))
+    return hybrid_search(written(chunk_table(spark, d), "chunks"), question_table(spark))
 
 
 def backend_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return fused_retrieval(chunk_table(spark, d), question_table(spark))
+    return fused_retrieval(written(chunk_table(spark, d), "chunks"), question_table(spark))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
