@@ -93,8 +93,8 @@ class NearDuplicates:
         one = table.groupBy("doc").agg(F.min("cls").alias("digest"))
         reps = one.groupBy("digest").agg(F.min("doc").alias("cls"), F.count("*").alias("members"))
         self.members = written(one.join(reps, "digest").select("doc", "cls", "digest", "members"), "members")
-        own = self.members.where("doc = cls").select(F.col("doc").alias("rep"), F.col("digest").alias("cls"))
-        self.reps = table.withColumnRenamed("doc", "rep").join(own, ["rep", "cls"]).dropDuplicates(["rep"])
+        self._own = self.members.where("doc = cls").select(F.col("doc").alias("rep"))
+        self._table = table.withColumnRenamed("doc", "rep")
         self._links: DataFrame | None = None
 
     @property
@@ -103,6 +103,15 @@ class NearDuplicates:
             self._links = written(self._find(), "links")
         return self._links
 
+    def _classes(self, *columns: str, among: DataFrame | None = None) -> DataFrame:
+        """``rep`` and columns of one text a class; of the classes in ``among`` only, if given.
+
+        The smallest digest of an id is the one its class goes by.  Joined and grouped by
+        ``rep``, so the rows move once."""
+        own = self._own if among is None else self._own.join(among, "rep", "left_semi")
+        rows = self._table.select("rep", "cls", *columns).join(own, "rep", "left_semi")
+        return rows.groupBy("rep").agg(F.min_by(F.struct(*columns), "cls").alias("x")).select("rep", "x.*")
+
     def _postings(self, slim: DataFrame) -> DataFrame:
         """(key, second, rep, least): each text under its rarest retained values; ``least`` is
         how many of them a partner must share at least."""
@@ -129,7 +138,7 @@ class NearDuplicates:
         return met.groupBy("a", "b").agg(F.sum("one").alias("shared"), F.min("least").alias("least")).where(F.col("shared") >= F.greatest(F.col("least") - 1, F.lit(1))).select("a", "b")
 
     def _find(self) -> DataFrame:
-        slim = written(self.reps.select("rep", "n", "sketch"), "sketches")
+        slim = written(self._classes("n", "sketch"), "sketches")
         pairs = self._candidates(written(self._postings(slim), "postings"))
         left = slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
         right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
@@ -149,7 +158,7 @@ class NearDuplicates:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         likely = written(both.select("a", "b", "sa", "sb").mapInArrow(estimated, "a long, b long"), "likely")
-        sets = self.reps.select("rep", "n", "shingles")
+        sets = self._classes("n", "shingles", among=likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
         whole = likely.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         counted = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         return counted.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("jaccard") >= self.threshold).select("a", "b", "common", "jaccard")
