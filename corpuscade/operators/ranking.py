@@ -40,14 +40,22 @@ def grouped_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], out:
     return grouped_running_sum(df.withColumn(one, F.lit(1)), group, order, one, out).drop(one)
 
 
+#: Largest k for which Spark cuts groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+GROUP_LIMIT = 1000
+
+
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: Sequence, k: int) -> DataFrame:
     """The first ``k`` rows of each group.
 
-    Two rounds: the first ranks within (group, salt), where the salt is the input partition, so
-    a hot group is cut down to ``k`` rows a partition before its rows meet.
+    Spark cuts each group to its first k rows within every task before the rows are shuffled
+    (a window group limit), so of a hot group at most k rows a task meet.  Beyond the k for which
+    it does, a round by (group, input partition) comes first.
     """
-    salt, rn = "__salt", "__rn"
-    first = Window.partitionBy(*group, salt).orderBy(*order)
-    few = df.withColumn(salt, F.spark_partition_id()).withColumn(rn, F.row_number().over(first)).where(F.col(rn) <= k).drop(rn, salt)
-    last = Window.partitionBy(*group).orderBy(*order)
-    return few.withColumn(rn, F.row_number().over(last)).where(F.col(rn) <= k).drop(rn)
+    rn = "__rn"
+
+    def first(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        return rows.withColumn(rn, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(rn) <= k).drop(rn)
+
+    if k > GROUP_LIMIT:
+        df = first(df.withColumn("__salt", F.spark_partition_id()), [*group, "__salt"]).drop("__salt")
+    return first(df, group)

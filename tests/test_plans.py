@@ -55,6 +55,14 @@ def test_a_hot_group_spans_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def test_groups_are_cut_before_the_shuffle(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("g"), "id")
+    shown = plan(ranking.top_k_per_group(df, ["g"], [F.desc("id")], 2))
+    tree = shown[: shown.index("\n\n\n")]
+    assert tree.count("WindowGroupLimit") == 2 and tree.rindex("WindowGroupLimit") > tree.index("Exchange")
+    assert ranking.top_k_per_group(df, ["g"], [F.desc("id")], 2000).count() == 1000
+
+
 def test_postings_of_other_terms_are_not_shuffled(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "c d")], "id long, t string")
     shown = plan(lexical.scores(docs, spark.createDataFrame([(0, "a")], "q long, s string"), "id", "t", "q", "s"))
