@@ -129,14 +129,17 @@ class SimilarVectors:
             for k in range(0, len(asked), 512):
                 own = asked[k : k + 512]
                 shared = q["hot"][own] @ d["hot"].T
-                shared[q["rep"][own][:, None] == d["rep"][None, :]] = 0
-                full = (shared >= threshold).sum(axis=1) > enough
-                for k2 in np.flatnonzero(full):  # a crowd: those with most collisions, of equal ones by place
-                    line = shared[k2]
-                    line[np.argpartition(-line, enough)[enough:]] = 0
                 row, col = np.nonzero(shared >= threshold)
+                full = np.bincount(row, minlength=len(own)) > enough
+                if full.any():  # a crowd: those with most collisions only
+                    lines = np.flatnonzero(full)
+                    most = np.argpartition(-shared[lines], enough, axis=1)[:, : enough + 1]
+                    few = ~full[row]
+                    row, col = np.concatenate([row[few], np.repeat(lines, most.shape[1])]), np.concatenate([col[few], most.ravel()])
                 # each pair where it is met first: no earlier direction of the query holds both
                 crowded, row = full[row], own[row]
+                other = q["rep"][row] != d["rep"][col]
+                crowded, row, col = crowded[other], row[other], col[other]
                 before = np.arange(t) < (q["tail"][row] == q["dir"]).argmax(axis=1)[:, None]
                 again = ((q["tail"][row][:, :, None] == d["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
                 keep = crowded | ~again
