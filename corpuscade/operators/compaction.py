@@ -57,11 +57,15 @@ def plan_bins(files: DataFrame, target_bytes: int) -> DataFrame:
     """Add ``bin``: the number of the output file each fragment goes to, in path order.
 
     The bins are cut from one running sum of the sizes, so each holds ``target_bytes`` but for
-    its last fragment, however many files there are and whichever folder they lie in.
+    its last fragment, however many files there are and whichever folder they lie in.  Only
+    names and sizes are ordered and summed; the contents are joined to their bin afterwards.
+    Fragments equal in name, part and digest go to one bin together.
     """
-    sized = files.withColumn("__size", F.greatest(F.length("content"), F.lit(1)).cast("long")).withColumn("__all", F.lit(0))
-    summed = grouped_running_sum(sized, ["__all"], ["path", "part"], "__size", "__end")
-    return summed.withColumn("bin", F.floor((F.col("__end") - F.col("__size")) / F.lit(target_bytes)).cast("long")).drop("__size", "__end", "__all")
+    keyed = files.withColumn("__digest", F.xxhash64("content"))
+    sizes = keyed.groupBy("path", "part", "__digest").agg(F.sum(F.greatest(F.length("content"), F.lit(1))).cast("long").alias("__size")).withColumn("__all", F.lit(0))
+    summed = grouped_running_sum(sizes, ["__all"], ["path", "part", "__digest"], "__size", "__end")
+    bins = summed.select("path", "part", "__digest", F.floor((F.col("__end") - F.col("__size")) / F.lit(target_bytes)).cast("long").alias("bin"))
+    return keyed.join(bins, ["path", "part", "__digest"]).drop("__digest")
 
 
 def compact(files: DataFrame, out_dir: str, target_bytes: int = 128 << 20, kind: str = "ndjson") -> DataFrame:
