@@ -274,7 +274,7 @@ def as_column(tree: Leaf | Split) -> Column:
 
 
 def trained() -> Leaf | Split:
-    """The tree of the labelled table, a bounded sample of blocks labelled by hand."""
+    """The tree of the labelled table, which is bounded to fewer than 200 rows."""
     table = np.array(LABELLED, float)
     return grow(table[:, :-1], table[:, -1])
 
