@@ -1,4 +1,4 @@
-"""The most similar vectors of every vector: collision counting over sorted single projections."""
+"""The most similar vectors of every vector: collision counting over single projections, exact search in crowds."""
 
 from __future__ import annotations
 
@@ -56,24 +56,24 @@ def unpack(vecs: pa.Array, dim: int) -> np.ndarray:
 class SimilarVectors:
     """The k nearest by cosine of every vector.
 
-    Each direction is one Gaussian projection with an array of its own, sorted by projection.
-    A vector is entered in the ``tail`` arrays in which its projection is largest, where the
-    density is low; a query looks into its first ``probes`` arrays, in a window around its own
-    place.  Two vectors collide once for every direction whose tail holds both; a pair with at
-    least ``thresholds[round]`` collisions is verified by its cosine.  Virtual rehashing: a
-    query of which k verified neighbours don't lie within the round's radius (``radii``, as
-    cosines) goes on to the next round, with the window doubled and one collision less.
-
-    The number of directions grows with the square root of the number of vectors.  No array is
-    compared as a whole with itself: it is cut at ``segment`` entries, and a query looks into
-    its own segment and 1, 2, 4, ... to either side, so the work stays in proportion to the
-    vectors even where a third of them crowd into one array.  As collision counting does, a
-    query stops collecting once a part of its window gave ``enough`` candidates, those with
-    most collisions first; that happens among thousands of vectors alike only.  Arrays are range-partitioned by
-    (direction, projection) and streamed in order; the end of a range cuts a window short.
+    Each direction is one Gaussian projection with an array of its own.  A vector is entered in
+    the ``tail`` arrays in which its projection is largest, where the density is low; a query
+    looks into its first ``probes`` arrays.  Two vectors collide once for every direction whose
+    tail holds both; a pair with at least ``thresholds[round]`` collisions is verified by its
+    cosine.  A query of which k verified neighbours don't lie within the round's radius
+    (``radii``, as cosines) goes on to the next round, with one collision less.
+
+    The number of directions grows with the square root of the number of vectors, so an array
+    has some 6 sqrt(n) entries and is compared as a whole with itself, by one task.
+
+    Crowds: where very many vectors are alike, collisions don't tell the nearest of them apart.
+    A query that meets more than ``enough`` candidates in one array, or looks into an array of
+    more than ``segment`` entries (or four times the mean, if that is more), is compared with
+    every vector instead, in blocks, so its neighbours are exact; arrays of that size are left
+    out for all others.  A crowd of a third of all vectors so costs n * n / 3 cosines.
     Collisions are counted on direction numbers modulo 512, so they may be counted too high (a
-    pair more is verified).  The search is approximate; recall against brute force is in the
-    README and held by a test.
+    pair more is verified).  Outside crowds the search is approximate; recall against brute
+    force is in the README and held by a test.
 
     Equal vectors are one class, so copies don't crowd others out: ``classes`` has every id
     with its class (the smallest id) and the class's size.
@@ -88,10 +88,11 @@ class SimilarVectors:
         own = self.classes.where("id = rep").select("rep")
         self.vectors = table.withColumnRenamed("id", "rep").join(own, "rep", "left_semi").dropDuplicates(["rep"])
         self.count = own.count()
+        self._large: list[int] | None = None
         self.directions = max(32, 1 << round(math.log2(2 * math.sqrt(max(1, self.count)))))
 
     def _postings(self, queries: DataFrame | None) -> DataFrame:
-        """``dir, proj, rep, query, tail``: a row for each direction of a vector's tail."""
+        """``dir, rep, query, tail``: a row for each direction of a vector's tail."""
         dim, m, t, seed, probes = self.dim, self.directions, min(self.tail, self.directions), self.seed, self.probes
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,67 +105,59 @@ class SimilarVectors:
                 top = np.argpartition(-h, t - 1, axis=1)[:, :t]
                 val = np.take_along_axis(h, top, 1)
                 order = np.argsort(-val, axis=1, kind="stable")
-                top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
+                top = np.take_along_axis(top, order, 1)
                 wanted = batch.column(2).to_numpy(zero_copy_only=False)[:, None] & (np.arange(t) < probes)
                 tails = pa.array([r.tobytes() for r in top.astype("<u4" if m > 65536 else "<u2")], pa.binary())
                 at = pa.array(np.repeat(np.arange(n), t))
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), pa.array(val.ravel()), batch.column(0).take(at), pa.array(wanted.ravel()), tails.take(at)], ["dir", "proj", "rep", "query", "tail"])
+                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), batch.column(0).take(at), pa.array(wanted.ravel()), tails.take(at)], ["dir", "rep", "query", "tail"])
 
         if queries is None:
             flagged = self.vectors.select("rep", "vec", F.lit(True).alias("query"))
         else:
             flagged = self.vectors.join(queries.withColumn("query", F.lit(True)), "rep", "left").select("rep", "vec", F.coalesce("query", F.lit(False)).alias("query"))
-        return flagged.mapInArrow(rows, "dir int, proj float, rep long, query boolean, tail binary")
+        return flagged.mapInArrow(rows, "dir int, rep long, query boolean, tail binary")
 
     def _candidates(self, queries: DataFrame | None, number: int) -> DataFrame:
         """Pairs (query a, other b) with enough collisions, of the given queries in round
-        ``number``; where every vector is a query (None), ``a < b``, each pair once."""
+        ``number``; where every vector is a query (None), ``a < b``, each pair once.  A query
+        in a crowd comes with itself."""
         both_ways = queries is None
         enough = self.enough
-        threshold, reach, segment, wide, t = self.thresholds[number], 1 << number, self.segment, self.directions > 65536, min(self.tail, self.directions)
-        ordered = self._postings(queries).repartitionByRange("dir", "proj", "rep").sortWithinPartitions("dir", "proj", "rep")
-
-        def compare(q: dict, d: dict, out: list) -> None:
+        threshold, wide, t = self.thresholds[number], self.directions > 65536, min(self.tail, self.directions)
+        postings = written(self._postings(queries), "postings")
+        if self._large is None:
+            limit = max(self.segment, 4 * t * self.count // self.directions)
+            self._large = [r["dir"] for r in postings.groupBy("dir").count().where(F.col("count") > limit).collect()]  # at most a quarter of the directions
+        ordered = postings.where(~F.col("dir").isin(self._large)).repartitionByRange("dir").sortWithinPartitions("dir", "rep")
+
+        def compare(q: dict, out: list) -> None:
             asked = np.flatnonzero(q["query"])
             for k in range(0, len(asked), 512):
                 own = asked[k : k + 512]
-                shared = q["hot"][own] @ d["hot"].T
+                shared = q["hot"][own] @ q["hot"].T
                 row, col = np.nonzero(shared >= threshold)
                 full = np.bincount(row, minlength=len(own)) > enough
-                if full.any():  # a crowd: those with most collisions only
-                    lines = np.flatnonzero(full)
-                    most = np.argpartition(-shared[lines], enough, axis=1)[:, : enough + 1]
-                    few = ~full[row]
-                    row, col = np.concatenate([row[few], np.repeat(lines, most.shape[1])]), np.concatenate([col[few], most.ravel()])
+                if full.any():  # a crowd
+                    out.append((q["rep"][own[full]],) * 2)
+                    row, col = row[~full[row]], col[~full[row]]
                 # each pair where it is met first: no earlier direction of the query holds both
-                crowded, row = full[row], own[row]
-                other = q["rep"][row] != d["rep"][col]
-                crowded, row, col = crowded[other], row[other], col[other]
+                row = own[row]
+                other = q["rep"][row] != q["rep"][col]
+                row, col = row[other], col[other]
                 before = np.arange(t) < (q["tail"][row] == q["dir"]).argmax(axis=1)[:, None]
-                again = ((q["tail"][row][:, :, None] == d["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
-                keep = crowded | ~again
-                x, y = q["rep"][row[keep]], d["rep"][col[keep]]
+                again = ((q["tail"][row][:, :, None] == q["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
+                x, y = q["rep"][row[~again]], q["rep"][col[~again]]
                 out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            recent: list[dict] = []
-            pending: dict | None = None
+            now, part = None, []
 
-            def block(direction: int, part: list) -> dict:
+            def meet() -> pa.RecordBatch:
                 rep, query, tail = (np.concatenate([p[k] for p in part]) for k in range(3))
                 hot = np.zeros((len(rep), SIGNATURE), np.float32)
                 hot[np.arange(len(rep))[:, None], tail % SIGNATURE] = 1
-                return {"dir": direction, "rep": rep, "query": query, "tail": tail, "hot": hot}
-
-            def meet(new: dict) -> pa.RecordBatch:
-                nonlocal recent
-                recent = [r for r in recent if r["dir"] == new["dir"]][-reach:]
                 out: list = []
-                compare(new, new, out)
-                for old in recent:
-                    compare(new, old, out)
-                    compare(old, new, out)
-                recent.append(new)
+                compare({"dir": now, "rep": rep, "query": query, "tail": tail, "hot": hot}, out)
                 a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(2))
                 both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
                 return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
@@ -177,22 +170,71 @@ class SimilarVectors:
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     if x == y:
                         continue
-                    if pending and pending["dir"] != dirs[x]:
-                        yield meet(block(pending["dir"], pending["part"]))
-                        pending = None
-                    while x < y:
-                        pending = pending or {"dir": int(dirs[x]), "part": [], "size": 0}
-                        z = min(y, x + segment - pending["size"])
-                        pending["part"].append((rep[x:z], query[x:z], tail[x:z]))
-                        pending["size"] += z - x
-                        x = z
-                        if pending["size"] == segment:
-                            yield meet(block(pending["dir"], pending["part"]))
-                            pending = None
-            if pending:
-                yield meet(block(pending["dir"], pending["part"]))
-
-        return ordered.mapInArrow(rows, "a long, b long").distinct()
+                    if part and now != dirs[x]:
+                        yield meet()
+                        part = []
+                    now = int(dirs[x])
+                    part.append((rep[x:y], query[x:y], tail[x:y]))
+            if part:
+                yield meet()
+
+        met = ordered.mapInArrow(rows, "a long, b long")
+        if self._large:
+            met = met.unionByName(postings.where(F.col("query") & F.col("dir").isin(self._large)).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        return met.distinct()
+
+    def _exact(self, queries: DataFrame, block: int = 2048) -> DataFrame:
+        """``rep, other, cos``: the k nearest of each of the queries by comparison with every vector.
+
+        The queries are read in blocks of a fixed size, each sent to all tasks; a task keeps k a query.
+        """
+        spark, dim, k = self.classes.sparkSession, self.dim, self.k
+        base = written(self.vectors.select("rep", "vec"), "base")
+
+        def over(held: list) -> DataFrame:
+            held.sort(key=lambda r: r["rep"])
+            shared = spark.sparkContext.broadcast((np.array([r["rep"] for r in held], np.int64), b"".join(bytes(r["vec"]) for r in held)))
+
+            def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                names, raw = shared.value
+                q = np.frombuffer(raw, "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
+                line, best, ids = np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64)
+                least = np.full(len(names), -np.inf, np.float32)
+                for batch in batches:
+                    for at in range(0, batch.num_rows, block):
+                        some = batch.slice(at, block)
+                        other = some.column(0).to_numpy()
+                        cos = q @ unpack(some.column(1), dim).T
+                        own = np.minimum(np.searchsorted(names, other), len(names) - 1)
+                        same = np.flatnonzero(names[own] == other)
+                        cos[own[same], same] = -np.inf
+                        if len(other) > k:
+                            low = least if len(line) else np.partition(cos, len(other) - k, axis=1)[:, len(other) - k]
+                            row, col = np.nonzero((cos >= low[:, None]) & (cos > -np.inf))
+                        else:
+                            row, col = np.nonzero(cos > -np.inf)
+                        line, best, ids = np.concatenate([line, row]), np.concatenate([best, cos[row, col]]), np.concatenate([ids, other[col]])
+                        order = np.lexsort((ids, -best, line))
+                        line, best, ids = line[order], best[order], ids[order]
+                        kept = np.arange(len(line)) - np.searchsorted(line, line) < k
+                        line, best, ids = line[kept], best[kept], ids[kept]
+                        last = np.searchsorted(line, np.arange(len(names)), "right") - 1
+                        many = np.bincount(line, minlength=len(names)) == k
+                        least[many] = best[last[many]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[line]), pa.array(ids), pa.array(best.astype(np.float64))], ["rep", "other", "cos"])
+
+            return base.mapInArrow(rows, "rep long, other long, cos double")
+
+        out, held = None, []
+        for row in base.join(queries, "rep", "left_semi").toLocalIterator():
+            held.append(row)
+            if len(held) == block:
+                part = over(held)
+                out, held = part if out is None else out.unionByName(part), []
+        if held:
+            part = over(held)
+            out = part if out is None else out.unionByName(part)
+        return written(top_k_per_group(out, ["rep"], [F.desc("cos"), F.asc("other")], k), "exact")
 
     def _verified(self, pairs: DataFrame, least: float, queries: DataFrame | None) -> DataFrame:
         """``a, b, cos`` of the pairs whose cosine is at least ``least``.
@@ -216,11 +258,14 @@ class SimilarVectors:
 
         A round yields the pairs within its radius only; a query that isn't content with those
         is asked again with a lower threshold, which finds the same pairs and more.  The last
-        round yields the k nearest of whatever it verified.
+        round yields the k nearest of whatever it verified.  Queries in crowds are finished by
+        exact search.
         """
-        found, queries, last = None, None, len(self.thresholds) - 1
+        found, queries, crowds, last = None, None, None, len(self.thresholds) - 1
         for number in range(last + 1):
-            pairs = written(self._verified(self._candidates(queries, number), self.radii[number] if number < last else -2.0, queries), "pairs")
+            met = written(self._verified(self._candidates(queries, number), self.radii[number] if number < last else -2.0, queries), "pairs")
+            pairs, crowd = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("rep"))
+            crowds = crowd if crowds is None else crowds.unionByName(crowd)
             own = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cos")
             if queries is None:
                 own = own.unionByName(pairs.select(F.col("b").alias("rep"), F.col("a").alias("other"), "cos"))
@@ -231,10 +276,13 @@ class SimilarVectors:
                 break
             content = found.where(F.col("cos") >= self.radii[number]).groupBy("rep").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= self.k)
             asked = self.classes.where("id = rep").select("rep") if queries is None else queries
-            queries = written(asked.join(content, "rep", "left_anti").select("rep"), "queries")
+            queries = written(asked.join(content.select("rep").unionByName(crowd), "rep", "left_anti").select("rep"), "queries")
             if queries.isEmpty():
                 break
-        return found.distinct()
+        if not crowds.isEmpty():
+            exact = self._exact(crowds)
+            found = found.unionByName(exact).unionByName(exact.select(F.col("other").alias("rep"), F.col("rep").alias("other"), "cos"))
+        return found.groupBy("rep", "other").agg(F.max("cos").alias("cos"))
 
     def neighbours(self) -> DataFrame:
         """``id, neighbour, cos, place``: the k most similar other ids of every id (fewer where

@@ -366,6 +366,26 @@ def test_recall_of_similar_vectors(spark):
         assert len(got & want) / len(want) > 0.95 and len(got & want) / len(got) > 0.95
 
 
+@pytest.mark.parametrize("segment", [4096, 64])
+def test_recall_where_a_third_is_one_crowd(spark, segment):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal(32)
+    vectors = {n: centre + rng.standard_normal(32) * 0.33 for n in range(1000)}
+    for c in range(250):
+        own = rng.standard_normal(32)
+        vectors |= {1000 + c * 8 + n: own + rng.standard_normal(32) * 0.35 for n in range(8)}
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in vectors.items()], "id long, v array<float>").repartition(4)
+    got = collections.defaultdict(set)
+    for r in similar.SimilarVectors(df, "id", "v", 32, segment=segment).neighbours().collect():
+        got[r["id"]].add(r["neighbour"])
+    m = np.array([vectors[n] for n in range(len(vectors))])
+    m /= np.linalg.norm(m, axis=1)[:, None]
+    near = m @ m.T
+    np.fill_diagonal(near, -9)
+    hits = [len(got[n] & set(np.argsort(-near[n], kind="stable")[:5].tolist())) / 5 for n in range(len(vectors))]
+    assert np.mean(hits[:1000]) > 0.98 and np.mean(hits[1000:]) > 0.95
+
+
 def test_copies_and_few_vectors(spark):
     one, two = [1.0, 0.0, 0.0, 0.5], [0.0, 1.0, 0.0, 0.0]
     df = spark.createDataFrame([(n, one) for n in range(9)] + [(20, two), (21, [2.0, 0.0, 0.0, 1.0])], "id long, v array<double>")
