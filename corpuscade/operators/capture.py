@@ -62,7 +62,9 @@ class ChangeCapture:
     write that plan; process what lies between; write the batch to the sink folder of its number
     (overwriting what a failed attempt left there); commit.  If a plan without commit is found,
     that plan is run again instead of a new one, so a batch always has the same records.
-    The sink's reader keeps, of each key, the row with the largest (batch, offset) only.
+    The sink's reader keeps, of each key, the row with the largest (batch, offset) only.  A
+    processor that must know what earlier batches found reads it from ``latest``, as
+    :func:`resolved_fetches` does; rows with ``emit`` false keep the state and aren't handed out.
     """
 
     def __init__(self, spark: SparkSession, root: str | None = None, partitions: int = 64, key: str = "url", arrival: str = "ingested_at", record: str = "page_id") -> None:
@@ -116,16 +118,26 @@ class ChangeCapture:
         return number
 
     def changes(self, number: int) -> DataFrame:
-        """The rows that batch ``number`` wrote."""
-        return self.spark.read.parquet(f"{self.root}/sink/batch={number}")
+        """The rows that batch ``number`` hands out."""
+        written_rows = self.spark.read.parquet(f"{self.root}/sink/batch={number}")
+        return written_rows.where("emit").drop("emit") if "emit" in written_rows.columns else written_rows
 
-    def state(self) -> DataFrame:
-        """All committed batches, of each key the newest row."""
+    def latest(self) -> DataFrame | None:
+        """All committed batches, of each key the newest row, whatever it says; None before the first commit."""
         done = self.log.last("commit")
+        if done < 0:
+            return None
         all_rows = self.spark.read.option("basePath", f"{self.root}/sink").parquet(*[f"{self.root}/sink/batch={n}" for n in range(done + 1)]).drop("batch")
         newest = Window.partitionBy(self.key).orderBy(F.desc("__batch"), F.desc("__at"), F.desc("__id"))
         return all_rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
 
+    def state(self) -> DataFrame:
+        """What the committed batches add up to: of each key the newest row, without keys that stand unchanged."""
+        rows = self.latest()
+        if rows is None:
+            raise ValueError("no batch is committed")
+        return rows.where(~F.col("change").isin("unchanged", "withdrawn")).drop("emit") if "emit" in rows.columns else rows
+
 
 def latest_fetches(fetches: DataFrame) -> DataFrame:
     """Of each url the last fetch with status 200, with the SHA-256 of its html.
@@ -146,9 +158,37 @@ def newest_documents(documents: DataFrame) -> DataFrame:
     return documents.groupBy("url").agg(best.alias("b")).select("url", "b.*", F.lit(True).alias("known"))
 
 
-def changed_fetches(fetches: DataFrame, documents: DataFrame) -> DataFrame:
-    """The latest fetches whose url is new, not active, or stored with another hash."""
-    last, stored = latest_fetches(fetches), newest_documents(documents)
+def _against_store(last: DataFrame, documents: DataFrame) -> DataFrame:
+    """The latest fetches with ``change``: null where the url is active and stored with the same hash."""
+    stored = newest_documents(documents)
     joined = last.alias("f").join(stored.alias("s"), F.col("f.url").eqNullSafe(F.col("s.url")), "left")
     kind = F.when(F.col("s.known").isNull(), "new").when(F.col("s.status").isNull() | (F.col("s.status") != "active"), "inactive").when(F.col("s.stored").isNull() | (F.col("s.stored") != F.col("f.hash")), "changed")
-    return joined.withColumn("change", kind).where("change IS NOT NULL").select("f.url", "f.page_id", "f.hash", "f.fetched_at", "f.__at", "f.__id", "change")
+    return joined.withColumn("change", kind).select(*[F.col(f"f.{c}") for c in last.columns], "change")
+
+
+def changed_fetches(fetches: DataFrame, documents: DataFrame) -> DataFrame:
+    """The latest fetches whose url is new, not active, or stored with another hash."""
+    return _against_store(latest_fetches(fetches), documents).where("change IS NOT NULL")
+
+
+def resolved_fetches(fetches: DataFrame, documents: DataFrame, before: DataFrame | None) -> DataFrame:
+    """The latest fetches of a batch against the store and what earlier batches left (``before``).
+
+    A row for each url whose last fetch is now in this batch; a fetch older than the one the url
+    stands at is ignored.  ``change`` is as in :func:`changed_fetches`, ``unchanged``, or
+    ``withdrawn`` where an earlier batch handed out a change and the url is back at the stored
+    content.  ``emit``: whether there is something to hand out; content that an earlier batch
+    handed out for the url isn't handed out again, though the url then stands at the newer fetch.
+    """
+    last = latest_fetches(fetches)
+    order = ("fetched_at", "__at", "page_id")
+    if before is None:
+        met = _against_store(last, documents).withColumns({"listed": F.lit(False), "repeated": F.lit(False)})
+    else:
+        told = before.select(F.col("url").alias("b_url"), F.struct(*order).alias("stands"), F.col("hash").alias("b_hash"), (~F.col("change").isin("unchanged", "withdrawn")).alias("b_listed"))
+        newer = F.col("stands").isNull() | (F.struct(*order) > F.col("stands"))
+        fresh = last.join(told, F.col("url").eqNullSafe(F.col("b_url")), "left").where(newer)
+        flags = {"listed": F.coalesce("b_listed", F.lit(False)), "repeated": F.coalesce(F.col("b_listed") & (F.col("b_hash") == F.col("hash")), F.lit(False))}
+        met = _against_store(fresh.withColumns(flags).select(*last.columns, *flags), documents)
+    change = F.coalesce("change", F.when(F.col("listed"), "withdrawn").otherwise("unchanged"))
+    return met.withColumns({"emit": F.when(F.col("change").isNull(), F.col("listed")).otherwise(~F.col("repeated")), "change": change}).drop("listed", "repeated")

@@ -37,7 +37,7 @@ def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
     early = log.where(F.col("ingested_at") <= scalars(cut)["c"])
 
     def process(part: DataFrame) -> DataFrame:
-        return capture.changed_fetches(part, stored)
+        return capture.resolved_fetches(part, stored, feed.latest())
 
     class Lost(RuntimeError):
         pass

@@ -232,6 +232,27 @@ def test_capture_takes_each_record_once(spark, tmp_path):
     assert empty.changes(empty.run(f.limit(0), process)).count() == 0
 
 
+def test_capture_in_batches_equals_one_batch(spark, tmp_path):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rng = random.Random(4)
+    # by hand: a late older fetch over a change (a) and over stored content (b), back to the stored content (c), the same content again (d)
+    fetches = [(1, "a", "new", 200, 5, 1), (2, "a", "old", 200, 3, 9), (3, "b", "kept", 200, 5, 1), (4, "b", "x", 200, 3, 9), (5, "c", "x", 200, 1, 1), (6, "c", "kept", 200, 2, 9), (7, "d", "x", 200, 1, 1), (8, "d", "x", 200, 2, 9)]
+    fetches += [(n, rng.choice("efghijkl"), rng.choice(["kept", "x", "y"]), rng.choice([200, 200, 404]), rng.choice([None, *range(9)]), rng.randrange(1, 20)) for n in range(10, 90)]
+    f = spark.createDataFrame([(*r[:4], _day(r[4]), _day(r[5])) for r in fetches], FETCH)
+    s = spark.createDataFrame([(u, u, sha("kept"), _day(1), "active") for u in "abcdefghi"], DOC)
+    whole = capture.ChangeCapture(spark, f"file://{tmp_path}/whole", partitions=3)
+    want = rows(whole.changes(whole.run(f, lambda part: capture.changed_fetches(part, s))), "url", "page_id", "change")
+    for cuts in ([5], [8], [3, 12]):
+        feed = capture.ChangeCapture(spark, f"file://{tmp_path}/cut{sum(cuts)}", partitions=3)
+        process = lambda part: capture.resolved_fetches(part, s, feed.latest())  # noqa: B023, E731
+        batches = [feed.run(f.where(F.col("ingested_at") <= F.lit(_day(c))), process) for c in cuts]
+        last = feed.run(f, process)
+        assert rows(feed.state(), "url", "page_id", "change") == want
+        if len(cuts) == 1:
+            assert {(r["url"], r["change"]) for r in feed.changes(batches[0]).collect() if r["url"] in "abcd"} == {("a", "changed"), ("c", "changed"), ("d", "changed")}
+            assert {(r["url"], r["change"]) for r in feed.changes(last).collect() if r["url"] in "abcd"} == {("c", "withdrawn")}
+
+
 def test_crawl_operators(spark):
     robots = spark.createDataFrame([("a.example", 200, "User-agent: *\nDisallow: /private\nAllow: /private/open\nSitemap: https://a.example/s1.xml\n sitemap: https://a.example/s2.xml"), ("b.example", 404, "Disallow: /")], "domain string, status int, body string")
     pages = spark.createDataFrame([("https://a.example/private/x",), ("https://www.a.example/private/open/x",), ("https://a.example/y",), ("https://b.example/y",)], "url string")
