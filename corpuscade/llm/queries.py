@@ -76,7 +76,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Each repeated line with the longest repeated block that starts there."""
     lines = repeated_lines.site_lines(table(spark, d, "extracted_pages"))
-    return repeated_lines.repeated_blocks(lines, 10).select(F.col("doc").alias("page_id"), "site", "line_no", "block_lines", "docs")
+    return repeated_lines.longest_blocks(lines, 10).select(F.col("doc").alias("page_id"), "site", "line_no", "block_lines", "docs")
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +45,7 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     return lines.join(often, ["site", "key"])
 
 
-def repeated_blocks(lines: DataFrame, min_docs: int, max_doublings: int = 5) -> DataFrame:
+def repeated_blocks(lines: DataFrame, min_docs: int) -> DataFrame:
     """Multi-line blocks: ``site, doc, line_no, block_lines, block, docs``.
 
     The suffixes of a site's line sequence are ordered by prefix doubling, the construction of
@@ -49,15 +53,17 @@ def repeated_blocks(lines: DataFrame, min_docs: int, max_doublings: int = 5) ->
     r(i+L, L), so two suffixes share a rank at level L exactly if their common prefix has at
     least L lines.  Lines without key don't break a block; a document's end does.  A level
     keeps only ranks that span ``min_docs`` documents, because no longer block can span more.
-    Each start is reported with the longest power-of-two length that still spans enough.
-    ``max_doublings`` bounds the length reported (32 lines at 5), not what is found repeated.
+    Each start is reported with the longest power-of-two length that still spans enough; the
+    doubling ends when no rank does.  :func:`longest_blocks` has the lengths in between.
     """
     order = lines.groupBy("site", "doc").agg(F.sort_array(F.collect_set(F.struct("line_no", "key"))).alias("all"))  # one document's lines
     seq = order.select("site", "doc", F.posexplode("all").alias("seq", "x")).select("site", "doc", "seq", F.col("x.line_no").alias("line_no"), F.col("x.key").alias("rank"))
     level = _often(seq, min_docs)
     length, found = 1, [level.withColumn("block_lines", F.lit(1))]
-    for _ in range(max_doublings):
+    while True:
         level = written(level, "suffixes")
+        if level.isEmpty():
+            break
         here, there = level.alias("a"), level.select("site", "doc", (F.col("seq") - length).alias("seq"), F.col("rank").alias("next"))
         pairs = here.join(there, ["site", "doc", "seq"]).select("site", "doc", "seq", "line_no", F.xxhash64("rank", "next").alias("rank"))
         level, length = _often(pairs, min_docs), length * 2
@@ -69,6 +75,50 @@ def repeated_blocks(lines: DataFrame, min_docs: int, max_doublings: int = 5) ->
     return every.groupBy("site", "doc", "line_no").agg(best.alias("b")).select("site", "doc", "line_no", "b.*")
 
 
+def longest_blocks(lines: DataFrame, min_docs: int) -> DataFrame:
+    """``site, doc, line_no, block_lines, block, docs``: of each repeated line the longest block
+    that starts there and stands in ``min_docs`` documents of the site, at its exact length.
+
+    The doubling bounds the length from above: less than twice the longest power of two, and no
+    line that isn't repeated itself.  A document (in one task) lists the digest of each of its
+    blocks up to that bound, and the documents of each digest are counted; all prefixes are
+    listed, as a longer block in one document stands for a shorter one in another.  So a start
+    costs as many rows as its block may have lines.
+    """
+    floors = repeated_blocks(lines, min_docs).select("site", "doc", "line_no", F.col("block_lines").alias("floor"))
+    known = lines.select("site", "doc", "line_no", "key").distinct().join(floors, ["site", "doc", "line_no"], "left")
+    order = known.groupBy("site", "doc").agg(F.sort_array(F.collect_list(F.struct("line_no", "key", F.coalesce("floor", F.lit(0)).alias("floor")))).alias("all"))  # one document's lines
+    arrays = order.select("site", "doc", *[F.col(f"all.{n}").alias(n) for n in ("line_no", "key", "floor")])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for site, doc, *lists in zip(*[c.to_pylist() for c in batch.columns]):
+                line_no, key, floor = (np.array(x, np.int64) for x in lists)
+                n = len(key)
+                stop = np.append(np.where(floor == 0, np.arange(n), n), n)  # next line that isn't repeated
+                run = np.minimum.accumulate(stop[::-1])[::-1][:n] - np.arange(n)
+                bound = np.minimum(2 * floor - 1, run)
+                word, digest = key.view(np.uint64), np.zeros(n, np.uint64)
+                at = np.flatnonzero(bound > 0)
+                length = 0
+                while len(at):
+                    mixed = (digest[at] ^ word[at + length]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                    mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+                    digest[at] = mixed ^ (mixed >> np.uint64(32))
+                    length += 1
+                    m = len(at)
+                    yield pa.RecordBatch.from_arrays([pa.array([site] * m, pa.string()), pa.array([doc] * m, kind), pa.array(line_no[at].astype(np.int32)), pa.array(np.full(m, length, np.int32)), pa.array(digest[at].view(np.int64))], ["site", "doc", "line_no", "block_lines", "rank"])
+                    at = at[bound[at] > length]
+
+    of = lines.schema["doc"].dataType.simpleString()
+    kind = pa.int64() if of == "bigint" else pa.int32() if of == "int" else pa.string()
+    blocks = written(arrays.mapInArrow(rows, f"site string, doc {of}, line_no int, block_lines int, rank long"), "blocks")
+    often = distinct_docs(blocks, ["site", "block_lines", "rank"]).where(F.col("docs") >= min_docs)
+    best = F.max_by(F.struct("block_lines", F.col("rank").alias("block"), "docs"), "block_lines")
+    return blocks.join(often, ["site", "block_lines", "rank"]).groupBy("site", "doc", "line_no").agg(best.alias("b")).select("site", "doc", "line_no", "b.*")
+
+
 def _often(ranked: DataFrame, min_docs: int) -> DataFrame:
     counts = distinct_docs(ranked, ["site", "rank"]).where(F.col("docs") >= min_docs)
     return ranked.drop("docs").join(counts, ["site", "rank"])

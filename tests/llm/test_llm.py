@@ -165,6 +165,31 @@ def test_repeated_blocks(spark):
         assert got[p, n] == best
 
 
+def test_longest_blocks_are_exact(spark):
+    rng = random.Random(6)
+    notice = [f"{a} notice {b}" for a, b in itertools.product("abcdefghij", "klmnopqrst")][:70]
+    data = []
+    for p in range(24):
+        cut = [70, 70, 45, 7, 6, 5, 3][p % 7] if p < 21 else 0
+        own = [f"own {'xyz'[p % 3]} {chr(97 + p)} {k * 'q'}" for k in range(3)]
+        data.append((p, "https://a.example/x", "\n".join(own + notice[:cut] + own[::-1] + notice[rng.randrange(60) :][:6])))
+    df = spark.createDataFrame(data, "page_id long, url string, text string").repartition(3)
+    for least in (3, 5):
+        seqs, spans = {p: [brute_key(x) for x in t.split("\n")] for p, _, t in data}, collections.defaultdict(set)
+        for p, s in seqs.items():
+            for k in range(len(s)):
+                for length in range(1, len(s) - k + 1):
+                    spans[tuple(s[k : k + length])].add(p)
+        want = {}
+        for p, s in seqs.items():
+            for k in range(len(s)):
+                fit = [m for m in range(1, len(s) - k + 1) if len(spans[tuple(s[k : k + m])]) >= least]
+                if fit:
+                    want[p, k] = (max(fit), len(spans[tuple(s[k : k + max(fit)])]))
+        got = {(r["doc"], r["line_no"]): (r["block_lines"], r["docs"]) for r in repeated_lines.longest_blocks(repeated_lines.site_lines(df), least).collect()}
+        assert got == want and max(m for m, _ in want.values()) > 32
+
+
 # --- packing
 
 
