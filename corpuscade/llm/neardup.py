@@ -66,6 +66,22 @@ def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
     return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc long, cls string, n int, sketch array<long>, shingles array<long>")
 
 
+def short_texts(pages: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``doc, digest`` of the texts with fewer words than a shingle: of the word sequence, null where there is no word."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, digests = [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = WORD.findall((text or "").lower())
+                if doc is not None and len(words) < size:
+                    docs.append(doc)
+                    digests.append("w" + xxhash.xxh3_128_hexdigest(" ".join(words)) if words else None)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests, pa.string())], ["doc", "digest"])
+
+    return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc long, digest string")
+
+
 class NearDuplicates:
     """Classes of equal shingle sets, and all links between classes with Jaccard of at least ``threshold``.
 
@@ -82,12 +98,14 @@ class NearDuplicates:
 
     ``members``: doc, cls (the text's class id, its smallest doc), one row per document.
     ``links``: a, b (class ids, a < b), common, jaccard.
-    Null and blank texts and texts with fewer words than a shingle have no row.  Repeated rows
+    Null and blank texts and texts with fewer words than a shingle have no row there, but in
+    ``every_member``.  Repeated rows
     count once; of different texts under one id the one with the smallest class digest counts.
     """
 
     def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 192, list_limit: int = 400, shared: int = 8) -> None:
         self.k, self.threshold, self.list_limit, self.shared = k, threshold, list_limit, shared
+        self._short = short_texts(pages, id_col, text_col, size)
         self.slack = 4 * math.sqrt(threshold * (1 - threshold) / k)
         table = written(shingled(pages, id_col, text_col, size, k), "shingled")
         one = table.groupBy("doc").agg(F.min("cls").alias("digest"))
@@ -171,20 +189,30 @@ class NearDuplicates:
         within = left.join(right, F.col("a") == F.col("b")).where("x < y").select("x", "y")
         return between.unionByName(within).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"))
 
-    def groups(self, same: DataFrame | None = None) -> DataFrame:
-        """``doc, class_id, members, links, group_id``: one row per document.
+    def every_member(self) -> DataFrame:
+        """``members`` with all other documents: those with the same few words are one class, one without a word is its own."""
+        one = self._short.groupBy("doc").agg(F.min("digest").alias("digest")).join(self.members.select("doc"), "doc", "left_anti")
+        one = written(one, "short")
+        reps = one.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("cls"), F.count("*").alias("members"))
+        rest = one.join(reps, "digest", "left").select("doc", F.coalesce("cls", "doc").alias("cls"), "digest", F.coalesce("members", F.lit(1)).cast("long").alias("members"))
+        return written(self.members.unionByName(rest), "every")
+
+    def groups(self, same: DataFrame | None = None, every: bool = False) -> DataFrame:
+        """``doc, class_id, members, links, group_id``: one row per document, those without a
+        shingle included if ``every``.
 
         ``group_id`` is the smallest class id that can be reached over links (and over ``same``,
         further links between documents as ``a, b``).  Components are found by alternating
         large-star and small-star rounds on written tables until no edge changes.
         """
+        members = self.every_member() if every else self.members
         edges = self.links.select(F.col("a").alias("u"), F.col("b").alias("v"))
         if same is not None:
-            m = self.members.select("doc", "cls")
+            m = members.select("doc", "cls")
             edges = edges.unionByName(same.join(m.select(F.col("doc").alias("a"), F.col("cls").alias("u")), "a").join(m.select(F.col("doc").alias("b"), F.col("cls").alias("v")), "b").where("u <> v").select("u", "v")).distinct()
         label = components(edges)
         degree = self.links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-        return self.members.join(degree, "cls", "left").join(label, "cls", "left").select("doc", F.col("cls").alias("class_id"), "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("root", "cls").alias("group_id"))
+        return members.join(degree, "cls", "left").join(label, "cls", "left").select("doc", F.col("cls").alias("class_id"), "members", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("root", "cls").alias("group_id"))
 
 
 def components(edges: DataFrame) -> DataFrame:

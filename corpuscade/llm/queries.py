@@ -44,7 +44,7 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     hashed = table(spark, d, "extracted_pages").where("content_hash IS NOT NULL").select(F.lower("content_hash").alias("h"), F.col("page_id").alias("b")).distinct()
     first = hashed.groupBy("h").agg(F.min("b").alias("a"), F.count("*").alias("n")).where("n > 1").select("h", "a")
     same = hashed.join(first, "h").where("a <> b").select("a", "b")
-    return found.groups(same).withColumnRenamed("doc", "page_id")
+    return found.groups(same, every=True).withColumnRenamed("doc", "page_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

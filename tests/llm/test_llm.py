@@ -55,6 +55,14 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold, limit):
     assert sum(r["members"] for r in groups.values()) == sum(len([m for m in groups.values() if m["class_id"] == r["class_id"]]) for r in groups.values())
 
 
+def test_groups_have_a_row_for_every_document(spark):
+    data = [(1, "One two"), (2, "one, TWO"), (3, "one"), (4, None), (5, " "), (6, "a b c d"), (7, "a b c d"), (8, "--"), (2, "one, TWO"), (9, "two one"), (None, "one")]
+    same = spark.createDataFrame([(3, 4), (5, 6)], "a long, b long")
+    found = neardup.NearDuplicates(spark.createDataFrame(data, "doc_id long, text string"), size=3, threshold=0.6).groups(same, every=True)
+    want = [(1, 1, 2, 1), (2, 1, 2, 1), (3, 3, 1, 3), (4, 4, 1, 3), (5, 5, 1, 5), (6, 6, 2, 5), (7, 6, 2, 5), (8, 8, 1, 8), (9, 9, 1, 9)]
+    assert sorted(map(tuple, found.select("doc", "class_id", "members", "group_id").collect())) == want
+
+
 def test_near_duplicates_of_nothing(spark):
     found = neardup.NearDuplicates(spark.createDataFrame([], "doc_id long, text string"))
     assert found.pairs().count() == 0 and found.groups().count() == 0
