@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import os
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -21,23 +20,28 @@ TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def token_counter(path: str) -> Callable[[str], int]:
+def token_counter(vocabulary: bytes) -> Callable[[str], int]:
     """Number of tokens of a text, by a vocabulary of ranks."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    encode = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+    encode = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
     return lambda text: len(encode(text))
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``doc, size``: tokens of each whole text.  Null and empty texts have no token and no row."""
+    """``doc, size``: tokens of each whole text.  Null and empty texts have no token and no row.
+
+    The vocabulary is read by the driver and sent along, so executors need no copy of the file;
+    it has a fixed size (below 1 MB for 50,000 tokens).
+    """
+    with open(tokenizer, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = token_counter(tokenizer)
+        count = token_counter(shared.value)
         for batch in batches:
             sizes = pa.array([count(t) if t else 0 for t in batch.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes], ["doc", "size"])
@@ -93,58 +97,86 @@ class _Sizes:
         return None
 
 
-def plan_containers(histogram: dict[int, int], capacity: int) -> Plan:
+def plan_containers(histogram: dict[int, int], capacity: int, reduce: bool = True) -> Plan:
     """A packing of the items, given as counts by size (each size within the capacity).
 
-    Dominance reduction after Martello and Toth, for the largest item j as long as it succeeds:
-    j alone, if nothing fits beside it; j with an item that fills the container exactly; j with
-    the largest item s beside it, if no two items fit together with j, or if at most two do and
-    none such pair is larger than s.  Each of these sets dominates every other set with j, so
-    fixing it costs no container.  All equal items are fixed in one step.
-    The rest is packed best fit decreasing, likewise by runs of equal items.
+    Dominance reduction after Martello and Toth: see :func:`_dominating`.  Items are taken from
+    the largest down; one whose set can't be fixed stays among the candidates of all others.
+    Passes over the sizes are repeated while they fix something.  The rest is packed best fit
+    decreasing, likewise by runs of equal items.
 
-    The work depends on the number of sizes, not of items, so the whole collection is packed as
-    one: its histogram has at most ``capacity`` entries.
+    Taking items away only raises the smallest sums and lowers the best pairs, so a set that
+    dominates once does so for as many equal items as there are: all are fixed in one step,
+    which uses up a size (or all but one item of it).  Steps, and so the rows of the plan,
+    depend on the number of sizes, at most ``capacity``, and not on the number of items.
     """
     plan, sizes = Plan(capacity), _Sizes(histogram)
-
-    def fix(count: int, *members: int) -> None:
-        for m in members:
-            plan.runs.append((m, sizes.take(m, count), count, plan.containers, 1))
-        plan.containers += count
-        plan.fixed += count
-
-    waiting: list[tuple[int, int, int]] = []  # (size, first rank, count) left to best fit
-    while sizes.order:
-        j = sizes.order[-1]
-        room = capacity - j
-        s = sizes.at_most(room)
-        if s == j and sizes.left[j] == 1:
-            k = bisect.bisect_left(sizes.order, j)
-            s = sizes.order[k - 1] if k else None
-        if s is None:
-            fix(sizes.left[j], j)
-            continue
-        pairs = sizes.left[j] // 2 if s == j else min(sizes.left[j], sizes.left[s])
-        two = sizes.smallest(2, j)
-        three = sizes.smallest(3, j)
-        alone = two is None or two > room
-        if j + s == capacity or alone or ((three is None or three > room) and _best_pair(sizes, room, j) <= s):
-            if s == j:
-                first = sizes.take(j, 2 * pairs)
-                plan.runs.append((j, first, 2 * pairs, plan.containers, 2))
-                plan.containers += pairs
-                plan.fixed += pairs
-            else:
-                # a step may change which items are the smallest, so no more than that is taken at once
-                fix(pairs if j + s == capacity or alone else 1, j, s)
-            continue
-        count = sizes.left[j]
-        waiting.append((j, sizes.take(j, count), count))
-    _best_fit(plan, waiting)
+    again = reduce
+    while again:
+        again = False
+        for j in sorted(sizes.left, reverse=True):
+            while j in sizes.left:
+                beside = _dominating(sizes, j, capacity)
+                if beside is None:
+                    break
+                again = True
+                uses: dict[int, int] = {}
+                for m in (j, *beside):
+                    uses[m] = uses.get(m, 0) + 1
+                count = min(sizes.left[m] // n for m, n in uses.items())
+                for m, n in uses.items():
+                    plan.runs.append((m, sizes.take(m, n * count), n * count, plan.containers, n))
+                plan.containers += count
+                plan.fixed += count
+    rest = [(s, sizes.rank[s], c) for s, c in sizes.left.items()]
+    _best_fit(plan, rest)
     return plan
 
 
+def _dominating(sizes: _Sizes, j: int, capacity: int) -> tuple[int, ...] | None:
+    """The items to put beside an item of size ``j`` so that the set dominates every set with j.
+
+    Whatever else stood beside j can then take the places of these items elsewhere, so some
+    optimal packing has the set.  With s the largest item that fits beside j:
+    nothing, if nothing fits; s, if it fills the container, if no two items fit beside j, or if
+    no three do and no two are larger than s together; s and the largest item t that fits beside
+    both, if no three fit and no two items above t do.  Otherwise None.
+    """
+    room = capacity - j
+    have = lambda size: sizes.left[size] - (size == j)
+    s = sizes.at_most(room)
+    if s == j and not have(j):
+        k = bisect.bisect_left(sizes.order, j)
+        s = sizes.order[k - 1] if k else None
+    if s is None:
+        return ()
+    if s == room:
+        return (s,)
+    two = sizes.smallest(2, j)
+    if two is None or two > room:
+        return (s,)
+    three = sizes.smallest(3, j)
+    if three is not None and three <= room:
+        return None
+    if _best_pair(sizes, room, j) <= s:
+        return (s,)
+    # the largest item beside j and s
+    k = bisect.bisect_right(sizes.order, room - s) - 1
+    while k >= 0 and have(sizes.order[k]) <= (sizes.order[k] == s):
+        k -= 1
+    if k < 0:
+        return None
+    t, above, left = sizes.order[k], [], 2
+    # the two smallest items above t, one item of size s left out; a pair with that one doesn't fit
+    for size in sizes.order[k + 1 :]:
+        if size > room or left <= 0:
+            break
+        n = min(have(size) - (size == s), left)
+        above += [size] * max(n, 0)
+        left -= max(n, 0)
+    return (s, t) if len(above) < 2 or sum(above) > room else None
+
+
 def _best_pair(sizes: _Sizes, room: int, without: int) -> int:
     """The largest sum within ``room`` of two items other than one of size ``without``."""
     best, low, order = 0, 0, sizes.order

@@ -246,6 +246,34 @@ def test_reduction_costs_no_container(seed):
     assert exact <= plan.containers <= exact + (plan.fixed < plan.containers)
 
 
+def test_reduction_keeps_an_optimum():
+    """Fixed containers plus an optimal packing of the rest need no more than an optimal packing."""
+    rng = random.Random(7)
+    fixed = 0
+    for _ in range(1500):
+        capacity = rng.randint(8, 40)
+        low = rng.choice([1, 1, capacity // 6 + 1, capacity // 4 + 1])
+        sizes = [rng.randint(low, capacity) for _ in range(rng.randint(2, 7))]
+        plan = packing.plan_containers(dict(collections.Counter(sizes)), capacity)
+        rest = [size for size, _, count, container, each in plan.runs for k in range(count) if container + k // each >= plan.fixed]
+        assert plan.fixed + (optimal(rest, capacity) if rest else 0) == optimal(sizes, capacity), (capacity, sizes)
+        fixed += plan.fixed
+    assert fixed > 1500
+    # the largest item can't be fixed and stays a candidate beside the others
+    plan = packing.plan_containers(dict.fromkeys([1, 2, 7, 14, 18, 25, 28, 29, 32], 1), 38)
+    assert plan.containers == 5
+
+
+def test_plan_rows_depend_on_sizes_only():
+    n = 10_000_000
+    plan = packing.plan_containers({52: n, 45: n, 20: 2 * n}, 100)
+    assert len(plan.runs) < 10 and plan.containers == n + 2 * n // 5
+    rng = random.Random(2)
+    sizes = rng.sample(range(1, 2049), 900)
+    runs = [len(packing.plan_containers({s: rng.randint(1, 9) * scale for s in sizes}, 2048).runs) for scale in (10, 10_000)]
+    assert max(runs) < 10 * len(sizes)
+
+
 def test_packing_of_a_table(spark):
     rng = random.Random(1)
     sizes = [rng.choice([3, 3, 3, 40, 100, 101, 250, 999]) for _ in range(300)]
