@@ -68,15 +68,14 @@ def p4_body(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """The lines that stand on ten or more pages of their host."""
-    lines = repeated_lines.site_lines(table(spark, d, "extracted_pages"))
-    return repeated_lines.repeated_lines(lines, 10).select(F.col("doc").alias("page_id"), "line_no").distinct()
+    """The lines of all blocks that stand on ten or more pages of their host."""
+    return repeated_lines.repeated_lines(table(spark, d, "extracted_pages"), 10).select(F.col("doc").alias("page_id"), "line_no")
 
 
 def p6_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Each repeated line with the longest repeated block that starts there."""
-    lines = repeated_lines.site_lines(table(spark, d, "extracted_pages"))
-    return repeated_lines.longest_blocks(lines, 10).select(F.col("doc").alias("page_id"), "site", "line_no", "block_lines", "docs")
+    documents = repeated_lines.site_documents(table(spark, d, "extracted_pages"))
+    return repeated_lines.repeated_blocks(documents, 10).select(F.col("doc").alias("page_id"), "site", "line_no", "block_lines", "docs")
 
 
 def p6_cleaned(spark: SparkSession, d: str) -> DataFrame:
@@ -161,6 +160,14 @@ def oracle_sql() -> dict[str, str]:
             sorted AS (SELECT query_id, chunk_id, list_sort([x, y, z]) AS v FROM mid)
             SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY v[1] DESC, v[2] DESC, v[3] DESC, chunk_id) AS place FROM sorted""",
         "p6_found": f"WITH {_SITE_LINES} SELECT DISTINCT page_id, line_no FROM keyed JOIN often USING (site, k)",
+        "p6_blocks": f"""
+            WITH {_SITE_LINES},
+            seqs AS (SELECT page_id, site, list(k ORDER BY line_no) AS ks, list(line_no ORDER BY line_no) AS ns FROM keyed WHERE k <> '' GROUP BY page_id, site),
+            starts AS (SELECT page_id, site, ks, ns, unnest(range(1, len(ks) + 1)) AS i FROM seqs),
+            blocks AS (SELECT page_id, site, ns[i] AS line_no, len(b) AS block_lines, array_to_string(b, chr(1)) AS b
+              FROM (SELECT page_id, site, ns, i, unnest(list_transform(range(i, len(ks) + 1), lambda j: list_slice(ks, i, j))) AS b FROM starts)),
+            spans AS (SELECT site, b, count(DISTINCT page_id) AS docs FROM blocks GROUP BY site, b HAVING count(DISTINCT page_id) >= 10)
+            SELECT page_id, site, line_no, max(block_lines) AS block_lines, arg_max(docs, block_lines) AS docs FROM blocks JOIN spans USING (site, b) GROUP BY page_id, site, line_no""",
         "p6_cleaned": f"""
             WITH {_SITE_LINES},
             gone AS (SELECT DISTINCT page_id, line_no FROM keyed JOIN often USING (site, k)),

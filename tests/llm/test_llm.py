@@ -148,29 +148,28 @@ def brute_repeated(data, least):
 def test_repeated_lines_equal_brute_force(spark):
     df, data = page_table(spark)
     want, _ = brute_repeated(data, 10)
-    got = repeated_lines.repeated_lines(repeated_lines.site_lines(df), 10)
+    got = repeated_lines.repeated_lines(df, 10)
     assert set(rows(got, "doc", "line_no")) == want and want
     cleaned = dict(rows(repeated_lines.without_repeated_lines(df, 10), "page_id", "text"))
     for p, _, text in set(data):
         assert cleaned[p] == (None if text is None else "\n".join(x for n, x in enumerate(text.split("\n")) if (p, n) not in want))
-    assert repeated_lines.repeated_lines(repeated_lines.site_lines(df.limit(0)), 10).count() == 0
+    assert repeated_lines.repeated_lines(df.limit(0), 10).count() == 0
 
 
-def test_repeated_blocks(spark):
-    df, data = page_table(spark)
-    want, lines = brute_repeated(data, 10)
-    got = {(r["doc"], r["line_no"]): r["block_lines"] for r in repeated_lines.repeated_blocks(repeated_lines.site_lines(df), 10).collect()}
-    assert set(got) == want
-    seqs = {p: [lines[p, n] for n in range(50) if (p, n) in lines] for p, _ in lines}
-    spans = collections.defaultdict(set)
-    for p, s in seqs.items():
-        for length in (1, 2, 4, 8):
-            for k in range(len(s) - length + 1):
-                spans[tuple(s[k : k + length])].add(p)
-    for p, n in want:
-        at = sum((p, m) in lines for m in range(n))
-        best = max(x for x in (1, 2, 4, 8) if len(spans.get(tuple(seqs[p][at : at + x]), ())) >= 10 and len(seqs[p][at : at + x]) == x)
-        assert got[p, n] == best
+def test_blocks_over_many_batches(spark):
+    """Runs of one prefix go over many batches and partitions; a document holds a line twice."""
+    rng = random.Random(3)
+    data = [(p, f"https://{'ab'[p % 4 == 0]}.example/", "\n".join(["Home", rng.choice("xyz"), f"w{'abcdefgh'[p % 8]}{'q' * (p % 29)}", "Home", rng.choice("xyz"), "Foot"])) for p in range(400)]
+    data += [(p, "https://few.example/", "Home\nx\nHome\nx") for p in range(900, 906)]
+    df = spark.createDataFrame(data, "page_id long, url string, text string").repartition(3)
+    want, _ = brute_repeated(data, 10)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = rows(repeated_lines.repeated_lines(df, 10), "doc", "line_no")
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert set(got) == want and len(got) == len(want) and not any(p >= 900 for p, _ in got)
 
 
 def test_longest_blocks_are_exact(spark):
@@ -182,7 +181,7 @@ def test_longest_blocks_are_exact(spark):
         own = [f"own {'xyz'[p % 3]} {chr(97 + p)} {k * 'q'}" for k in range(3)]
         data.append((p, "https://a.example/x", "\n".join(own + notice[:cut] + own[::-1] + notice[rng.randrange(60) :][:6])))
     df = spark.createDataFrame(data, "page_id long, url string, text string").repartition(3)
-    for least in (3, 5):
+    for least, window in ((3, 4), (5, 4), (5, 1)):
         seqs, spans = {p: [brute_key(x) for x in t.split("\n")] for p, _, t in data}, collections.defaultdict(set)
         for p, s in seqs.items():
             for k in range(len(s)):
@@ -194,7 +193,7 @@ def test_longest_blocks_are_exact(spark):
                 fit = [m for m in range(1, len(s) - k + 1) if len(spans[tuple(s[k : k + m])]) >= least]
                 if fit:
                     want[p, k] = (max(fit), len(spans[tuple(s[k : k + max(fit)])]))
-        got = {(r["doc"], r["line_no"]): (r["block_lines"], r["docs"]) for r in repeated_lines.longest_blocks(repeated_lines.site_lines(df), least).collect()}
+        got = {(r["doc"], r["line_no"]): (r["block_lines"], r["docs"]) for r in repeated_lines.repeated_blocks(repeated_lines.site_documents(df), least, window).collect()}
         assert got == want and max(m for m, _ in want.values()) > 32
 
 
