@@ -1,39 +1,58 @@
-"""Log-based change capture: per-partition offsets, a write-ahead plan, and a sink that knows its offsets."""
+"""Log-based change capture: an append-only log with offsets, a write-ahead plan, and a sink that knows its offsets."""
 
 from __future__ import annotations
 
 import json
+import os
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
 
 
-class OffsetLog:
-    """Numbered JSON files in the shared folder: a plan before a batch, a commit after it.
+class JsonLog:
+    """Numbered JSON files in the shared folder, each published once and whole.
 
-    Files are written to another name and renamed, so a reader sees whole files only.
+    A file is written under a name of its own and then given its final name in one step that
+    fails if that name is taken (a hard link on a local file system, a rename that doesn't
+    overwrite elsewhere).  So of two runners that publish one number exactly one succeeds, and
+    the other sees it.  Stores without an atomic rename need a Hadoop committer for such names.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        jvm = spark.sparkContext._jvm
-        self._jvm, self.root = jvm, root
-        self._at = jvm.org.apache.hadoop.fs.Path(root)
-        self._fs = self._at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._jvm = spark.sparkContext._jvm
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self.root, self._at = root, self._jvm.org.apache.hadoop.fs.Path(root)
+        self._fs = self._at.getFileSystem(self._conf)
         self._fs.mkdirs(self._at)
 
     def _path(self, name: str):  # noqa: ANN202
         return self._jvm.org.apache.hadoop.fs.Path(self._at, name)
 
-    def write(self, kind: str, number: int, content: dict) -> None:
-        final, tmp = self._path(f"{kind}-{number:09d}.json"), self._path(f".{kind}-{number:09d}.tmp")
-        stream = self._fs.create(tmp, True)
+    def publish(self, kind: str, number: int, content: dict) -> bool:
+        """Publish a file; False if there is one of that kind and number already."""
+        final, tmp = self._path(f"{kind}-{number:09d}.json"), self._path(f".{kind}-{number:09d}-{uuid.uuid4().hex}")
+        stream = self._fs.create(tmp, False)
         stream.write(bytearray(json.dumps(content, sort_keys=True).encode()))
         stream.close()
-        if not self._fs.rename(tmp, final) and not self._fs.exists(final):
-            raise OSError(f"can't write {kind} {number} below {self.root}")
+        try:
+            if self._fs.getUri().getScheme() == "file":
+                os.link(tmp.toUri().getPath(), final.toUri().getPath())
+            else:
+                kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+                options = self._jvm.java.lang.reflect.Array.newInstance(kinds.NONE.getClass(), 1)
+                options[0] = kinds.NONE
+                self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(final.toUri(), self._conf).rename(tmp, final, options)
+        except Exception:
+            if not self._fs.exists(final):
+                raise
+            return False
+        finally:
+            self._fs.delete(tmp, False)
+        return True
 
     def read(self, kind: str, number: int) -> dict | None:
         path = self._path(f"{kind}-{number:09d}.json")
@@ -50,86 +69,147 @@ class OffsetLog:
         names = [s.getPath().getName() for s in self._fs.listStatus(self._at)]
         return max([-1, *(int(n[len(kind) + 1 : -5]) for n in names if n.startswith(kind + "-") and n.endswith(".json"))])
 
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._jvm.org.apache.hadoop.fs.Path(path), True)
 
-class ChangeCapture:
-    """Hands each record of an append-only log to a processor once.
-
-    The log is cut into ``partitions`` by the hash of ``key``, so all records of a key share one
-    partition.  An offset is the pair (arrival instant in microseconds, record id): arrival, not
-    event time, so late records lie behind the committed offset and aren't skipped.
-
-    A run: read the committed offsets; take the largest offset of each partition as the end;
-    write that plan; process what lies between; write the batch to the sink folder of its number
-    (overwriting what a failed attempt left there); commit.  If a plan without commit is found,
-    that plan is run again instead of a new one, so a batch always has the same records.
-    The sink's reader keeps, of each key, the row with the largest (batch, offset) only.  A
-    processor that must know what earlier batches found reads it from ``latest``, as
-    :func:`resolved_fetches` does; rows with ``emit`` false keep the state and aren't handed out.
+
+class ChangeLog:
+    """An append-only log of records in numbered segments.
+
+    The log itself assigns the offsets, as records are appended: (segment, row).  Nothing in a
+    record decides its place, so null, late and equal arrival instants lie behind everything
+    appended before like any other record.  Records are divided into ``partitions`` by the hash
+    of ``key``; a segment's manifest says how far each partition reaches.
+
+    A segment's rows are written first, in one pass without a shuffle, and numbered by
+    publishing the manifest; a writer that finds its number taken takes the next one, and rows
+    without a manifest (a writer that was lost) are never read.  A writer that doesn't know
+    whether it succeeded appends again; the sink recognises the copies.
     """
 
-    def __init__(self, spark: SparkSession, root: str | None = None, partitions: int = 64, key: str = "url", arrival: str = "ingested_at", record: str = "page_id") -> None:
-        self.spark, self.root = spark, root or work_path(spark, "capture")
-        self.partitions, self.key, self.arrival, self.record = partitions, key, arrival, record
-        self.log = OffsetLog(spark, f"{self.root}/log")
+    def __init__(self, spark: SparkSession, root: str | None = None, partitions: int = 64, key: str = "url") -> None:
+        self.spark, self.root, self.partitions, self.key = spark, root or work_path(spark, "log"), partitions, key
+        self.manifests = JsonLog(spark, f"{self.root}/manifests")
+
+    def append(self, records: DataFrame) -> int:
+        """Add the records, all columns; returns the number of their segment."""
+        part = F.pmod(F.xxhash64(F.coalesce(F.col(self.key).cast("string"), F.lit(""))), F.lit(self.partitions)).cast("int")
+        folder = f"{self.root}/data/{uuid.uuid4().hex}"
+        rows = records.withColumns({"__part": part, "__row": F.monotonically_increasing_id()})
+        rows.write.option("compression", "lz4").parquet(folder)
+        ends = self.spark.read.schema(rows.schema).parquet(folder).groupBy("__part").agg(F.max("__row").alias("row")).collect()  # one row per log partition
+        manifest = {"folder": folder, "schema": rows.schema.json(), "ends": {str(r["__part"]): r["row"] for r in ends}}
+        number = self.manifests.last("segment") + 1
+        while not self.manifests.publish("segment", number, manifest):
+            number += 1
+        return number
+
+    def end(self, upto: int | None = None, start: dict | None = None) -> dict[str, list[int]]:
+        """The offset (segment, row) of each partition's last record, up to a segment."""
+        last = self.manifests.last("segment") if upto is None else upto
+        ends = dict(start or {})
+        for number in range(1 + max([-1, *(e[0] for e in ends.values())]), last + 1):
+            for part, row in self.manifests.read("segment", number)["ends"].items():
+                ends[part] = [number, row]
+        return ends
+
+    def between(self, first: int, last: int, start: dict, end: dict) -> DataFrame:
+        """The records of segments ``first`` to ``last`` behind ``start`` and up to ``end``, with
+        ``__part, __seg, __row``.  Earlier segments aren't opened; the smallest row that may
+        count in any partition is a filter of the scan."""
+        out = None
+        for number in range(first, last + 1):
+            manifest = self.manifests.read("segment", number)
+            parts = sorted(set(end) | set(start), key=int)
+            behind = {p: start.get(p, [-1, -1]) for p in parts}
+            low = {p: row if seg == number else -1 if seg < number else 2**62 for p, (seg, row) in behind.items()}
+            high = {p: end[p][1] if p in end and end[p][0] == number else 2**62 if p in end and end[p][0] > number else -1 for p in parts}
+            schema = self.spark.createDataFrame([], "a int").schema.fromJson(json.loads(manifest["schema"]))
+            rows = self.spark.read.schema(schema).parquet(manifest["folder"]).where(F.col("__row") > min(low.values(), default=-1))
+            if any(low[p] != -1 or high[p] < manifest["ends"].get(p, -1) for p in parts):  # a segment read in part
+                reach = lambda bounds: F.element_at(F.create_map(*[F.lit(x) for p in parts for x in (int(p), bounds[p])]), F.col("__part"))  # noqa: B023, E731
+                rows = rows.where((F.col("__row") > reach(low)) & (F.col("__row") <= reach(high)))
+            rows = rows.withColumn("__seg", F.lit(number))
+            out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        return out
+
 
-    def located(self, source: DataFrame) -> DataFrame:
-        """The source with ``__part`` and its offset ``__at, __id``; a null arrival counts as the earliest instant."""
-        part = F.pmod(F.xxhash64(F.coalesce(F.col(self.key), F.lit(""))), F.lit(self.partitions)).cast("int")
-        return source.withColumns({"__part": part, "__at": F.coalesce(F.unix_micros(F.col(self.arrival).cast("timestamp")), F.lit(0)), "__id": F.coalesce(F.col(self.record).cast("long"), F.lit(-1))})
+class ChangeCapture:
+    """Hands each record of a :class:`ChangeLog` to a processor once.
+
+    A run: read the committed offsets; take the log's present ends as the end of the batch, at
+    most ``segments`` segments away; publish that plan; process what lies between; write the
+    result to a folder of the attempt's own; commit by publishing that folder's name.  A plan
+    without commit (a run that was lost) is run again instead of a new one, so a batch always
+    has the same records.  Two runners at once follow the same plan, of which one is published;
+    the one that commits second drops its folder.
+
+    The sink's state keeps, of each key, the row with the largest (batch, offset).  A processor
+    that must know what earlier batches found reads it from ``latest``, as
+    :func:`resolved_fetches` does; rows with ``emit`` false keep the state and aren't handed
+    out.  Every ``merge_every`` batches the state is written as one table, so a run reads that
+    and the few batches since, not all batches ever written.
+    """
 
-    def committed(self) -> dict[str, list[int]]:
+    def __init__(self, spark: SparkSession, log: ChangeLog, root: str | None = None, segments: int = 256, merge_every: int = 8) -> None:
+        self.spark, self.source, self.root = spark, log, root or work_path(spark, "capture")
+        self.segments, self.merge_every = segments, merge_every
+        self.log = JsonLog(spark, f"{self.root}/log")
+
+    def plan(self) -> tuple[int, dict | None]:
+        """The batch to run: one that was planned and not committed, else a new one; None if the log has nothing more."""
         done = self.log.last("commit")
-        return self.log.read("plan", done)["end"] if done >= 0 else {}
-
-    def plan(self, source: DataFrame) -> tuple[int, dict]:
-        """The batch to run: one that was planned and not committed, else a new one."""
-        done, planned = self.log.last("commit"), self.log.last("plan")
-        if planned > done:
-            return planned, self.log.read("plan", planned)
-        start = self.committed()
-        ends = self.located(source).groupBy("__part").agg(F.max(F.struct("__at", "__id")).alias("e")).collect()  # one row per log partition
-        end = dict(start)
-        for row in ends:
-            own = [row.e["__at"], row.e["__id"]]
-            end[str(row["__part"])] = max(own, end.get(str(row["__part"]), own))
-        batch = {"start": start, "end": end}
-        self.log.write("plan", done + 1, batch)
-        return done + 1, batch
-
-    def between(self, source: DataFrame, batch: dict) -> DataFrame:
-        """The records behind the start and up to the end offset of their partition."""
-        located = self.located(source)
-        parts = sorted(batch["end"], key=int)
-        if not parts:
-            return located.where(F.lit(False))
-        rows = [(int(p), *batch["start"].get(p, [-(2**63), -(2**63)]), *batch["end"][p]) for p in parts]
-        bounds = self.spark.createDataFrame(rows, "__part int, __sa long, __si long, __ea long, __ei long")  # one row per log partition
-        inside = (F.struct("__at", "__id") > F.struct("__sa", "__si")) & (F.struct("__at", "__id") <= F.struct("__ea", "__ei"))
-        return located.join(F.broadcast(bounds), "__part").where(inside).drop("__sa", "__si", "__ea", "__ei")
-
-    def run(self, source: DataFrame, process: Callable[[DataFrame], DataFrame], before_commit: Callable[[int], None] | None = None) -> int:
-        """One batch; returns its number.  ``process`` must keep ``__at, __id`` and the key."""
-        number, batch = self.plan(source)
-        out = process(self.between(source, batch)).withColumn("__batch", F.lit(number))
-        out.write.mode("overwrite").option("compression", "lz4").parquet(f"{self.root}/sink/batch={number}")
+        if self.log.last("plan") <= done:
+            before = self.log.read("plan", done) if done >= 0 else {"last": -1, "end": {}}
+            last = min(self.source.manifests.last("segment"), before["last"] + self.segments)
+            if last == before["last"]:
+                return done, None
+            self.log.publish("plan", done + 1, {"first": before["last"] + 1, "last": last, "start": before["end"], "end": self.source.end(last, before["end"])})
+        return done + 1, self.log.read("plan", done + 1)
+
+    def records(self, batch: dict) -> DataFrame:
+        return self.source.between(batch["first"], batch["last"], batch["start"], batch["end"])
+
+    def run(self, process: Callable[[DataFrame], DataFrame], before_commit: Callable[[int], None] | None = None) -> int:
+        """One batch; returns its number, or that of the last one if the log has nothing more (-1: none ever).
+
+        ``process`` must keep ``__seg, __row`` and the key.
+        """
+        number, batch = self.plan()
+        if batch is None:
+            return number
+        before = self._state_of(number - 1)
+        attempt = f"{self.root}/sink/{number:09d}-{uuid.uuid4().hex}"
+        process(self.records(batch)).withColumn("__batch", F.lit(number)).write.option("compression", "lz4").parquet(attempt)
+        content = {"attempt": attempt, "since": [*before["since"], attempt], "state": before["state"]}
+        if len(content["since"]) > self.merge_every:
+            merged = f"{self.root}/state/{number:09d}-{uuid.uuid4().hex}"
+            self._newest(content).write.option("compression", "lz4").parquet(merged)
+            content |= {"since": [], "state": merged}
         if before_commit:
             before_commit(number)
-        self.log.write("commit", number, {"batch": number})
+        if not self.log.publish("commit", number, content):
+            self.log.remove(attempt)
         return number
 
+    def _state_of(self, number: int) -> dict:
+        return self.log.read("commit", number) if number >= 0 else {"state": None, "since": []}
+
+    def _newest(self, content: dict) -> DataFrame:
+        """Of each key the newest row, by an aggregation that combines on the map side."""
+        rows = self.spark.read.parquet(*[p for p in (content["state"], *content["since"]) if p])
+        newest = F.max_by(F.struct(*rows.columns), F.struct("__batch", "__seg", "__row"))
+        return rows.groupBy(F.col(self.source.key).alias("__key")).agg(newest.alias("r")).select("r.*")
+
     def changes(self, number: int) -> DataFrame:
         """The rows that batch ``number`` hands out."""
-        written_rows = self.spark.read.parquet(f"{self.root}/sink/batch={number}")
-        return written_rows.where("emit").drop("emit") if "emit" in written_rows.columns else written_rows
+        rows = self.spark.read.parquet(self.log.read("commit", number)["attempt"])
+        return rows.where("emit").drop("emit") if "emit" in rows.columns else rows
 
     def latest(self) -> DataFrame | None:
-        """All committed batches, of each key the newest row, whatever it says; None before the first commit."""
+        """Of each key the newest committed row, whatever it says; None before the first commit."""
         done = self.log.last("commit")
-        if done < 0:
-            return None
-        all_rows = self.spark.read.option("basePath", f"{self.root}/sink").parquet(*[f"{self.root}/sink/batch={n}" for n in range(done + 1)]).drop("batch")
-        newest = Window.partitionBy(self.key).orderBy(F.desc("__batch"), F.desc("__at"), F.desc("__id"))
-        return all_rows.withColumn("__n", F.row_number().over(newest)).where("__n = 1").drop("__n")
+        return None if done < 0 else self._newest(self._state_of(done))
 
     def state(self) -> DataFrame:
         """What the committed batches add up to: of each key the newest row, without keys that stand unchanged."""
@@ -139,16 +219,27 @@ class ChangeCapture:
         return rows.where(~F.col("change").isin("unchanged", "withdrawn")).drop("emit") if "emit" in rows.columns else rows
 
 
-def latest_fetches(fetches: DataFrame) -> DataFrame:
-    """Of each url the last fetch with status 200, with the SHA-256 of its html.
+def fetch_records(pages: DataFrame) -> DataFrame:
+    """What the log keeps of a fetch: everything but the html, of which it has the SHA-256.
+
+    A null html counts as empty.  The html is read once, where the fetch is appended.
+    """
+    return pages.select("url", "page_id", "status_code", "fetched_at", "ingested_at", F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash"))
+
+
+def fetch_order() -> Column:
+    """Which of a url's fetches is the last: the instant of the fetch, then arrival, then page_id; nulls first."""
+    return F.struct("fetched_at", "ingested_at", "page_id")
+
+
+def latest_fetches(records: DataFrame) -> DataFrame:
+    """Of each url the last of the log's fetches with status 200.
 
-    The hash is taken first and the html dropped, so only digests are aggregated; ``max_by``
-    combines on the map side, so a url fetched very often costs one row a task.  Equal instants
-    are decided by arrival, then by page_id.  A null html counts as empty; a null url is a url.
+    ``max_by`` combines on the map side, so a url fetched very often costs one row a task.  A
+    null url is a url.
     """
-    slim = fetches.where(F.col("status_code") == 200).select("url", "page_id", "fetched_at", "__at", "__id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("hash"))
-    best = F.max_by(F.struct("page_id", "hash", "fetched_at", "__at", "__id"), F.struct("fetched_at", "__at", "page_id"))
-    return slim.groupBy("url").agg(best.alias("b")).select("url", "b.*")
+    best = F.max_by(F.struct("page_id", "hash", "fetched_at", "ingested_at", "__seg", "__row"), fetch_order())
+    return records.where(F.col("status_code") == 200).groupBy("url").agg(best.alias("b")).select("url", "b.*")
 
 
 def newest_documents(documents: DataFrame) -> DataFrame:
@@ -181,12 +272,11 @@ def resolved_fetches(fetches: DataFrame, documents: DataFrame, before: DataFrame
     handed out for the url isn't handed out again, though the url then stands at the newer fetch.
     """
     last = latest_fetches(fetches)
-    order = ("fetched_at", "__at", "page_id")
     if before is None:
         met = _against_store(last, documents).withColumns({"listed": F.lit(False), "repeated": F.lit(False)})
     else:
-        told = before.select(F.col("url").alias("b_url"), F.struct(*order).alias("stands"), F.col("hash").alias("b_hash"), (~F.col("change").isin("unchanged", "withdrawn")).alias("b_listed"))
-        newer = F.col("stands").isNull() | (F.struct(*order) > F.col("stands"))
+        told = before.select(F.col("url").alias("b_url"), fetch_order().alias("stands"), F.col("hash").alias("b_hash"), (~F.col("change").isin("unchanged", "withdrawn")).alias("b_listed"))
+        newer = F.col("stands").isNull() | (fetch_order() > F.col("stands"))
         fresh = last.join(told, F.col("url").eqNullSafe(F.col("b_url")), "left").where(newer)
         flags = {"listed": F.coalesce("b_listed", F.lit(False)), "repeated": F.coalesce(F.col("b_listed") & (F.col("b_hash") == F.col("hash")), F.lit(False))}
         met = _against_store(fresh.withColumns(flags).select(*last.columns, *flags), documents)

@@ -22,19 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """The fetches that are new or changed, from one captured batch over the whole log."""
-    feed = capture.ChangeCapture(spark)
-    stored = table(spark, d, "indexed_documents")
-    number = feed.run(table(spark, d, "raw_pages"), lambda log: capture.changed_fetches(log, stored))
+    log, stored = capture.ChangeLog(spark), table(spark, d, "indexed_documents")
+    log.append(capture.fetch_records(table(spark, d, "raw_pages")))
+    feed = capture.ChangeCapture(spark, log)
+    number = feed.run(lambda part: capture.changed_fetches(part, stored))
     return feed.changes(number).select("page_id")
 
 
 def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
     """The same in two batches cut at the middle of the arrivals, the second one failing before
     its commit and run again: the sink's state per url, with the kind of change."""
-    feed = capture.ChangeCapture(spark)
-    stored, log = table(spark, d, "indexed_documents"), table(spark, d, "raw_pages")
+    log, stored, pages = capture.ChangeLog(spark), table(spark, d, "indexed_documents"), table(spark, d, "raw_pages")
+    feed = capture.ChangeCapture(spark, log)
     cut = table(spark, d, "crawl_runs").where("run_status = 'success'").agg(F.percentile_approx("started_at", 0.5).alias("c"))
-    early = log.where(F.col("ingested_at") <= scalars(cut)["c"])
+    early = F.coalesce(F.col("ingested_at") <= scalars(cut)["c"], F.lit(False))
 
     def process(part: DataFrame) -> DataFrame:
         return capture.resolved_fetches(part, stored, feed.latest())
@@ -45,11 +46,13 @@ def p5_resumed(spark: SparkSession, d: str) -> DataFrame:
     def fail(_: int) -> None:
         raise Lost
 
-    feed.run(early, process)
+    log.append(capture.fetch_records(pages.where(early)))
+    feed.run(process)
+    log.append(capture.fetch_records(pages.where(~early)))
     try:
-        feed.run(log, process, before_commit=fail)
+        feed.run(process, before_commit=fail)
     except Lost:
-        feed.run(log, process)
+        feed.run(process)
     return feed.state().select("url", "page_id", "change")
 
 
@@ -106,8 +109,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {
-        "p5_found": """
+    changed = """
             WITH last AS (
               SELECT url, page_id, sha256(coalesce(html, '')) AS h,
                      row_number() OVER (PARTITION BY url ORDER BY fetched_at DESC, ingested_at DESC, page_id DESC) AS n
@@ -116,8 +118,11 @@ def oracle_sql() -> dict[str, str]:
               SELECT url, status, lower(content_hash) AS h,
                      row_number() OVER (PARTITION BY url ORDER BY last_crawled DESC, status DESC, content_hash DESC, document_id DESC) AS n
               FROM indexed_documents)
-            SELECT l.page_id FROM last l LEFT JOIN stored s ON l.url IS NOT DISTINCT FROM s.url AND s.n = 1
-            WHERE l.n = 1 AND (s.n IS NULL OR s.status IS DISTINCT FROM 'active' OR s.h IS DISTINCT FROM l.h)""",
+            SELECT {columns} FROM last l LEFT JOIN stored s ON l.url IS NOT DISTINCT FROM s.url AND s.n = 1
+            WHERE l.n = 1 AND (s.n IS NULL OR s.status IS DISTINCT FROM 'active' OR s.h IS DISTINCT FROM l.h)"""
+    own = {
+        "p5_found": changed.format(columns="l.page_id"),
+        "p5_resumed": changed.format(columns="l.url, l.page_id, CASE WHEN s.n IS NULL THEN 'new' WHEN s.status IS DISTINCT FROM 'active' THEN 'inactive' ELSE 'changed' END AS change"),
     }
     keyed = r"""
             WITH p AS (SELECT DISTINCT record_id, lower(regexp_extract(normalized_url, '^([A-Za-z]+)://', 1)) AS scheme, lower(regexp_extract(normalized_url, '^[A-Za-z]+://([^/?#]*)', 1)) AS net,

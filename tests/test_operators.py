@@ -211,25 +211,69 @@ def test_capture_takes_each_record_once(spark, tmp_path):
     docs = [("1", "d", sha("same").upper(), 1, "active"), ("2", "d", "0", 0, "active"), ("3", "e", sha("old"), 1, "stale")]
     f = spark.createDataFrame([(*r[:4], _day(r[4]), _day(r[5])) for r in fetches], FETCH)
     s = spark.createDataFrame([(*r[:3], _day(r[3]), r[4]) for r in docs], DOC)
-    feed = capture.ChangeCapture(spark, f"file://{tmp_path}/feed", partitions=3)
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/log", partitions=3)
+    feed = capture.ChangeCapture(spark, log, f"file://{tmp_path}/feed")
     process = lambda part: capture.changed_fetches(part, s)
-    first = feed.run(f.where("page_id < 7"), process)
+    assert feed.run(process) == -1
+    log.append(capture.fetch_records(f.where("page_id < 7")))
+    first = feed.run(process)
     assert rows(feed.changes(first), "page_id", "change") == sorted([(2, "new"), (4, "new"), (5, "new")], key=repr)
 
     def fail(_):
         raise RuntimeError("lost")
 
+    log.append(capture.fetch_records(f.where("page_id = 7")))
     with pytest.raises(RuntimeError):
-        feed.run(f, process, before_commit=fail)
-    late = f.unionByName(spark.createDataFrame([(8, "g", "n", 200, _day(0), _day(20))], FETCH))
-    second = feed.run(late, process)  # the planned batch, without what came since
+        feed.run(process, before_commit=fail)
+    # null, late and equal arrival instants, a smaller id
+    log.append(capture.fetch_records(spark.createDataFrame([(8, "g", "n", 200, _day(0), _day(20)), (9, "h", "n", 200, _day(0), None), (0, "i", "n", 200, _day(0), _day(2)), (10, "j", "n", 200, None, _day(1))], FETCH)))
+    second = feed.run(process)  # the planned batch, without what came since
     assert second == first + 1 and rows(feed.changes(second), "page_id", "change") == [(7, "inactive")]
-    third = feed.run(late, process)
-    assert rows(feed.changes(third), "page_id") == [(8,)]
-    assert feed.changes(feed.run(late, process)).count() == 0
-    assert len(rows(feed.state(), "url")) == 5
-    empty = capture.ChangeCapture(spark, f"file://{tmp_path}/empty")
-    assert empty.changes(empty.run(f.limit(0), process)).count() == 0
+    third = feed.run(process)
+    assert rows(feed.changes(third), "page_id") == [(0,), (10,), (8,), (9,)]
+    assert feed.run(process) == third
+    assert len(rows(feed.state(), "url")) == 8
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/empty")
+    empty = capture.ChangeCapture(spark, log)
+    log.append(capture.fetch_records(f.limit(0)))
+    assert empty.changes(empty.run(process)).count() == 0
+
+
+def test_two_runners_and_two_writers(spark, tmp_path):
+    f = lambda n: capture.fetch_records(spark.createDataFrame([(n, f"u{n}", "x", 200, _day(1), _day(1))], FETCH))
+    s = spark.createDataFrame([], DOC)
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/log")
+    assert [log.manifests.publish("segment", 7, {"by": n}) for n in "ab"] == [True, False] and log.manifests.read("segment", 7) == {"by": "a"}
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/second")
+    log.append(f(1))
+    one, two = (capture.ChangeCapture(spark, log, f"file://{tmp_path}/feed") for _ in range(2))
+    process = lambda part: capture.changed_fetches(part, s)
+
+    def overtaken(_):
+        log.append(f(2))  # another writer, and another runner that commits first
+        two.run(process)
+
+    number = one.run(process, before_commit=overtaken)
+    assert number == 0 and rows(one.changes(0), "page_id") == [(1,)]
+    assert len([p for p in (tmp_path / "feed/sink").iterdir()]) == 1
+    assert rows(two.changes(two.run(process)), "page_id") == [(2,)] and one.run(process) == 1
+
+
+def test_capture_opens_new_segments_only(spark, tmp_path):
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/log", partitions=2)
+    feed = capture.ChangeCapture(spark, log, f"file://{tmp_path}/feed", merge_every=2)
+    s = spark.createDataFrame([], DOC)
+    for n in range(6):
+        log.append(capture.fetch_records(spark.createDataFrame([(n, f"u{n % 4}", f"x{n}", 200, _day(n), _day(1))], FETCH)))
+        read = feed.records(feed.plan()[1])
+        assert len({p.rsplit("/", 1)[0] for p in read.inputFiles()}) == 1
+        assert "GreaterThan(__row,-1)" in read._jdf.queryExecution().toString()
+        feed.run(lambda part: capture.resolved_fetches(part, s, feed.latest()))
+    assert rows(feed.state(), "url", "page_id") == [("u0", 4), ("u1", 5), ("u2", 2), ("u3", 3)]
+    assert feed.log.read("commit", 5)["state"] and len(feed.log.read("commit", 5)["since"]) < 3
+    # a part of a segment: as far as a given offset
+    ends = log.end()
+    assert log.between(0, 5, {}, ends).count() == 6 and log.between(0, 5, ends, ends).count() == 0
 
 
 def test_capture_in_batches_equals_one_batch(spark, tmp_path):
@@ -237,20 +281,35 @@ def test_capture_in_batches_equals_one_batch(spark, tmp_path):
     rng = random.Random(4)
     # by hand: a late older fetch over a change (a) and over stored content (b), back to the stored content (c), the same content again (d)
     fetches = [(1, "a", "new", 200, 5, 1), (2, "a", "old", 200, 3, 9), (3, "b", "kept", 200, 5, 1), (4, "b", "x", 200, 3, 9), (5, "c", "x", 200, 1, 1), (6, "c", "kept", 200, 2, 9), (7, "d", "x", 200, 1, 1), (8, "d", "x", 200, 2, 9)]
-    fetches += [(n, rng.choice("efghijkl"), rng.choice(["kept", "x", "y"]), rng.choice([200, 200, 404]), rng.choice([None, *range(9)]), rng.randrange(1, 20)) for n in range(10, 90)]
+    fetches += [(n, rng.choice("efghijkl"), rng.choice(["kept", "x", "y"]), rng.choice([200, 200, 404]), rng.choice([None, *range(9)]), rng.choice([None, *range(1, 20)])) for n in range(10, 90)]
     f = spark.createDataFrame([(*r[:4], _day(r[4]), _day(r[5])) for r in fetches], FETCH)
     s = spark.createDataFrame([(u, u, sha("kept"), _day(1), "active") for u in "abcdefghi"], DOC)
-    whole = capture.ChangeCapture(spark, f"file://{tmp_path}/whole", partitions=3)
-    want = rows(whole.changes(whole.run(f, lambda part: capture.changed_fetches(part, s))), "url", "page_id", "change")
-    for cuts in ([5], [8], [3, 12]):
-        feed = capture.ChangeCapture(spark, f"file://{tmp_path}/cut{sum(cuts)}", partitions=3)
-        process = lambda part: capture.resolved_fetches(part, s, feed.latest())  # noqa: B023, E731
-        batches = [feed.run(f.where(F.col("ingested_at") <= F.lit(_day(c))), process) for c in cuts]
-        last = feed.run(f, process)
+
+    def fed(name, *parts):
+        log = capture.ChangeLog(spark, f"file://{tmp_path}/{name}-log", partitions=3)
+        feed = capture.ChangeCapture(spark, log, f"file://{tmp_path}/{name}")
+        numbers = []
+        for part in parts:
+            log.append(capture.fetch_records(f.where(part)))
+            numbers.append(feed.run(lambda new: capture.resolved_fetches(new, s, feed.latest())))
+        return feed, numbers
+
+    want = rows(fed("whole", "true")[0].state(), "url", "page_id", "change")
+    log = capture.ChangeLog(spark, f"file://{tmp_path}/once")
+    once = capture.ChangeCapture(spark, log)
+    log.append(capture.fetch_records(f))
+    assert want == rows(once.changes(once.run(lambda part: capture.changed_fetches(part, s))), "url", "page_id", "change")
+    for name, cuts in (("a", [5]), ("b", [8]), ("c", [3, 12])):
+        at = F.coalesce(F.datediff("ingested_at", F.lit(_day(0))), F.lit(99))
+        edges = [-1, *cuts, 100]
+        feed, numbers = fed(name, *[(at > low) & (at <= high) for low, high in itertools.pairwise(edges)])
         assert rows(feed.state(), "url", "page_id", "change") == want
         if len(cuts) == 1:
-            assert {(r["url"], r["change"]) for r in feed.changes(batches[0]).collect() if r["url"] in "abcd"} == {("a", "changed"), ("c", "changed"), ("d", "changed")}
-            assert {(r["url"], r["change"]) for r in feed.changes(last).collect() if r["url"] in "abcd"} == {("c", "withdrawn")}
+            assert {(r["url"], r["change"]) for r in feed.changes(numbers[0]).collect() if r["url"] in "abcd"} == {("a", "changed"), ("c", "changed"), ("d", "changed")}
+            assert {(r["url"], r["change"]) for r in feed.changes(numbers[1]).collect() if r["url"] in "abcd"} == {("c", "withdrawn")}
+    # the same records appended again are recognised
+    again, _ = fed("again", "true", "true")
+    assert rows(again.state(), "url", "page_id", "change") == want and again.changes(1).count() == 0
 
 
 def test_crawl_operators(spark):

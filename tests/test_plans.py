@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuscade import queries
 from corpuscade.operators import lexical, ranking
-from corpuscade.operators.capture import latest_fetches
+from corpuscade.operators.capture import fetch_records, latest_fetches
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't there")
@@ -37,7 +37,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_only_digests_are_shuffled(spark):
-    pages = spark.read.parquet(f"{DATA}/raw_pages.parquet").withColumns({"__at": F.lit(0).cast("long"), "__id": F.col("page_id")})
+    pages = fetch_records(spark.read.parquet(f"{DATA}/raw_pages.parquet")).withColumns({"__seg": F.lit(0), "__row": F.col("page_id")})
     shown = plan(latest_fetches(pages))
     moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", shown)
     assert moved and not any("html" in m for m in moved)
