@@ -92,8 +92,15 @@ class NearDuplicates:
     far more rarely).  Candidates come from inverted lists: a pair must share at least
     o = ceil((threshold - slack) * retained) values, so each text is entered only under its
     retained - o + c rarest values, of which a partner must share c = min(o, ``shared``).  A value that all pages of a site share is rare for no text
-    but those that hold little else.  Lists longer than ``list_limit`` are split by a second
-    value, which c >= 2 allows without loss (texts with c < 2 are entered under both).
+    but those that hold little else.
+
+    Lists longer than ``list_limit`` aren't met pair by pair.  Texts of which such a value is
+    among the rarest (pages of one template, with a sketch too coarse to tell them apart) are
+    crowded: two crowded texts meet over their whole shingle sets instead, each under its
+    rarest shingles among the crowded texts.  There the bound is exact: the shorter text of a
+    link shares 2t/(1+t) of its own shingles, the longer one t, so one of the n - share + 1
+    rarest is common.  Pages with more content of their own than that meet nobody over their
+    template, however many there are; those with less are links, or nearly so.
     The last step compares the whole shingle sets, so no false link remains.
 
     ``members``: doc, cls (the text's class id, its smallest doc), one row per document.
@@ -131,37 +138,54 @@ class NearDuplicates:
         return rows.groupBy("rep").agg(F.min_by(F.struct(*columns), "cls").alias("x")).select("rep", "x.*")
 
     def _postings(self, slim: DataFrame) -> DataFrame:
-        """(key, second, rep, least): each text under its rarest retained values; ``least`` is
-        how many of them a partner must share at least."""
+        """``key, rep, n, least, hot``: each text under its rarest retained values; ``least`` is
+        how many of them a partner must share, ``hot`` says that the value's list is too long."""
         low = self.threshold - self.slack
-        entries = slim.select("rep", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
+        entries = slim.select("rep", "n", F.size("sketch").alias("m"), F.explode("sketch").alias("value"))
         shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
         need = F.greatest(F.ceil(F.col("m") * F.lit(low)), F.lit(1)).cast("int")
         least = F.least(need, F.lit(self.shared))
         # values of one text only fill the prefix first; they lead to no pair
-        ranked = entries.join(shared, "value").groupBy("rep", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most k entries
-        kept = ranked.select("rep", least.alias("least"), (F.size("v") - need + least).alias("room"), "v").where("room > 0 AND size(v) >= least")
-        split = kept.select("rep", "least", "room", "v", F.posexplode(F.slice("v", F.lit(1), F.col("room"))).alias("at", "x"))
-        hot = F.col("x.df") > self.list_limit
-        # texts that may share a single value (least = 1) stay under it too
-        single = split.where(~hot | (F.col("least") < 2)).select(F.col("x.value").alias("key"), F.lit(None).cast("long").alias("second"), "rep", "least")
-        double = split.where(hot).select(F.col("x.value").alias("key"), F.explode(F.transform(F.slice("v", F.col("at") + 2, F.col("room") - F.col("at")), lambda y: y["value"])).alias("second"), "rep", "least")
-        return single.unionByName(double)
+        ranked = entries.join(shared, "value").groupBy("rep", "n", "m").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # at most k entries
+        kept = ranked.select("rep", "n", least.alias("least"), need.alias("need"), (F.size("v") - need + least).alias("room"), "v").where("size(v) >= need")
+        single = kept.select("rep", "n", "least", F.explode(F.slice("v", F.lit(1), F.col("room"))).alias("x"))
+        return single.select(F.col("x.value").alias("key"), "rep", "n", "least", (F.col("x.df") > self.list_limit).alias("hot"))
 
     def _candidates(self, postings: DataFrame) -> DataFrame:
-        """Pairs that share enough values: a pair of values of a long list, or ``least`` single
-        ones, one less where the last shared value may be a frequent one."""
-        a, b = postings.select("key", "second", F.col("rep").alias("a"), F.col("least").alias("la")), postings.select("key", "second", F.col("rep").alias("b"), F.col("least").alias("lb"))
-        met = a.join(b, (a["key"] == b["key"]) & a["second"].eqNullSafe(b["second"]) & (F.col("a") < F.col("b"))).select("a", "b", F.least("la", "lb").alias("least"), F.when(a["second"].isNull(), 1).otherwise(self.shared).alias("one"))
-        return met.groupBy("a", "b").agg(F.sum("one").alias("shared"), F.min("least").alias("least")).where(F.col("shared") >= F.greatest(F.col("least") - 1, F.lit(1))).select("a", "b")
+        """Pairs that share ``least`` values of lists that aren't too long, and are of like size."""
+        cold = postings.where("NOT hot")
+        a, b = cold.select("key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("least").alias("la")), cold.select("key", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("least").alias("lb"))
+        met = a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb"))).select("a", "b", F.least("la", "lb").alias("least"))
+        return met.groupBy("a", "b").agg(F.count("*").alias("shared"), F.min("least").alias("least")).where("shared >= least").select("a", "b")
+
+    def _crowded(self, postings: DataFrame) -> DataFrame:
+        """Pairs of crowded texts that may be linked, over the rarest of their whole shingle sets."""
+        t = self.threshold
+        crowd = written(postings.where("hot").select("rep").distinct(), "crowd")
+        sets = written(self._classes("n", "shingles", among=crowd), "crowded")
+        entries = sets.select("rep", "n", F.explode("shingles").alias("value"))
+        shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+        ranked = entries.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # one text's shingles
+        whole = lambda share: F.ceil(F.col("n") * F.lit(share) - F.lit(1e-6)).cast("int")
+        bounds = ranked.select("rep", "n", "v", (F.size("v") - whole(t) + 1).alias("room"), (F.size("v") - whole(2 * t / (1 + t)) + 1).alias("near")).where("room > 0")
+        placed = bounds.select("rep", "n", "near", (F.col("n") - F.size("v")).alias("own"), F.posexplode(F.slice("v", F.lit(1), F.col("room"))).alias("at", "x"))
+        lists = written(placed.select(F.col("x.value").alias("key"), "rep", "n", (F.col("n") - F.col("own") - F.col("at")).alias("behind"), (F.col("at") < F.col("near")).alias("near")), "lists")
+        a, b = (lists.select("key", F.col("rep").alias(x), F.col("n").alias("n" + x), F.col("behind").alias("h" + x), "near") for x in "ab")
+        a = a.where("near").drop("near")
+        shorter = (F.struct("na", "a") < F.struct("nb", "b")) & (F.col("na") >= F.lit(t) * F.col("nb"))
+        reach = F.least("ha", "hb") >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - F.lit(1e-6)
+        met = a.join(b.drop("near"), (a["key"] == b["key"]) & shorter & reach)
+        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _find(self) -> DataFrame:
         slim = written(self._classes("n", "sketch"), "sketches")
-        pairs = self._candidates(written(self._postings(slim), "postings"))
-        left = slim.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"))
-        right = slim.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb"))
-        sized = F.least("na", "nb") >= F.lit(self.threshold) * F.greatest("na", "nb")
-        both = pairs.join(left, "a").join(right, "b").where(sized)
+        postings = written(self._postings(slim), "postings")
+        pairs = self._candidates(postings)
+        if not postings.where("hot").isEmpty():
+            pairs = pairs.unionByName(self._crowded(postings)).distinct()
+        left = slim.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
+        right = slim.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+        both = pairs.join(left, "a").join(right, "b")
         k, low = self.k, self.threshold - self.slack
 
         def estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

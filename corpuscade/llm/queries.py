@@ -175,6 +175,21 @@ def oracle_sql() -> dict[str, str]:
               FROM lines l LEFT JOIN gone g ON g.page_id = l.page_id AND g.line_no = l.line_no WHERE g.page_id IS NULL GROUP BY l.page_id)
             SELECT p.page_id, CASE WHEN p.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text
             FROM (SELECT DISTINCT page_id, text FROM extracted_pages) p LEFT JOIN kept k ON k.page_id = p.page_id""",
+        "p2_groups": r"""
+            WITH RECURSIVE words AS (SELECT DISTINCT page_id, regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN]+') AS w FROM extracted_pages),
+            sets AS (SELECT page_id, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g, w FROM words),
+            named AS (SELECT page_id, g, CASE WHEN len(w) >= 3 THEN 's' || array_to_string(list_sort(g), '|') WHEN len(w) > 0 THEN 'w' || array_to_string(w, ' ') ELSE 'n' || page_id END AS s FROM sets),
+            classes AS (SELECT page_id, g, min(page_id) OVER (PARTITION BY s) AS class_id, count(*) OVER (PARTITION BY s) AS members FROM named),
+            grams AS (SELECT page_id, len(g) AS n, unnest(g) AS g FROM classes WHERE page_id = class_id),
+            common AS (SELECT a.page_id AS a, b.page_id AS b, a.n AS x, b.n AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.page_id < b.page_id GROUP BY ALL),
+            linked AS (SELECT a, b FROM common WHERE c >= 0.6 * (x + y - c)),
+            degree AS (SELECT node, count(*) AS links FROM (SELECT a AS node FROM linked UNION ALL SELECT b FROM linked) GROUP BY node),
+            hashed AS (SELECT DISTINCT lower(content_hash) AS h, page_id FROM extracted_pages WHERE content_hash IS NOT NULL),
+            edges AS (SELECT a AS u, b AS v FROM linked UNION SELECT x.class_id, y.class_id FROM hashed p JOIN hashed q ON p.h = q.h JOIN classes x ON x.page_id = p.page_id JOIN classes y ON y.page_id = q.page_id),
+            ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+            reach AS (SELECT DISTINCT class_id AS node, class_id AS root FROM classes UNION SELECT w.v, r.root FROM reach r JOIN ways w ON w.u = r.node WHERE r.root < w.v)
+            SELECT c.page_id, c.class_id, any_value(c.members) AS members, coalesce(any_value(d.links), 0) AS links, min(r.root) AS group_id
+            FROM classes c LEFT JOIN degree d ON d.node = c.class_id JOIN reach r ON r.node = c.class_id GROUP BY c.page_id, c.class_id""",
         "p2_found": r"""
             WITH words AS (SELECT DISTINCT page_id, regexp_extract_all(lower(text), '[\pL\pN]+') AS w FROM extracted_pages WHERE text IS NOT NULL),
             grams AS (SELECT DISTINCT page_id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM words),

@@ -55,6 +55,22 @@ def test_near_duplicates_equal_brute_force(spark, size, threshold, limit):
     assert sum(r["members"] for r in groups.values()) == sum(len([m for m in groups.values() if m["class_id"] == r["class_id"]]) for r in groups.values())
 
 
+def test_a_template_meets_pairs_in_proportion(spark):
+    """Pages of one template with more content of their own don't all meet one another."""
+    rng = random.Random(5)
+    frame = [f"t{n}" for n in range(600)]
+    met = {}
+    for count in (500, 1000):
+        data = [(p, " ".join(frame + [f"o{p}x{n}" for n in range(450)])) for p in range(count)]
+        data += [(count + p, data[p][1] + " " + " ".join(rng.choice(WORDS) for _ in range(20))) for p in range(20)]
+        found = neardup.NearDuplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), size=3, threshold=0.6)
+        slim = found._classes("n", "sketch")
+        postings = found._postings(slim)
+        met[count] = found._candidates(postings).count() + found._crowded(postings).count()
+        assert set(rows(found.pairs(), "doc_a", "doc_b")) == {(p, count + p) for p in range(20)}
+    assert met[500] < 2 * 500 and met[1000] < 2 * 1000 and met[1000] < 2 * met[500]
+
+
 def test_groups_have_a_row_for_every_document(spark):
     data = [(1, "One two"), (2, "one, TWO"), (3, "one"), (4, None), (5, " "), (6, "a b c d"), (7, "a b c d"), (8, "--"), (2, "one, TWO"), (9, "two one"), (None, "one")]
     same = spark.createDataFrame([(3, 4), (5, 6)], "a long, b long")
