@@ -46,7 +46,9 @@ def site_documents(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     block.  Exact duplicate rows count once; other texts under the same id are further sequences
     of the same document.
     """
-    numbered = F.transform(F.split(F.col(text_col), "\n"), lambda line, n: F.struct(n.alias("line_no"), line_key(line).alias("key")))
+    # what line_key leaves out of a line is left out of the whole text at once, line feeds apart
+    bare = F.regexp_replace(F.regexp_replace(F.lower(F.col(text_col)), "ß", "ss"), r"(?U)[\s\d&&[^\n]]+", "")
+    numbered = F.transform(F.split(bare, "\n"), lambda line, n: F.struct(n.alias("line_no"), F.when(line != "", F.xxhash64(line)).alias("key")))
     rows = pages.where(F.col(text_col).isNotNull()).select(F.coalesce(host_col(F.col(url_col)), F.lit("")).alias("site"), F.col(id_col).alias("doc"), F.filter(numbered, lambda x: x["key"].isNotNull()).alias("lines"))
     return rows.where(F.size("lines") > 0).groupBy("site", "doc").agg(F.collect_set("lines").alias("texts"))  # one document's texts
 
