@@ -72,9 +72,9 @@ def compacted_records(spark: SparkSession, d: str, target_bytes: int = 32 << 20)
     """The records read from the compacted files, with canonical url and instant."""
     out = work_path(spark, "compacted")
     manifest = compaction.compact(small_files(spark, d), out, target_bytes)
-    bad = compaction.validate(manifest).where("NOT ok").count()
-    if bad:
-        raise RuntimeError(f"{bad} compacted files differ from what was written")
+    bad, fragments = compaction.validate(manifest).agg(F.count_if(~F.col("ok")), F.coalesce(F.sum("fragments"), F.lit(0))).first()
+    if bad or fragments != table(spark, d, "page_records").count():
+        raise RuntimeError(f"{bad} compacted files differ from what was written, {fragments} records were joined")
     read = spark.read.schema(RECORD).json(out)
     instant = F.expr("try_cast(nullif(trim(fetched_at), '') AS timestamp)")
     return read.withColumns({"canonical": canonical_url_col(F.col("normalized_url")), "instant": instant})

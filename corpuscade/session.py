@@ -72,6 +72,15 @@ def local_path(uri: str) -> str:
     return os.path.abspath(uri.removeprefix("file://").removeprefix("file:"))
 
 
+def located(uri: str):  # noqa: ANN201
+    """The pyarrow file system of a URI, and the path there; a path without scheme is a local one."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), local_path(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://"))
+
+
 def scalars(one_row: DataFrame) -> dict[str, Column]:
     """The columns of a table of one row as scalar subqueries, to be used in another table's plan.
 
