@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_k_per_group
-from ..session import written
+from ..session import located, work_path, written
 
 #: Width in bits of the set of directions that goes with a posting.
 SIGNATURE = 512
+#: Projections are kept in steps of this part of a standard deviation, up to 255 of them.
+STEPS = 40
+#: Values of a matrix that a task makes at once.
+SLICE = 1 << 22
 FIXED_POINT = 32767.0
 
 
@@ -56,23 +60,26 @@ def unpack(vecs: pa.Array, dim: int) -> np.ndarray:
 class SimilarVectors:
     """The k nearest by cosine of every vector.
 
-    Each direction is one Gaussian projection with an array of its own.  A vector is entered in
-    the ``tail`` arrays in which its projection is largest, where the density is low; a query
-    looks into its first ``probes`` arrays.  Two vectors collide once for every direction whose
-    tail holds both; a pair with at least ``thresholds[round]`` collisions is verified by its
-    cosine.  A query of which k verified neighbours don't lie within the round's radius
-    (``radii``, as cosines) goes on to the next round, with one collision less.
+    Each direction is one Gaussian projection with an array of its own, sorted by the projection.
+    A vector is entered in the ``tail`` arrays in which its projection is largest, where the
+    density is low; a query looks into its first ``probes`` arrays, at the window around its own
+    projection.  Two vectors collide once for every direction whose tail holds both, no further
+    apart than the window; a pair with at least ``thresholds[round]`` collisions is verified by
+    its cosine.  A query of which k verified neighbours don't lie within the round's radius
+    (``radii``, as cosines) goes on to the next round (virtual rehashing): over the same
+    projections with a wider window, 2.5 standard deviations of what two vectors at that round's
+    radius are apart, and one collision less.  The last round has no window.
 
     The number of directions grows with the square root of the number of vectors, so an array
-    has some 6 sqrt(n) entries and is compared as a whole with itself, by one task.
+    has some 6 sqrt(n) entries; one task holds it.  Vectors are projected in slices of a fixed
+    number of values, so a task's memory doesn't depend on the number of directions.
 
     Crowds: where very many vectors are alike, collisions don't tell the nearest of them apart.
     A query that meets more than ``enough`` candidates in one array, or looks into an array of
     more than ``segment`` entries (or four times the mean, if that is more), is compared with
     every vector instead, in blocks, so its neighbours are exact; arrays of that size are left
     out for all others.  A crowd of a third of all vectors so costs n * n / 3 cosines.
-    Collisions are counted on direction numbers modulo 512, so they may be counted too high (a
-    pair more is verified).  Outside crowds the search is approximate; recall against brute
+    Outside crowds the search is approximate; recall against brute
     force is in the README and held by a test.
 
     Equal vectors are one class, so copies don't crowd others out: ``classes`` has every id
@@ -92,30 +99,33 @@ class SimilarVectors:
         self.directions = max(32, 1 << round(math.log2(2 * math.sqrt(max(1, self.count)))))
 
     def _postings(self, queries: DataFrame | None) -> DataFrame:
-        """``dir, rep, query, tail``: a row for each direction of a vector's tail."""
+        """``dir, rep, query, tail, height``: a row for each direction of a vector's tail, with the
+        whole tail and its projections in steps of 1 / STEPS."""
         dim, m, t, seed, probes = self.dim, self.directions, min(self.tail, self.directions), self.seed, self.probes
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = directions(dim, m, seed)
-            for batch in batches:
-                n = batch.num_rows
-                if not n:
-                    continue
-                h = unpack(batch.column(1), dim) @ a
-                top = np.argpartition(-h, t - 1, axis=1)[:, :t]
-                val = np.take_along_axis(h, top, 1)
-                order = np.argsort(-val, axis=1, kind="stable")
-                top = np.take_along_axis(top, order, 1)
-                wanted = batch.column(2).to_numpy(zero_copy_only=False)[:, None] & (np.arange(t) < probes)
-                tails = pa.array([r.tobytes() for r in top.astype("<u4" if m > 65536 else "<u2")], pa.binary())
-                at = pa.array(np.repeat(np.arange(n), t))
-                yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), batch.column(0).take(at), pa.array(wanted.ravel()), tails.take(at)], ["dir", "rep", "query", "tail"])
+            step = max(1, SLICE // m)
+            for whole in batches:
+                for low in range(0, whole.num_rows, step):
+                    batch = whole.slice(low, step)
+                    n = batch.num_rows
+                    h = unpack(batch.column(1), dim) @ a
+                    top = np.argpartition(-h, t - 1, axis=1)[:, :t]
+                    val = np.take_along_axis(h, top, 1)
+                    order = np.argsort(-val, axis=1, kind="stable")
+                    top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
+                    wanted = batch.column(2).to_numpy(zero_copy_only=False)[:, None] & (np.arange(t) < probes)
+                    tails = pa.array([r.tobytes() for r in top.astype("<u4" if m > 65536 else "<u2")], pa.binary())
+                    heights = pa.array([r.tobytes() for r in np.clip(np.rint(val * STEPS), 0, 255).astype(np.uint8)], pa.binary())
+                    at = pa.array(np.repeat(np.arange(n), t))
+                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), batch.column(0).take(at), pa.array(wanted.ravel()), tails.take(at), heights.take(at)], ["dir", "rep", "query", "tail", "height"])
 
         if queries is None:
             flagged = self.vectors.select("rep", "vec", F.lit(True).alias("query"))
         else:
             flagged = self.vectors.join(queries.withColumn("query", F.lit(True)), "rep", "left").select("rep", "vec", F.coalesce("query", F.lit(False)).alias("query"))
-        return flagged.mapInArrow(rows, "dir int, rep long, query boolean, tail binary")
+        return flagged.mapInArrow(rows, "dir int, rep long, query boolean, tail binary, height binary")
 
     def _candidates(self, queries: DataFrame | None, number: int) -> DataFrame:
         """Pairs (query a, other b) with enough collisions, of the given queries in round
@@ -124,6 +134,7 @@ class SimilarVectors:
         both_ways = queries is None
         enough = self.enough
         threshold, wide, t = self.thresholds[number], self.directions > 65536, min(self.tail, self.directions)
+        window = round(2.5 * math.sqrt(2 - 2 * self.radii[number]) * STEPS) if number < len(self.radii) else 255
         postings = written(self._postings(queries), "postings")
         if self._large is None:
             limit = max(self.segment, 4 * t * self.count // self.directions)
@@ -132,32 +143,36 @@ class SimilarVectors:
 
         def compare(q: dict, out: list) -> None:
             asked = np.flatnonzero(q["query"])
-            for k in range(0, len(asked), 512):
-                own = asked[k : k + 512]
-                shared = q["hot"][own] @ q["hot"].T
-                row, col = np.nonzero(shared >= threshold)
+            for k in range(0, len(asked), 256):
+                own = asked[k : k + 256]
+                low, high = np.searchsorted(q["at"], q["at"][own[0]] - window, "left"), np.searchsorted(q["at"], q["at"][own[-1]] + window, "right")
+                # an upper bound of the collisions: shared directions, modulo the signature's width
+                row, col = np.nonzero(q["hot"][own] @ q["hot"][low:high].T >= threshold)
                 full = np.bincount(row, minlength=len(own)) > enough
                 if full.any():  # a crowd
                     out.append((q["rep"][own[full]],) * 2)
                     row, col = row[~full[row]], col[~full[row]]
-                # each pair where it is met first: no earlier direction of the query holds both
-                row = own[row]
-                other = q["rep"][row] != q["rep"][col]
-                row, col = row[other], col[other]
-                before = np.arange(t) < (q["tail"][row] == q["dir"]).argmax(axis=1)[:, None]
-                again = ((q["tail"][row][:, :, None] == q["tail"][col][:, None, :]).any(axis=2) & before).any(axis=1)
-                x, y = q["rep"][row[~again]], q["rep"][col[~again]]
+                row, col = own[row], col + low
+                apart = np.abs(q["height"][row][:, :, None] - q["height"][col][:, None, :])
+                hit = ((q["tail"][row][:, :, None] == q["tail"][col][:, None, :]) & (apart <= window)).any(axis=2)
+                # each pair where it collides first, seen from the query
+                kept = (hit.sum(axis=1) >= threshold) & (q["rep"][row] != q["rep"][col]) & (q["tail"][row, hit.argmax(axis=1)] == q["dir"])
+                x, y = q["rep"][row[kept]], q["rep"][col[kept]]
                 out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, part = None, []
 
             def meet() -> pa.RecordBatch:
-                rep, query, tail = (np.concatenate([p[k] for p in part]) for k in range(3))
+                rep, query, tail, height = (np.concatenate([p[k] for p in part]) for k in range(4))
+                height = height.astype(np.int16)
+                at = height[np.arange(len(rep)), (tail == now).argmax(axis=1)]
+                order = np.argsort(at, kind="stable")
+                rep, query, tail, height, at = rep[order], query[order], tail[order], height[order], at[order]
                 hot = np.zeros((len(rep), SIGNATURE), np.float32)
                 hot[np.arange(len(rep))[:, None], tail % SIGNATURE] = 1
                 out: list = []
-                compare({"dir": now, "rep": rep, "query": query, "tail": tail, "hot": hot}, out)
+                compare({"dir": now, "rep": rep, "query": query, "tail": tail, "height": height, "at": at, "hot": hot}, out)
                 a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(2))
                 both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
                 return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
@@ -166,6 +181,7 @@ class SimilarVectors:
                 dirs = batch.column("dir").to_numpy()
                 rep, query = batch.column("rep").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
                 tail = np.frombuffer(b"".join(batch.column("tail").to_pylist()), "<u4" if wide else "<u2").reshape(-1, t)
+                height = np.frombuffer(b"".join(batch.column("height").to_pylist()), np.uint8).reshape(-1, t)
                 cuts = [0, *(np.flatnonzero(np.diff(dirs)) + 1).tolist(), len(dirs)]
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     if x == y:
@@ -174,7 +190,7 @@ class SimilarVectors:
                         yield meet()
                         part = []
                     now = int(dirs[x])
-                    part.append((rep[x:y], query[x:y], tail[x:y]))
+                    part.append((rep[x:y], query[x:y], tail[x:y], height[x:y]))
             if part:
                 yield meet()
 
@@ -183,58 +199,61 @@ class SimilarVectors:
             met = met.unionByName(postings.where(F.col("query") & F.col("dir").isin(self._large)).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
         return met.distinct()
 
-    def _exact(self, queries: DataFrame, block: int = 2048) -> DataFrame:
+    def _exact(self, queries: DataFrame, block: int = 2048, held: int = 1 << 18) -> DataFrame:
         """``rep, other, cos``: the k nearest of each of the queries by comparison with every vector.
 
-        The queries are read in blocks of a fixed size, each sent to all tasks; a task keeps k a query.
+        The queries' vectors are written to the shared folder.  A task holds its share of all
+        vectors (in parts of ``held``), reads the queries block by block and keeps k a query: one
+        scan and one plan, however many queries there are, and nothing passes the driver.
         """
         spark, dim, k = self.classes.sparkSession, self.dim, self.k
         base = written(self.vectors.select("rep", "vec"), "base")
+        path = work_path(spark, "asked")
+        base.join(queries.distinct(), "rep", "left_semi").write.option("compression", "snappy").parquet(path)
 
-        def over(held: list) -> DataFrame:
-            held.sort(key=lambda r: r["rep"])
-            shared = spark.sparkContext.broadcast((np.array([r["rep"] for r in held], np.int64), b"".join(bytes(r["vec"]) for r in held)))
+        def against(ids: np.ndarray, vecs: np.ndarray) -> Iterator[pa.RecordBatch]:
+            import pyarrow.dataset as ds
 
-            def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                names, raw = shared.value
-                q = np.frombuffer(raw, "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
-                line, best, ids = np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64)
+            system, where = located(path)
+            for some in ds.dataset(where, format="parquet", filesystem=system).to_batches(batch_size=block):
+                if not some.num_rows:
+                    continue
+                order = np.argsort(some.column(0).to_numpy())
+                names, q = some.column(0).to_numpy()[order], unpack(some.column(1), dim)[order]
+                line, best, found = np.empty(0, np.int64), np.empty(0, np.float32), np.empty(0, np.int64)
                 least = np.full(len(names), -np.inf, np.float32)
-                for batch in batches:
-                    for at in range(0, batch.num_rows, block):
-                        some = batch.slice(at, block)
-                        other = some.column(0).to_numpy()
-                        cos = q @ unpack(some.column(1), dim).T
-                        own = np.minimum(np.searchsorted(names, other), len(names) - 1)
-                        same = np.flatnonzero(names[own] == other)
-                        cos[own[same], same] = -np.inf
-                        if len(other) > k:
-                            low = least if len(line) else np.partition(cos, len(other) - k, axis=1)[:, len(other) - k]
-                            row, col = np.nonzero((cos >= low[:, None]) & (cos > -np.inf))
-                        else:
-                            row, col = np.nonzero(cos > -np.inf)
-                        line, best, ids = np.concatenate([line, row]), np.concatenate([best, cos[row, col]]), np.concatenate([ids, other[col]])
-                        order = np.lexsort((ids, -best, line))
-                        line, best, ids = line[order], best[order], ids[order]
-                        kept = np.arange(len(line)) - np.searchsorted(line, line) < k
-                        line, best, ids = line[kept], best[kept], ids[kept]
-                        last = np.searchsorted(line, np.arange(len(names)), "right") - 1
-                        many = np.bincount(line, minlength=len(names)) == k
-                        least[many] = best[last[many]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[line]), pa.array(ids), pa.array(best.astype(np.float64))], ["rep", "other", "cos"])
-
-            return base.mapInArrow(rows, "rep long, other long, cos double")
-
-        out, held = None, []
-        for row in base.join(queries, "rep", "left_semi").toLocalIterator():
-            held.append(row)
-            if len(held) == block:
-                part = over(held)
-                out, held = part if out is None else out.unionByName(part), []
-        if held:
-            part = over(held)
-            out = part if out is None else out.unionByName(part)
-        return written(top_k_per_group(out, ["rep"], [F.desc("cos"), F.asc("other")], k), "exact")
+                for at in range(0, len(ids), block):
+                    other = ids[at : at + block]
+                    cos = q @ (vecs[at : at + block].astype(np.float32) / np.float32(FIXED_POINT)).T
+                    own = np.minimum(np.searchsorted(names, other), len(names) - 1)
+                    same = np.flatnonzero(names[own] == other)
+                    cos[own[same], same] = -np.inf
+                    low = np.partition(cos, len(other) - k, axis=1)[:, len(other) - k] if len(other) > k and not len(line) else least
+                    row, col = np.nonzero((cos >= low[:, None]) & (cos > -np.inf))
+                    line, best, found = np.concatenate([line, row]), np.concatenate([best, cos[row, col]]), np.concatenate([found, other[col]])
+                    order = np.lexsort((found, -best, line))
+                    line, best, found = line[order], best[order], found[order]
+                    kept = np.arange(len(line)) - np.searchsorted(line, line) < k
+                    line, best, found = line[kept], best[kept], found[kept]
+                    last = np.searchsorted(line, np.arange(len(names)), "right") - 1
+                    many = np.bincount(line, minlength=len(names)) == k
+                    least[many] = best[last[many]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[line]), pa.array(found), pa.array(best.astype(np.float64))], ["rep", "other", "cos"])
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, vecs, count = [], [], 0
+            for batch in batches:
+                ids.append(batch.column(0).to_numpy())
+                vecs.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i2").reshape(-1, dim))
+                count += batch.num_rows
+                if count >= held:
+                    yield from against(np.concatenate(ids), np.concatenate(vecs))
+                    ids, vecs, count = [], [], 0
+            if count:
+                yield from against(np.concatenate(ids), np.concatenate(vecs))
+
+        near = base.mapInArrow(rows, "rep long, other long, cos double")
+        return written(top_k_per_group(near, ["rep"], [F.desc("cos"), F.asc("other")], k), "exact")
 
     def _verified(self, pairs: DataFrame, least: float, queries: DataFrame | None) -> DataFrame:
         """``a, b, cos`` of the pairs whose cosine is at least ``least``.
