@@ -3,17 +3,24 @@
 from __future__ import annotations
 
 import math
+import pickle
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import located, work_path, written
+
 WORD = re.compile(r"[^\W_]+")
+#: Characters of text that a task takes through the blocks of items at a time.
+CHARACTERS = 1 << 22
 
 
 def words(text: str) -> list[str]:
@@ -43,6 +50,7 @@ class ItemIndex:
     block_max: list[list[float]] = field(default_factory=list)
     top: list[float] = field(default_factory=list)
     need: list[float] = field(default_factory=list)
+    floor: float = math.inf
 
     def build(self, items: list[tuple[object, str]]) -> ItemIndex:
         tokens = [(i, words(t)) for i, t in items if t]
@@ -67,12 +75,9 @@ class ItemIndex:
             self.need.append(min(runs) * (1 - 1e-9))
         self.block_max = [[max(i[k : k + self.block]) for k in range(0, len(i), self.block)] for i in self.impacts]
         self.top = [max(i) for i in self.impacts]
+        self.floor = min(self.need, default=math.inf)
         return self
 
-    @property
-    def floor(self) -> float:
-        return min(self.need, default=math.inf)
-
     def search(self, terms: list[int]) -> list[int]:
         """Items whose score for the distinct ``terms`` reaches their own ``need``, by block-max WAND."""
         floor = self.floor
@@ -121,65 +126,103 @@ class ItemIndex:
             best = max(best, int(row.max()))
         return best
 
-    def leaks(self, text: str) -> dict[int, int]:
-        """Items that leaked into a text, each with the longest shared run in words.
+    def leaks(self, tokens: list[str]) -> dict[int, int]:
+        """Items that leaked into a text, given as words, each with the longest shared run in words.
 
         A run of ``span`` item words consists of indexed words only, so the text's maximal runs
         of indexed words are cut out first; passages are windows of twice the span over these,
-        a span apart, of which one holds any such run entirely.
+        a span apart, of which one holds any such run entirely.  Passages whose words can't
+        reach the lowest of all needed scores, whatever the item, aren't searched.
         """
-        get = self.terms.get
-        ids = np.array([get(w, -1) for w in words(text)], np.int64)
-        if len(ids) < self.span:
+        get, span = self.terms.get, self.span
+        ids = np.array([get(w, -1) for w in tokens], np.int64)
+        if len(ids) < span:
             return {}
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
+        long = edges[1::2] - edges[::2] >= span
+        if not long.any():
+            return {}
+        most = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, np.array(self.top)[ids], 0.0))])
         out: dict[int, int] = {}
-        for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if end - start < self.span:
-                continue
+        for start, end in zip(edges[::2][long].tolist(), edges[1::2][long].tolist()):
             seen: set[int] = set()
-            for at in range(start, end - self.span + 1, self.span):
-                for item in self.search(list(set(ids[at : min(end, at + 2 * self.span)].tolist()))):
+            for at in range(start, end - span + 1, span):
+                stop = min(end, at + 2 * span)
+                if most[stop] - most[at] < self.floor * (1 - 1e-9):
+                    continue
+                for item in self.search(list(set(ids[at:stop].tolist()))):
                     if item not in seen:
                         seen.add(item)
                         length = self.longest_common(ids[start:end], item)
-                        if length >= self.span:
+                        if length >= span:
                             out[item] = max(length, out.get(item, 0))
         return out
 
 
+def build_indexes(items: DataFrame, item_id: str, text: str, span: int, items_per_index: int) -> list[str]:
+    """Indexes of blocks of the items as files in the shared folder; returns their names, one a block.
+
+    Every block is built by the task that holds it; no item passes the driver.
+    """
+    spark = items.sparkSession
+    own = items.where(F.col(text).isNotNull()).select(item_id, text).distinct()
+    blocks = max(1, math.ceil(own.count() / items_per_index))
+    folder = work_path(spark, "items")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+        index = ItemIndex(span=span).build(held)
+        if index.ids:
+            system, at = located(f"{folder}/{uuid.uuid4().hex}")
+            system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with system.open_output_stream(at) as stream:
+                stream.write(pickle.dumps(index))
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{at.rsplit('/', 1)[1]}"])], ["name"])
+
+    return [r["name"] for r in written(own.repartition(blocks).mapInArrow(rows, "name string"), "indexes").collect()]  # one row a block
+
+
+@lru_cache(maxsize=4)
+def _index(name: str) -> ItemIndex:
+    system, at = located(name)
+    with system.open_input_stream(at) as stream:
+        return pickle.loads(stream.read())
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", span: int = 12, items_per_index: int = 20_000) -> DataFrame:
     """``doc_id, item_id, words``: every document that holds at least ``span`` successive words
     of an item, with the length of the longest shared run.
 
-    Items are the stated query set.  They are indexed in blocks of ``items_per_index``, chosen
-    by hash, so what a task holds is bounded whatever their number; the corpus is scanned once a
-    block and never shuffled but for the final ``distinct``.  Null or blank texts and items
-    shorter than ``span`` give no rows; repeated rows count once; of several texts under one
-    item id each is searched.  Other columns are ignored.
+    Items are the stated query set.  They are indexed in blocks of about ``items_per_index``,
+    which lie in the shared folder; a task holds a few of them at a time.  The corpus is read
+    and cut into words once, whatever their number: a task takes texts of ``CHARACTERS`` at a
+    time through one block after another.  Nothing is shuffled but the result, for its
+    ``distinct``.  Null or blank texts and items shorter than ``span`` give no rows; repeated
+    rows count once; of several texts under one item id each is searched.  Other columns are
+    ignored.
     """
-    total = items.where(F.col(text).isNotNull()).count()
-    blocks = max(1, math.ceil(total / items_per_index))
     types = {f.name: f.dataType.simpleString() for f in [*docs.schema, *items.schema]}
     schema = f"{doc_id} {docs.schema[doc_id].dataType.simpleString()}, {item_id} {types[item_id]}, words int"
     item_type = pa.int64() if types[item_id] in ("bigint", "int", "smallint") else pa.string()
-    spark = docs.sparkSession
-    out = None
-    for number in range(blocks):
-        own = items.where(F.col(text).isNotNull()).where(F.pmod(F.xxhash64(item_id), F.lit(blocks)) == number).select(item_id, text).distinct()
-        shared = spark.sparkContext.broadcast(ItemIndex(span=span).build([(r[0], r[1]) for r in own.toLocalIterator()]))
-
-        def rows(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            index: ItemIndex = shared.value
-            for batch in batches:
-                at, hit, length = [], [], []
-                for k, body in enumerate(batch.column(1).to_pylist()):
-                    for item, size in index.leaks(body).items() if body else ():
-                        at.append(k)
-                        hit.append(index.ids[item])
-                        length.append(size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hit, item_type).cast(pa.int32() if types[item_id] == "int" else item_type), pa.array(length, pa.int32())], [doc_id, item_id, "words"])
-
-        part = docs.select(doc_id, text).mapInArrow(rows, schema)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(doc_id, item_id).agg(F.max("words").alias("words"))
+    names = build_indexes(items, item_id, text, span, items_per_index)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, last = [], 0, batch.num_rows - 1
+            at, hit, length = [], [], []
+            for k, body in enumerate(batch.column(1).to_pylist()):
+                if body:
+                    held.append((k, words(body)))
+                    size += len(body)
+                if size >= CHARACTERS or k == last:
+                    for name in names:
+                        index = _index(name)
+                        for doc, tokens in held:
+                            for item, run in index.leaks(tokens).items():
+                                at.append(doc)
+                                hit.append(index.ids[item])
+                                length.append(run)
+                    held, size = [], 0
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(hit, item_type).cast(pa.int32() if types[item_id] == "int" else item_type), pa.array(length, pa.int32())], [doc_id, item_id, "words"])
+
+    return docs.select(doc_id, text).mapInArrow(rows, schema).groupBy(doc_id, item_id).agg(F.max("words").alias("words"))

@@ -27,7 +27,7 @@ FULL_STOPS = "。！？｡．।॥؟۔"
 TERMINALS = ".!?…" + FULL_STOPS
 
 LINE_BREAK = re.compile("\r\n|[\n\r\v\f\x1c\x1d\x1e\x85  ]")
-MARKER = re.compile(r"\s*(?:[-–—*•‣◦▪·●○■□➢✓]|\(?\d{1,3}[.)]|\(?[a-z]\)|\(?[ivx]{1,4}\))\s+")
+MARKER = re.compile(r"\s*(?:([-–—*•‣◦▪·●○■□➢✓])|\(?(\d{1,3}(?:\.\d{1,3})*)[.)]|\(?([a-z])\)|\(?([ivx]{1,4})\))\s+")
 EVENT = re.compile("[" + re.escape(TERMINALS) + re.escape("".join({*OPEN_CLOSE, *CLOSERS})) + '"]|(?<=[ก-๛])[ \xa0　\t]+(?=[^\\s\\d])')
 _ABSORB = re.compile("[" + re.escape(TERMINALS) + "]*[" + re.escape("".join(CLOSERS - {"“", "‘"})) + "]*")
 _WORD_BACK = re.compile(r"[^\s(\[{«“„‘\"'¿¡（「『/]*$")
@@ -93,15 +93,53 @@ def _period_ends(text: str, first: int, dot: int, at: int, end: int) -> bool:
     return True
 
 
-def split_line(text: str, first: int, end: int, out: list[tuple[int, int]]) -> None:
-    """Append the sentences of ``text[first:end]``, a line without outer white space.
+def enter_item(levels: list[tuple[int, str]], indent: int, kind: str) -> None:
+    """Move the open list levels (indentation, kind of mark) to an item: close the deeper ones,
+    those of another kind beside it if one of its kind is open, and open one if none is."""
+    while levels and levels[-1][0] > indent:
+        levels.pop()
+    if (indent, kind) in levels:
+        while levels[-1] != (indent, kind):
+            levels.pop()
+    else:
+        levels.append((indent, kind))
 
-    The automaton's stack holds open quotations and brackets.  An opener without its closer on
-    the line isn't pushed, so a stray mark can't swallow what follows.  A terminal inside a
-    quotation ends nothing until the quotation closes; what stands next then decides.
+
+def item_body(text: str, line: int, first: int, end: int, levels: list[tuple[int, str]]) -> int:
+    """Where the text of a line begins behind its list marks, of which several may stand in a
+    row (``1. a) text``); each enters its list level.  A line without mark closes the lists it
+    isn't indented into."""
+    at, marked = first, False
+    while (mark := MARKER.match(text, at, end)) and mark.end() < end:
+        kind = mark.lastindex or 0
+        shown = mark.group(kind)
+        start = mark.start(kind)
+        enter_item(levels, start - line, shown if kind == 1 else "(" * (text[start - 1 : start] == "(") + f"{kind}.{shown.count('.')}{text[mark.end(kind)]}")
+        at, marked = mark.end(), True
+    if not marked:
+        while levels and levels[-1][0] >= first - line:
+            levels.pop()
+    return at
+
+
+def split_line(text: str, first: int, end: int, out: list[tuple[int, int]], begin: int | None = None) -> None:
+    """Append the sentences of ``text[first:end]``, a line without outer white space, whose text
+    begins at ``begin`` behind list marks.
+
+    The automaton's stack holds open quotations and brackets, above the list levels of the line.
+    An opener without its closer on the line isn't pushed, so a stray mark can't swallow what
+    follows.  A terminal inside a quotation ends nothing until the quotation closes; what stands
+    next then decides.
     """
-    marker = MARKER.match(text, first, end)
-    begin = marker.end() if marker and marker.end() < end else first
+    begin = item_body(text, first, first, end, []) if begin is None else begin
+    waiting: dict[str, int] = {}  # closers of what is on the stack
+    behind: dict[str, int] = {}  # last place of a closer on the line
+
+    def closes(mark: str, at: int) -> bool:
+        if mark not in behind:
+            behind[mark] = text.rfind(mark, first, end)
+        return behind[mark] >= at
+
     stack: list[tuple[str, int]] = []
     start, body, pos, ended_at = first, begin, begin, -1
     search = EVENT.search
@@ -141,12 +179,11 @@ def split_line(text: str, first: int, end: int, out: list[tuple[int, int]]) -> N
         elif ch in " \xa0　\t":
             if not stack:
                 cut = at
-        elif stack and (ch == stack[-1][0] or any(ch == c for c, _ in stack) and ch != '"'):
-            depth = len(stack) - 1
-            while stack[depth][0] != ch:
-                depth -= 1
-            opened = stack[depth][1]
-            del stack[depth:]
+        elif stack and (ch == stack[-1][0] or waiting.get(ch) and ch != '"'):
+            closed, opened = "", -1
+            while closed != ch:
+                closed, opened = stack.pop()
+                waiting[closed] -= 1
             while pos < end and not stack and text[pos] in CLOSERS and text[pos] not in "“‘\"":
                 pos += 1
             before = at
@@ -172,11 +209,14 @@ def split_line(text: str, first: int, end: int, out: list[tuple[int, int]]) -> N
             else:
                 cut = pos
         elif ch == '"':
-            if '"' in text[pos:end]:
+            if closes('"', pos):
                 stack.append(('"', at))
+                waiting['"'] = waiting.get('"', 0) + 1
         elif ch in OPEN_CLOSE and (ch not in "“‘" or not stack or stack[-1][0] != ch):
-            if text.find(OPEN_CLOSE[ch], pos, end) >= 0:
-                stack.append((OPEN_CLOSE[ch], at))
+            closer = OPEN_CLOSE[ch]
+            if closes(closer, pos):
+                stack.append((closer, at))
+                waiting[closer] = waiting.get(closer, 0) + 1
         if cut >= 0:
             stop = cut
             while stop > start and text[stop - 1].isspace():
@@ -188,6 +228,7 @@ def split_line(text: str, first: int, end: int, out: list[tuple[int, int]]) -> N
                 start += 1
             pos, body, ended_at = start, start, -1
             stack.clear()
+            waiting.clear()
     if start < end:
         out.append((start, end))
 
@@ -195,6 +236,7 @@ def split_line(text: str, first: int, end: int, out: list[tuple[int, int]]) -> N
 def sentence_spans(text: str) -> list[tuple[int, int]]:
     """Offsets (start, end) of all sentences of a text, in code points."""
     out: list[tuple[int, int]] = []
+    levels: list[tuple[int, str]] = []
     start, size = 0, len(text)
     while start <= size:
         brk = LINE_BREAK.search(text, start)
@@ -205,7 +247,7 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
         while b > a and text[b - 1].isspace():
             b -= 1
         if a < b:
-            split_line(text, a, b, out)
+            split_line(text, a, b, out, item_body(text, start, a, b, levels))
         if brk is None:
             break
         start = brk.end()

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import time
 import unicodedata
 
 import numpy as np
@@ -531,3 +532,29 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks] == ["T x", "one", "two link", "z & &"] and title == 0
     assert [b.parent == parent for b in blocks] == [True, True, True, False] and blocks[2].links == 0.5 and blocks[3].marked > 0
     assert boilerplate.text_blocks(None)[0] == [] == boilerplate.text_blocks("<")[0][1:]
+
+
+def test_list_levels(spark):
+    lines = ["1. Alpha. Beta.", "   a) Gamma", "   b) Delta. Epsilon", "2. (i) Zeta", "- Eta", "1.2. Theta is here.", "24.12. Iota", "Plain."]
+    levels, depths, bodies = [], [], []
+    for line in lines:
+        at = sentences.item_body(line, 0, len(line) - len(line.lstrip()), len(line), levels)
+        depths.append(len(levels))
+        bodies.append(line[at:])
+    assert depths == [1, 2, 2, 2, 2, 3, 3, 0]
+    assert bodies == ["Alpha. Beta.", "Gamma", "Delta. Epsilon", "Zeta", "Eta", "Theta is here.", "Iota", "Plain."]
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b in sentences.sentence_spans(text)] == ["1. Alpha.", "Beta.", "a) Gamma", "b) Delta.", "Epsilon", "2. (i) Zeta", "- Eta", "1.2. Theta is here.", "24.12. Iota", "Plain."]
+    began = time.time()
+    assert len(sentences.sentence_spans("(“" * 100_000 + " A. b" + ")" * 100_000)) == 1 and time.time() - began < 5
+
+
+def test_many_blocks_of_items_in_one_scan(spark):
+    rng = random.Random(8)
+    items = [(n, " ".join(rng.choice(WORDS) for _ in range(30))) for n in range(40)]
+    docs = [(n, " ".join([*(rng.choice(WORDS) for _ in range(50)), *(items[n % 40][1].split()[5 : 5 + rng.randrange(9, 16)] if n % 2 else []), *(rng.choice(WORDS) for _ in range(20))])) for n in range(120)]
+    got = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"), items_per_index=7)
+    want = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 10
+    # a plan of one scan, whatever the number of blocks
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
