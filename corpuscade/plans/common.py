@@ -3,11 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: The question that single-question queries ask.
-QUESTION = "How do I apply for PgDip Structural Analytics and which steps does the application process have"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,10 +18,6 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "search_results").select("query_id", "query_text").distinct()
 
 
-def question_table(spark: SparkSession) -> DataFrame:
-    return spark.range(1).select(F.col("id").alias("query_id"), F.lit(QUESTION).alias("query_text"))
-
-
 #: SQL for the same tables.
 CHUNKS = "SELECT DISTINCT chunk_id, document_id, university_id, domain, url, heading, text, position FROM chunks"
 ASKED = "SELECT DISTINCT query_id, query_text FROM search_results"

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..functions import vectors
-from ..operators import fusion, lexical, vector_search
+from ..operators import fusion, vector_search
+from ..operators.index import ChunkIndex
 from ..operators.ranking import top_k_per_group
-from ..session import scalars, written
-from .common import CHUNKS, QUESTION, chunk_table, question_table, table, tokens_sql
+from ..session import shared_dir, work_path, written
+from .common import ASKED, CHUNKS, asked, chunk_table, table, tokens_sql
 
 
 @dataclass(frozen=True)
@@ -28,36 +29,23 @@ class HybridConfig:
     dim: int = 256
 
 
-def dense_scores(chunks: DataFrame, queries: DataFrame, dim: int = 256) -> DataFrame:
-    """``query_id, chunk_id, dense``: dot products of hashed vectors, over shared components only."""
-    own = vectors.hashed_components(chunks, "chunk_id", "text", dim)
-    q = vectors.hashed_components(queries, "query_id", "query_text", dim).withColumnRenamed("value", "qv")
-    return own.join(q, "dim").groupBy("query_id", "chunk_id").agg(F.sum(F.col("value") * F.col("qv")).alias("dense"))
+def indexed(chunks: DataFrame | ChunkIndex) -> ChunkIndex:
+    """The chunks' index; one is written into the shared folder for chunks that have none."""
+    return chunks if isinstance(chunks, ChunkIndex) else ChunkIndex.write(chunks, work_path(chunks.sparkSession, "index"))
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, config: HybridConfig | None = None, domains: list[str] | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame | ChunkIndex, queries: DataFrame, config: HybridConfig | None = None, domains: list[str] | None = None) -> DataFrame:
     """The best chunks of every question by hashed vectors, BM25 and the heuristic reranker.
 
     ``query_id, chunk_id, score`` and its parts.  Each leg is normalised over the chunks of the
-    domain filter; statistics of terms are of all chunks.  Chunks that share neither a term nor a
-    component with a question have 0 on both legs and are kept out of the ranking only by what
-    comes before them: their number is all that is needed of them for the normalisation.
-    A blank question has no result.  Texts are joined behind the preselection.
+    domain filter, which reaches both legs' scan; statistics of terms are of all chunks.  A blank
+    question has no result.  Texts are joined behind the preselection.
     """
-    c = config or HybridConfig()
-    queries = queries.where(F.size(fn.tokens_col(F.col("query_text"))) > 0)
-    allowed = chunks.where(F.col("domain").isin(domains)) if domains else chunks
-    sparse = lexical.scores(chunks, queries, "chunk_id", "text", "query_id", "query_text").withColumnRenamed("score", "sparse")
-    legs = dense_scores(allowed, queries, c.dim).join(sparse, ["query_id", "chunk_id"], "full_outer")
-    legs = (legs.join(allowed.select("chunk_id"), "chunk_id", "left_semi") if domains else legs).na.fill(0.0, ["dense", "sparse"])
-    size = allowed.agg(F.count("*").alias("__all"))
-    by = legs.groupBy("query_id").agg(F.max("sparse").alias("ms"), F.min("dense").alias("lo"), F.max("dense").alias("hi"), F.count("*").alias("seen")).withColumn("__all", scalars(size)["__all"])
-    unseen = F.col("seen") < F.col("__all")
-    by = by.select("query_id", "ms", F.when(unseen, F.least("lo", F.lit(0.0))).otherwise(F.col("lo")).alias("lo"), F.when(unseen, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi")).alias("hi"))
-    normal = legs.join(by, "query_id").select("query_id", "chunk_id", F.when(F.col("hi") > F.col("lo"), (F.col("dense") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0).alias("dense_norm"), F.when(F.col("ms") > 0, F.col("sparse") / F.col("ms")).otherwise(0.0).alias("sparse_norm"))
-    combined = normal.withColumn("combined", F.round(c.dense_weight * F.col("dense_norm") + c.sparse_weight * F.col("sparse_norm"), 9))
-    few = top_k_per_group(combined, ["query_id"], [F.desc("combined"), F.asc("chunk_id")], max(30, 4 * c.top_k))
-    texts = few.join(allowed.select("chunk_id", "heading", "text"), "chunk_id").join(queries, "query_id")
+    c, index = config or HybridConfig(), indexed(chunks)
+    keep = max(30, 4 * c.top_k)
+    found = index.scan(queries, keep, (c.dense_weight, c.sparse_weight), domains)
+    few = top_k_per_group(found, ["query_id"], [F.desc("combined"), F.asc("chunk_id")], keep)
+    texts = few.join(index.chunks.select("chunk_id", "heading", "text"), "chunk_id").join(queries.select("query_id", "query_text").distinct(), "query_id")
     scored = texts.withColumn("rerank", fn.heuristic_rerank_col(F.col("query_text"), F.coalesce("text", F.lit("")), F.col("heading"))).withColumn("score", F.round(c.combined_weight * F.col("combined") + c.rerank_weight * F.col("rerank"), 6))
     best = top_k_per_group(scored.where(F.col("score") >= c.min_score), ["query_id"], [F.desc("score"), F.asc("chunk_id")], c.top_k)
     return best.select("query_id", "chunk_id", "score", F.round("dense_norm", 6).alias("dense_norm"), F.round("sparse_norm", 6).alias("sparse_norm"), F.round("rerank", 6).alias("rerank"))
@@ -76,18 +64,19 @@ class FusedConfig:
     min_score: float = 0.2
 
 
-def fused_retrieval(chunks: DataFrame, queries: DataFrame, config: FusedConfig | None = None, domains: list[str] | None = None) -> DataFrame:
+def fused_retrieval(chunks: DataFrame | ChunkIndex, queries: DataFrame, config: FusedConfig | None = None, domains: list[str] | None = None) -> DataFrame:
     """Dense and lexical candidates, fused by reciprocal ranks with a bonus for process headings,
     widened by their neighbours, reranked and blended: ``query_id, chunk_id, score, context``."""
-    c = config or FusedConfig()
+    c, index = config or FusedConfig(), indexed(chunks)
+    chunks = index.chunks
     allowed = chunks.where(F.col("domain").isin(domains)) if domains else chunks
     limit, few = max(120, 8 * c.top_k), max(80, 6 * c.top_k)
     keys = ["query_id", "chunk_id"]
-    dense = dense_scores(allowed, queries).withColumn("dense", F.round("dense", 9))
-    dense = fusion.ranked(dense, ["query_id"], [F.desc("dense"), F.asc("chunk_id")], "dense_rank", limit).select(*keys, "dense_rank")
     expanded = queries.select("query_id", fn.expanded_question_col(F.col("query_text")).alias("query_text"))
-    sparse = lexical.scores(allowed, expanded, "chunk_id", "text", "query_id", "query_text").withColumn("sparse", F.round("score", 9)).join(allowed.select("chunk_id", "document_id", "position"), "chunk_id")
-    sparse = fusion.ranked(sparse, ["query_id"], [F.desc("sparse"), F.asc("document_id"), F.asc("position"), F.asc("chunk_id")], "sparse_rank", limit).select(*keys, "sparse_rank")
+    legs = written(index.scan(queries, limit, None, domains, expanded), "legs")
+    dense = fusion.ranked(legs.where("leg = 'dense'"), ["query_id"], [F.desc("score"), F.asc("chunk_id")], "dense_rank", limit).select(*keys, "dense_rank")
+    sparse = legs.where("leg = 'sparse'").join(allowed.select("chunk_id", "document_id", "position"), "chunk_id")
+    sparse = fusion.ranked(sparse, ["query_id"], [F.desc("score"), F.asc("document_id"), F.asc("position"), F.asc("chunk_id")], "sparse_rank", limit).select(*keys, "sparse_rank")
     both = fusion.rrf(dense, sparse, keys, c.rrf_k).join(allowed.select("chunk_id", "document_id", "position", "heading", "text"), "chunk_id").join(queries, "query_id")
     bonus = F.when(fn.process_question_col(F.col("query_text")) & fn.process_heading_col(F.col("heading")), c.bonus).otherwise(0.0)
     both = both.withColumn("fused", F.round(F.col("fused") + bonus, 12))
@@ -101,12 +90,55 @@ def fused_retrieval(chunks: DataFrame, queries: DataFrame, config: FusedConfig |
     return top_k_per_group(scored.where(F.col("score") >= c.min_score), ["query_id"], [F.desc("score"), F.asc("chunk_id")], c.top_k).select(*keys, "score", "context")
 
 
+def stored_index(spark: SparkSession, d: str) -> ChunkIndex:
+    """The index of the chunks of ``d`` in the shared folder; written at its first use, and again
+    when the table's files have changed."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{d}/chunks.parquet")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    seen = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
+    path = f"{shared_dir(spark)}/corpuscade/index-{hashlib.sha256(repr(seen).encode()).hexdigest()[:16]}"
+    done = jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
+    if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+        return ChunkIndex.load(spark, path)
+    return ChunkIndex.write(chunk_table(spark, d), path)
+
+
 def hybrid_search_query(spark: SparkSession, d: str) -> DataFrame:
-    return hybrid_search(written(chunk_table(spark, d), "chunks"), question_table(spark))
+    return hybrid_search(stored_index(spark, d), asked(spark, d))
+
+
+def hybrid_search_domains(spark: SparkSession, d: str) -> DataFrame:
+    """The same within the hosts of two universities, a filter of both legs."""
+    return hybrid_search(stored_index(spark, d), asked(spark, d), domains=_two_domains(spark, d))
+
+
+def _two_domains(spark: SparkSession, d: str) -> list[str]:
+    return [r["domain"] for r in table(spark, d, "chunks").where("domain IS NOT NULL").select("domain").distinct().orderBy("domain").limit(2).collect()]
 
 
 def backend_retrieve(spark: SparkSession, d: str) -> DataFrame:
-    return fused_retrieval(written(chunk_table(spark, d), "chunks"), question_table(spark))
+    return fused_retrieval(stored_index(spark, d), asked(spark, d))
+
+
+def index_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of the stored index with their document frequencies, and its corpus statistics."""
+    index = stored_index(spark, d)
+    n, avgdl = index.stats()
+    return index._read("terms").select("term", "df", F.lit(n).cast("long").alias("n"), F.round(F.lit(avgdl), 6).alias("avgdl"))
+
+
+def index_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten best chunks of every question over the postings of the stored index."""
+    return stored_index(spark, d).lexical(asked(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def blended_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """Every question's results by a model's scores, here the stored ones, blended with the heuristic's."""
+    found = table(spark, d, "search_results").groupBy("query_id", "query_text", "chunk_id").agg(F.max(F.when(~F.isnan("rerank_score"), F.col("rerank_score"))).alias("model_score")).where("model_score IS NOT NULL")
+    texts = found.join(chunk_table(spark, d).select("chunk_id", "heading", "text"), "chunk_id")
+    scored = texts.withColumn("heuristic_score", fn.heuristic_rerank_col(F.col("query_text"), F.coalesce("text", F.lit("")), F.col("heading")))
+    return fusion.blended_rerank(scored).select("query_id", "chunk_id", F.round("rerank", 6).alias("rerank"))
 
 
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
@@ -123,14 +155,13 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
-    """Each question and its expansions asked on their own; reciprocal ranks summed by chunk, first eight."""
-    q = question_table(spark)
-    variants = q.select("query_id", F.explode(F.array(F.col("query_text"), fn.expanded_question_col(F.col("query_text")), F.lower("query_text"))).alias("query_text"))
-    numbered = variants.select(F.xxhash64("query_text").alias("query_id"), "query_text").distinct()
-    scored = lexical.scores(chunk_table(spark, d), numbered, "chunk_id", "text", "query_id", "query_text").withColumn("score", F.round("score", 9))
-    listed = fusion.ranked(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], "rank", 120)
-    fused = listed.groupBy("chunk_id").agg(F.round(F.sum(fusion.reciprocal_rank(F.col("rank"))), 9).alias("fused"))
-    return fused.orderBy(F.desc("fused"), F.asc("chunk_id")).limit(8)
+    """Each question and its expansion asked on their own over the stored index; reciprocal ranks
+    summed by question and chunk, the first eight of every question."""
+    variants = asked(spark, d).select("query_id", F.posexplode(F.array_distinct(F.array(F.col("query_text"), fn.expanded_question_col(F.col("query_text"))))).alias("variant", "query_text"))
+    numbered = variants.select((F.col("query_id") * 2 + F.col("variant")).alias("query_id"), "query_text")
+    listed = fusion.ranked(stored_index(spark, d).lexical(numbered, 120), ["query_id"], [F.desc("score"), F.asc("chunk_id")], "rank")
+    fused = listed.groupBy(F.floor(F.col("query_id") / 2).cast("long").alias("query_id"), "chunk_id").agg(F.round(F.sum(fusion.reciprocal_rank(F.col("rank"))), 9).alias("fused"))
+    return top_k_per_group(fused, ["query_id"], [F.desc("fused"), F.asc("chunk_id")], 8)
 
 
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
@@ -163,9 +194,9 @@ def chunk_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", F.round("cosine", 4).alias("cosine"))
 
 
-QUERIES = {"hybrid_search": hybrid_search_query} | {f.__name__: f for f in (backend_retrieve, rrf_fusion, multi_query_fusion, neighbor_expand, vector_topk_cosine, vector_topk_tenant, chunk_vector_topk)}
+QUERIES = {"hybrid_search": hybrid_search_query} | {f.__name__: f for f in (hybrid_search_domains, index_terms, index_search, blended_rerank, backend_retrieve, rrf_fusion, multi_query_fusion, neighbor_expand, vector_topk_cosine, vector_topk_tenant, chunk_vector_topk)}
 
-_Q = "'" + QUESTION + "'"
+_Q = "query_text"
 _VEC = """
     v AS (SELECT {id}, t, 1 + ln(count(*)) AS w FROM (SELECT {id}, unnest({tokens}) AS t FROM {source}) GROUP BY ALL),
     h AS (SELECT {id}, (('0x' || substr(sha256(t), 1, 8))::BIGINT % 256)::INT AS dim, CASE WHEN ('0x' || substr(sha256(t), 9, 2))::INT % 2 = 1 THEN -w ELSE w END AS w FROM v),
@@ -182,9 +213,11 @@ _BM25 = """
     st AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
     p AS (SELECT chunk_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT chunk_id, w, unnest(w) AS term FROM w) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-    qt AS (SELECT term, count(*) AS qtf FROM (SELECT unnest({question}) AS term) GROUP BY ALL),
-    sp AS (SELECT chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS sparse
-           FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY chunk_id)"""
+    qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({question}) AS term FROM q) GROUP BY ALL),
+    sp AS (SELECT query_id, chunk_id, sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS sparse
+           FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY query_id, chunk_id)"""
+_EXPANDED = r"""query_text || CASE WHEN regexp_matches(query_text, '(?i)\b(step|steps|stage|stages|process|how\s+to\s+apply|application\s+guide|application\s+process|guide)\b') THEN ' steps stage process application guide how to apply' ELSE '' END"""
+_ALLOWED = "a AS (SELECT * FROM c WHERE domain IN (SELECT DISTINCT domain FROM chunks WHERE domain IS NOT NULL ORDER BY domain LIMIT 2))"
 
 
 def _rerank(text: str) -> str:
@@ -210,31 +243,50 @@ def _cosine(table_name: str, id_col: str, dim: int, extra: str = "true", columns
         SELECT query_id, id, round(cosine, 4) AS cosine FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, id) AS k FROM s) WHERE k <= 5"""
 
 
-SQL = {
-    "hybrid_search": f"""
-        WITH c AS ({CHUNKS}), {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(_Q))},
-        q AS (SELECT 0 AS query_id, {_Q} AS query_text),
-        de AS (SELECT chunk_id, sum(a.value * b.value) AS dense FROM {_vectors('chunk_id', 'text', 'c')} a JOIN {_vectors('query_id', 'query_text', 'q')} b USING (dim) GROUP BY chunk_id),
-        l AS (SELECT chunk_id, heading, coalesce(text, '') AS text, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM c LEFT JOIN de USING (chunk_id) LEFT JOIN sp USING (chunk_id)),
-        m AS (SELECT *, CASE WHEN max(dense) OVER () > min(dense) OVER () THEN (dense - min(dense) OVER ()) / (max(dense) OVER () - min(dense) OVER ()) ELSE 0 END AS dense_norm,
-              CASE WHEN max(sparse) OVER () > 0 THEN sparse / max(sparse) OVER () ELSE 0 END AS sparse_norm FROM l),
-        k AS (SELECT *, round(0.55::DOUBLE * dense_norm + 0.45::DOUBLE * sparse_norm, 9) AS combined FROM m ORDER BY combined DESC, chunk_id LIMIT 32),
+_QUESTIONS = f"q AS (SELECT * FROM ({ASKED}) WHERE len({tokens_sql(_Q)}) > 0)"
+
+
+def _hybrid(allowed: str) -> str:
+    return f"""
+        WITH c AS ({CHUNKS}), {allowed}, {_QUESTIONS}, {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(_Q))},
+        de AS (SELECT query_id, chunk_id, sum(a.value * b.value) AS dense FROM {_vectors('chunk_id', 'text', 'c')} a JOIN {_vectors('query_id', 'query_text', 'q')} b USING (dim) GROUP BY query_id, chunk_id),
+        l AS (SELECT query_id, query_text, chunk_id, heading, coalesce(text, '') AS text, coalesce(dense, 0) AS dense, coalesce(sparse, 0) AS sparse FROM q CROSS JOIN a LEFT JOIN de USING (query_id, chunk_id) LEFT JOIN sp USING (query_id, chunk_id)),
+        m AS (SELECT *, CASE WHEN max(dense) OVER w > min(dense) OVER w THEN (dense - min(dense) OVER w) / (max(dense) OVER w - min(dense) OVER w) ELSE 0 END AS dense_norm,
+              CASE WHEN max(sparse) OVER w > 0 THEN sparse / max(sparse) OVER w ELSE 0 END AS sparse_norm FROM l WINDOW w AS (PARTITION BY query_id)),
+        k AS (SELECT *, round(0.55::DOUBLE * dense_norm + 0.45::DOUBLE * sparse_norm, 9) AS combined FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY combined DESC, chunk_id) <= 32),
         r AS (SELECT *, {_rerank('text')} AS rerank FROM k),
         f AS (SELECT *, round(0.7::DOUBLE * combined + 0.3::DOUBLE * rerank, 6) AS score FROM r)
-        SELECT 0::BIGINT AS query_id, chunk_id, score, round(dense_norm, 6) AS dense_norm, round(sparse_norm, 6) AS sparse_norm, round(rerank, 6) AS rerank FROM f WHERE score >= 0.1 ORDER BY score DESC, chunk_id LIMIT 8""",
+        SELECT query_id, chunk_id, score, round(dense_norm, 6) AS dense_norm, round(sparse_norm, 6) AS sparse_norm, round(rerank, 6) AS rerank FROM f WHERE score >= 0.1
+        QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8"""
+
+
+SQL = {
+    "hybrid_search": _hybrid("a AS (SELECT * FROM c)"),
+    "hybrid_search_domains": _hybrid(_ALLOWED),
+    "index_terms": f"""WITH w AS (SELECT chunk_id, {tokens_sql('text')} AS w FROM ({CHUNKS})), st AS (SELECT count(*) AS n, round(avg(len(w)), 6) AS avgdl FROM w)
+        SELECT term, count(DISTINCT chunk_id) AS df, any_value(n) AS n, any_value(avgdl) AS avgdl FROM (SELECT chunk_id, unnest(w) AS term FROM w), st GROUP BY term""",
+    "index_search": f"""WITH c AS ({CHUNKS}), {_QUESTIONS}, {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(_Q))}
+        SELECT query_id, chunk_id, round(s, 6) AS score FROM (SELECT query_id, chunk_id, round(sparse, 9) AS s FROM sp) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) <= 10""",
+    "multi_query_fusion": f"""WITH c AS ({CHUNKS}), base AS (SELECT * FROM ({ASKED}) WHERE query_text IS NOT NULL),
+        q AS (SELECT DISTINCT query_id || '/' || v AS query_id, v AS query_text FROM (SELECT query_id, unnest([query_text, {_EXPANDED}]) AS v FROM base)), {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(_Q))},
+        r AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 120),
+        f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM r GROUP BY query_id, chunk_id)
+        SELECT query_id, chunk_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 8""",
+    "blended_rerank": f"""WITH f AS (SELECT query_id, query_text, chunk_id, max(CASE WHEN NOT isnan(rerank_score) THEN rerank_score END) AS m FROM search_results GROUP BY ALL),
+        r AS (SELECT query_id, query_text, chunk_id, m, heading, coalesce(text, '') AS text FROM f JOIN ({CHUNKS}) USING (chunk_id) WHERE m IS NOT NULL)
+        SELECT query_id, chunk_id, round(0.8::DOUBLE * CASE WHEN min(m) OVER w >= 0 AND max(m) OVER w <= 1 THEN m ELSE 1 / (1 + exp(-m)) END + 0.2::DOUBLE * {_rerank('text')}, 6) AS rerank FROM r WINDOW w AS (PARTITION BY query_id)""",
     "backend_retrieve": f"""
-        WITH c AS ({CHUNKS}), {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(f"({_Q} || ' steps stage process application guide how to apply')"))},
-        q AS (SELECT 0 AS query_id, {_Q} AS query_text),
-        de AS (SELECT chunk_id, round(sum(a.value * b.value), 9) AS dense FROM {_vectors('chunk_id', 'text', 'c')} a JOIN {_vectors('query_id', 'query_text', 'q')} b USING (dim) GROUP BY chunk_id),
-        dr AS (SELECT chunk_id, row_number() OVER (ORDER BY dense DESC, chunk_id) AS dense_rank FROM de QUALIFY dense_rank <= 120),
-        sr AS (SELECT chunk_id, row_number() OVER (ORDER BY round(sparse, 9) DESC, document_id, position, chunk_id) AS sparse_rank FROM sp JOIN c USING (chunk_id) QUALIFY sparse_rank <= 120),
-        f AS (SELECT chunk_id, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + {_BONUS.format(q=_Q)}, 12) AS fused
-              FROM dr FULL JOIN sr USING (chunk_id) JOIN c USING (chunk_id)),
-        n AS (SELECT *, CASE WHEN max(fused) OVER () > min(fused) OVER () THEN (fused - min(fused) OVER ()) / (max(fused) OVER () - min(fused) OVER ()) ELSE 1 END AS norm FROM f),
-        k AS (SELECT * FROM n ORDER BY fused DESC, chunk_id LIMIT 80), {_NEAR},
-        wide AS (SELECT k.chunk_id, norm, heading, CASE WHEN context = '' THEN coalesce(text, '') ELSE context END AS context FROM k JOIN ctx USING (chunk_id) JOIN c USING (chunk_id)),
-        z AS (SELECT chunk_id, context, round(0.55::DOUBLE * norm + 0.45::DOUBLE * {_rerank('context')}, 6) AS score FROM wide)
-        SELECT 0::BIGINT AS query_id, chunk_id, score, context FROM z WHERE score >= 0.2 ORDER BY score DESC, chunk_id LIMIT 8""",
+        WITH c AS ({CHUNKS}), {_QUESTIONS}, {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(f"({_EXPANDED})"))},
+        de AS (SELECT query_id, chunk_id, round(sum(a.value * b.value), 9) AS dense FROM {_vectors('chunk_id', 'text', 'c')} a JOIN {_vectors('query_id', 'query_text', 'q')} b USING (dim) GROUP BY query_id, chunk_id),
+        dr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS dense_rank FROM de QUALIFY dense_rank <= 120),
+        sr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, document_id, position, chunk_id) AS sparse_rank FROM sp JOIN c USING (chunk_id) QUALIFY sparse_rank <= 120),
+        f AS (SELECT query_id, query_text, chunk_id, round(coalesce(1.0::DOUBLE / (60 + dense_rank), 0) + coalesce(1.0::DOUBLE / (60 + sparse_rank), 0) + {_BONUS.format(q=_Q)}, 12) AS fused
+              FROM dr FULL JOIN sr USING (query_id, chunk_id) JOIN c USING (chunk_id) JOIN q USING (query_id)),
+        n AS (SELECT *, CASE WHEN max(fused) OVER w > min(fused) OVER w THEN (fused - min(fused) OVER w) / (max(fused) OVER w - min(fused) OVER w) ELSE 1 END AS norm FROM f WINDOW w AS (PARTITION BY query_id)),
+        k AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 80), {_NEAR},
+        wide AS (SELECT query_id, query_text, k.chunk_id, norm, heading, CASE WHEN context = '' THEN coalesce(text, '') ELSE context END AS context FROM k JOIN ctx USING (chunk_id) JOIN c USING (chunk_id)),
+        z AS (SELECT query_id, chunk_id, context, round(0.55::DOUBLE * norm + 0.45::DOUBLE * {_rerank('context')}, 6) AS score FROM wide)
+        SELECT query_id, chunk_id, score, context FROM z WHERE score >= 0.2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 8""",
     "rrf_fusion": f"""
         WITH r AS (SELECT query_id, query_text, chunk_id, document_id, max(heading) AS heading, max(CASE WHEN NOT isnan(dense_score) THEN dense_score END) AS dense, max(CASE WHEN NOT isnan(sparse_score) THEN sparse_score END) AS sparse FROM search_results GROUP BY ALL),
         d AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY dense DESC, chunk_id) AS dense_rank FROM r WHERE dense IS NOT NULL QUALIFY dense_rank <= 120),
