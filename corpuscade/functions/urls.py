@@ -17,7 +17,7 @@ TRACKING = frozenset({"fbclid", "gclid"})
 TRACKING_PREFIX = "utm_"
 DEFAULT_PORT = {"https": 443, "http": 80}
 # Fixed value: path endings that are never fetched.
-SKIPPED_SUFFIXES = ("pdf", "zip", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "mp3", "avi", "mov", "dmg", "exe")
+SKIPPED_SUFFIXES = ("pdf", "zip", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "jpg", "jpeg", "png", "gif", "svg", "webp", "mp4", "mp3", "avi", "mov", "dmg", "exe")
 
 
 @lru_cache(maxsize=4096)
@@ -177,3 +177,9 @@ def join_url_udf(base: pd.Series, href: pd.Series) -> pd.Series:
 
 
 SPACE = re.compile(r"\s+")
+
+
+def department_col(url: Column) -> Column:
+    """The part of a site that an address belongs to: the first segment of its path, null at the root."""
+    first = F.split(F.regexp_replace(path_col(url), "^/+", ""), "/")[0]
+    return F.when(first != "", first)

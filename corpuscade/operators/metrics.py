@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .ranking import grouped_rank, top_k_per_group
+from .ranking import grouped_lag, grouped_running_max, grouped_running_sum, top_k_per_group
 
 
 def retrieval_metrics(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataFrame:
@@ -23,10 +23,21 @@ def retrieval_metrics(run: DataFrame, relevant: DataFrame, k: int = 10) -> DataF
 
 
 def percentile_report(events: DataFrame, group: str, value: str, points: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
-    """``group, events`` and exact interpolated percentiles; values are first counted by distinct value,
-    so a group's rows don't gather, only its distinct values are counted."""
-    exprs = [F.expr(f"percentile({value}, {p}, c)").alias(f"p{round(p * 100)}") for p in points]
-    return events.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c")).groupBy(group).agg(F.sum("c").alias("events"), *exprs)
+    """``group, events`` and exact interpolated percentiles.
+
+    Values are counted by distinct value, and a running count over range partitions gives the
+    places each of them fills; the values at the two places of a percentile are picked by an
+    aggregation.  No group's values, however many, meet in one task.
+    """
+    counted = events.where(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("c"))
+    placed = grouped_running_sum(counted, [group], [value], "c", "upto")
+    totals = counted.groupBy(F.col(group).alias("__g")).agg(F.sum("c").alias("events"))
+    known = placed.join(totals, F.col(group).eqNullSafe(F.col("__g")))
+    fills = lambda at: F.max(F.when((F.col("upto") - F.col("c") <= at) & (at < F.col("upto")), F.col(value).cast("double")))
+    place = lambda p: F.lit(p) * (F.col("events") - 1)
+    ends = [fills(cut(place(p))).alias(f"{name}{k}") for k, p in enumerate(points) for name, cut in (("lo", F.floor), ("hi", F.ceil))]
+    picked = known.groupBy(group, "events").agg(*ends)
+    return picked.select(group, "events", *[(F.col(f"lo{k}") + (F.col(f"hi{k}") - F.col(f"lo{k}")) * (place(p) - F.floor(place(p)))).alias(f"p{round(p * 100)}") for k, p in enumerate(points)])
 
 
 def citation_accuracy(answers: DataFrame, evidence: DataFrame) -> DataFrame:
@@ -80,17 +91,13 @@ def hill_climb(samples: DataFrame, group: str, order: str, value: str, start: in
     """``group, seq, size``: a pool's size after each sample of its throughput.
 
     The size goes on in its direction as long as throughput doesn't fall, and turns when it does;
-    it never falls below ``floor``.  A fold in the order of the samples: one number carries over,
-    so the samples of a group, one a time window, are folded in order.
+    it never falls below ``floor``.  The direction is the parity of the falls so far; the size is
+    the sum of the moves, lifted by the most that it has gone below the floor up to there.  So
+    running sums and a running maximum give the fold, and a group may span many tasks.
     """
-    numbered = grouped_rank(samples.select(group, order, value), [group], [order], "seq")
-    listed = numbered.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("seq", F.col(value).cast("double").alias("v")))).alias("l"))
-    zero = F.struct(F.lit(start).alias("size"), F.lit(step).alias("move"), F.lit(-1.0).alias("last"), F.array().cast("array<int>").alias("sizes"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        move = F.when(x["v"] >= acc["last"], acc["move"]).otherwise(-acc["move"])
-        size = F.greatest(F.lit(floor), acc["size"] + move)
-        return F.struct(size.alias("size"), move.alias("move"), x["v"].alias("last"), F.concat(acc["sizes"], F.array(size)).alias("sizes"))
-
-    folded = listed.select(group, F.aggregate("l", zero, fold)["sizes"].alias("sizes"))
-    return folded.select(group, F.posexplode("sizes").alias("seq", "size")).withColumn("seq", F.col("seq") + 1)
+    falls = grouped_lag(samples.select(group, order, F.col(value).cast("double").alias("__v")), [group], [order], "__v", "__before_v").withColumn("__fall", F.when(F.col("__v") < F.col("__before_v"), 1).otherwise(0)).withColumn("__one", F.lit(1))
+    turned = grouped_running_sum(falls, [group], [order], "__fall", "__falls").withColumn("__move", F.when(F.col("__falls") % 2 == 0, step).otherwise(-step))
+    moved = grouped_running_sum(turned, [group], [order], "__move", "__sum").withColumn("__free", F.lit(start) + F.col("__sum")).withColumn("__under", F.lit(floor) - F.col("__free"))
+    lifted = grouped_running_max(moved, [group], [order], "__under", "__lift")
+    ranked = grouped_running_sum(lifted, [group], [order], "__one", "seq")
+    return ranked.select(group, F.col("seq").cast("int").alias("seq"), (F.col("__free") + F.greatest(F.lit(0), F.col("__lift"))).cast("int").alias("size"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import chunking, html, urls
-from ..operators.ranking import top_k_per_group
+from ..operators import metrics
+from ..operators.ranking import grouped_rank
 from ..session import scalars
 from .common import CHUNKS, chunk_table, table
 
@@ -57,7 +58,8 @@ def sentence_chunks(spark: SparkSession, d: str) -> DataFrame:
 def chunk_size_distribution(spark: SparkSession, d: str) -> DataFrame:
     """Number, mean, median, ninth decile and extremes of the chunks' lengths."""
     sized = chunk_table(spark, d).where("text IS NOT NULL").select(F.length("text").alias("n"))
-    return sized.agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 4).alias("avg_chars"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY n)").alias("p50"), F.expr("percentile_cont(0.9) WITHIN GROUP (ORDER BY n)").alias("p90"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars"))
+    points = scalars(metrics.percentile_report(sized.withColumn("all", F.lit(0)), "all", "n", (0.5, 0.9)))
+    return sized.agg(F.count("*").alias("chunks"), F.round(F.avg("n"), 4).alias("avg_chars"), F.min("n").alias("min_chars"), F.max("n").alias("max_chars")).withColumns({"p50": points["p50"], "p90": points["p90"]})
 
 
 def shortest_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -73,10 +75,11 @@ def chunks_per_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunks_of_new_pages(spark: SparkSession, d: str) -> DataFrame:
-    """The first three chunks of each document, renumbered (blank ones left out)."""
-    whole = chunk_table(spark, d).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    first = top_k_per_group(whole.select("document_id", "position", "chunk_id"), ["document_id"], [F.asc("position"), F.asc("chunk_id")], 3)
-    return first.select("document_id", "chunk_id", "position")
+    """The chunks of the documents crawled in the last two months before a fixed day, numbered anew without blank ones."""
+    new = table(spark, d, "indexed_documents").where("last_crawled >= TIMESTAMP '2025-07-01 00:00:00+00:00'").select("document_id").distinct()
+    whole = chunk_table(spark, d).where(F.trim(F.coalesce("text", F.lit(""))) != "").join(new, "document_id", "left_semi")
+    numbered = grouped_rank(whole.select("document_id", "position", "chunk_id"), ["document_id"], ["position", "chunk_id"], "n")
+    return numbered.select("document_id", "chunk_id", (F.col("n") - 1).cast("int").alias("position"))
 
 
 def list_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -117,7 +120,7 @@ SQL = {
     "chunk_size_distribution": f"SELECT count(*) AS chunks, round(avg(n), 4) AS avg_chars, quantile_cont(n, 0.5)::DOUBLE AS p50, quantile_cont(n, 0.9)::DOUBLE AS p90, min(n)::INT AS min_chars, max(n)::INT AS max_chars FROM (SELECT length(text) AS n FROM ({CHUNKS}) WHERE text IS NOT NULL)",
     "shortest_chunks": f"SELECT chunk_id, length(text)::INT AS chars FROM ({CHUNKS}) WHERE text IS NOT NULL ORDER BY chars, chunk_id LIMIT 30",
     "chunks_per_document": f"SELECT document_id, count(*) AS chunks, round(avg(length(text)), 4) AS avg_chars FROM ({CHUNKS}) GROUP BY document_id ORDER BY chunks DESC, document_id LIMIT 30",
-    "chunks_of_new_pages": f"SELECT document_id, chunk_id, position FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position, chunk_id) AS k FROM ({CHUNKS}) WHERE trim(coalesce(text, '')) <> '') WHERE k <= 3",
+    "chunks_of_new_pages": f"SELECT document_id, chunk_id, (row_number() OVER (PARTITION BY document_id ORDER BY position, chunk_id) - 1)::INT AS position FROM ({CHUNKS}) WHERE trim(coalesce(text, '')) <> '' AND document_id IN (SELECT document_id FROM indexed_documents WHERE last_crawled >= TIMESTAMPTZ '2025-07-01 00:00:00+00')",
     "list_domains": "SELECT DISTINCT domain FROM chunks WHERE domain IS NOT NULL AND domain <> ''",
     "health_counts": "SELECT d AS documents, c AS chunks, CASE WHEN d > 0 AND c > 0 THEN 'ok' ELSE 'degraded' END AS status FROM (SELECT count(DISTINCT document_id) AS d FROM indexed_documents), (SELECT count(DISTINCT chunk_id) AS c FROM chunks)",
 }

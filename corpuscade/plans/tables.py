@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import crawl, tables
 from ..operators.frontier import Frontier
+from ..operators.ranking import grouped_lag, grouped_running_sum
 from ..session import scalars
 from .common import table
 
@@ -139,10 +140,10 @@ def crawl_counters(spark: SparkSession, d: str) -> DataFrame:
 
 def rolling_sessions(spark: SparkSession, d: str) -> DataFrame:
     """Sessions of every user that end after a day without an event."""
-    events = table(spark, d, "events").select("user_id", "ts", "event_id")
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lag("ts").over(w).cast("timestamp"))
-    numbered = events.withColumn("fresh", F.when(gap.isNull() | (gap >= 86_400_000_000), 1).otherwise(0)).withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    events = grouped_lag(table(spark, d, "events").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"], "ts", "before")
+    gap = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("before").cast("timestamp"))
+    fresh = events.withColumn("fresh", F.when(gap.isNull() | (gap >= 86_400_000_000), 1).otherwise(0))
+    numbered = grouped_running_sum(fresh, ["user_id"], ["ts", "event_id"], "fresh", "session")
     return numbered.groupBy("user_id", "session").agg(F.count("*").alias("events"), F.min("ts").cast("string").alias("first_seen"), (F.max("ts") + F.expr("INTERVAL 1 DAY")).cast("string").alias("expires_at"))
 
 
@@ -180,7 +181,7 @@ SQL = {
         hrefs AS (SELECT url, unnest(regexp_extract_all(html, '<a href=["'']([^"'']*)["'']', 1)) AS h FROM pages),
         edges AS (SELECT DISTINCT url AS source, CASE WHEN h LIKE '/%' THEN regexp_extract(url, '^[a-zA-Z]+://[^/]*') || h WHEN h LIKE '#%' THEN regexp_replace(url, '#.*$', '') ELSE h END AS target FROM hrefs),
         walk AS (SELECT DISTINCT source AS url, 0 AS depth FROM edges WHERE regexp_matches(source, '^https?://[^/]+/news') UNION SELECT target, depth + 1 FROM walk JOIN edges ON source = url
-          WHERE depth < 3 AND NOT regexp_matches(target, '(?i)\.(pdf|zip|doc|docx|xls|xlsx|ppt|pptx|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|dmg|exe)$'))
+          WHERE depth < 3 AND NOT regexp_matches(target, '(?i)\.(pdf|zip|doc|docx|ppt|pptx|xls|xlsx|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|dmg|exe)$'))
         SELECT url, min(depth) AS depth FROM walk GROUP BY url""",
     "change_detect": f"WITH {_STORED}, {_FETCHED} SELECT university_id, url, content_hash FROM fetched f WHERE NOT EXISTS (SELECT 1 FROM stored s WHERE s.status = 'active' AND s.university_id = f.university_id AND s.url = f.url AND lower(s.content_hash) = f.content_hash)",
     "upsert_outcomes": f"WITH {_OUTCOME} SELECT university_id, url, outcome FROM outcome",
@@ -200,7 +201,7 @@ SQL = {
         WITH h AS (SELECT *, {_URL_HOST} AS host FROM page_records), u AS (SELECT DISTINCT lower(domain) AS dom FROM universities),
         m AS (SELECT h.*, EXISTS (SELECT 1 FROM u WHERE h.host = u.dom OR ends_with(h.host, '.' || u.dom)) AS inside FROM h)
         SELECT CASE WHEN depth > 3 THEN 'max_depth' WHEN NOT inside THEN 'out_of_domain'
-          WHEN NOT regexp_matches(url, '(?i)^https?:') OR regexp_matches({_URL_PATH}, '(?i)\.(pdf|zip|doc|docx|xls|xlsx|ppt|pptx|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|dmg|exe)$') THEN 'policy'
+          WHEN NOT regexp_matches(url, '(?i)^https?:') OR regexp_matches({_URL_PATH}, '(?i)\.(pdf|zip|doc|docx|ppt|pptx|xls|xlsx|jpg|jpeg|png|gif|svg|webp|mp4|mp3|avi|mov|dmg|exe)$') THEN 'policy'
           WHEN status_code >= 400 THEN 'status' WHEN content_type NOT ILIKE '%html%' THEN 'non_html' WHEN size_bytes = 0 THEN 'empty' ELSE 'taken' END AS reason, count(*) AS records FROM m GROUP BY ALL""",
     "scope_filter": rf"""
         WITH p AS (SELECT DISTINCT university_id, page_id, url FROM raw_pages), j AS (SELECT page_id, lower(domain) AS dom, {_URL_PATH} AS path, regexp_replace(lower(regexp_extract(trim(url), '//([^/?#]*)', 1)), ':\d*$', '') AS host FROM p JOIN universities USING (university_id)),
