@@ -64,10 +64,40 @@ def manifest_counts(spark: SparkSession, path: str, fallback: int) -> DataFrame:
     return rows.agg(F.coalesce(F.max("pages_saved"), F.lit(fallback)).alias("pages_saved"), F.coalesce(F.max("pages_skipped"), F.lit(0)).alias("pages_skipped"), F.coalesce(F.max("errors"), F.lit(0)).alias("errors"))
 
 
+def write_manifest(counts: DataFrame, path: str) -> None:
+    """A crawl's manifest: one row as one JSON object."""
+    counts.limit(1).coalesce(1).write.mode("overwrite").json(path)
+
+
+def write_raw_html(pages: DataFrame, path: str, tenant: str = "university_id") -> None:
+    """Add the html of pages to a store by content: each content of a tenant once, and none that is there already."""
+    spark = pages.sparkSession
+    keyed = pages.where("html IS NOT NULL").select(tenant, F.sha2("html", 256).alias("content_hash"), "html").dropDuplicates([tenant, "content_hash"])
+    if exists(spark, path):
+        keyed = keyed.join(raw_html(spark, path).select(tenant, "content_hash"), [tenant, "content_hash"], "left_anti")
+    keyed.write.mode("append").partitionBy(tenant).parquet(path)
+
+
+def raw_html(spark: SparkSession, path: str) -> DataFrame:
+    """The store that :func:`write_raw_html` fills, tenant by tenant."""
+    return spark.read.parquet(path)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def write_pages(pages: DataFrame, path: str, tenant: str = "university_id") -> None:
-    """Fetched pages by tenant, each content of a tenant once."""
-    keyed = pages.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256))
-    keyed.dropDuplicates([tenant, "content_hash"]).write.mode("append").partitionBy(tenant).parquet(path)
+    """Add fetched pages: a row for every address with its content's hash to ``path``/pages, and
+    the html to the store by content at ``path``/html.  A row that is there already isn't added again."""
+    spark = pages.sparkSession
+    keyed = pages.withColumn("content_hash", F.sha2(F.coalesce("html", F.lit("")), 256)).drop("html").distinct()
+    if exists(spark, f"{path}/pages"):
+        old = spark.read.parquet(f"{path}/pages").select(tenant, "url", "content_hash").distinct()
+        keyed = keyed.join(old, [tenant, "url", "content_hash"], "left_anti")
+    keyed.write.mode("append").partitionBy(tenant).parquet(f"{path}/pages")
+    write_raw_html(pages, f"{path}/html", tenant)
 
 
 def write_links(edges: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import tables
+from ..session import written
 
 SESSION = "user_id long, first_seen timestamp, last_seen timestamp, events long, expires_at timestamp"
 _STATE = "first_us long, last_us long, events long"
@@ -36,37 +37,70 @@ class Progress(StreamingQueryListener):
         pass
 
 
-def ingest(pages: DataFrame, target: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def ingest(pages: DataFrame, target: str, checkpoint: str, once: bool = True, buckets: int = 64) -> StreamingQuery:
     """Fetched pages into a table of documents, micro-batch by micro-batch.
 
-    The table is a folder of versions, one a batch, so a batch that is replayed after a failure
-    rewrites its own version from the one before it: nothing is lost or taken twice.  Within a
-    batch the last good fetch of a url counts; a fetch older than what is stored changes nothing.
+    The table is divided into buckets by key; a batch writes a version of the buckets it touches
+    only, from their newest versions before it, so a batch that is replayed after a failure
+    rewrites its own: nothing is lost or taken twice.  A bucket's versions that a batch before
+    the last one replaced are removed.  Within a batch the last good fetch of a url counts; a
+    fetch older than what is stored changes nothing.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch.where("status_code = 200").select(*_KEYS, F.sha2(F.coalesce("html", F.lit("")), 256).alias("content_hash"), F.col("fetched_at").alias("last_crawled"), F.lit("active").alias("status"))
-        fresh = tables.latest(fresh, _KEYS, [F.col("last_crawled"), F.col("content_hash")])
-        previous = documents(spark, target, number)
-        if previous is not None:
-            fresh = fresh.alias("n").join(previous.alias("s"), (F.col("n.university_id") == F.col("s.university_id")) & (F.col("n.url") == F.col("s.url")), "left").where("s.last_crawled IS NULL OR s.last_crawled <= n.last_crawled").select("n.*")
-            fresh = tables.upsert_documents(previous, fresh, _KEYS)
-        fresh.write.mode("overwrite").parquet(f"{target}/version={number}")
+        fresh = written(tables.latest(fresh, _KEYS, [F.col("last_crawled"), F.col("content_hash")]).withColumn("bucket", F.pmod(F.xxhash64(*_KEYS), F.lit(buckets)).cast("int")), "fresh")
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # at most one row a bucket
+        known = {b: v for b, v in _versions(spark, target, number).items() if b in touched}
+        if known:
+            previous = _read(spark, target, known)
+            newer = fresh.alias("n").join(previous.alias("s"), (F.col("n.university_id") == F.col("s.university_id")) & (F.col("n.url") == F.col("s.url")), "left").where("s.last_crawled IS NULL OR s.last_crawled <= n.last_crawled").select("n.*")
+            fresh = tables.upsert_documents(previous, newer.select(*previous.columns), _KEYS)
+        fresh.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/version={number}")
+        _sweep(spark, target, number)
 
     writer = pages.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def _folders(spark: SparkSession, path: str, name: str) -> list[int]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [int(n.split("=")[1]) for n in (s.getPath().getName() for s in fs.listStatus(at)) if n.startswith(name + "=")] if fs.exists(at) else []
+
+
+def _complete(spark: SparkSession, target: str) -> list[int]:
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    done = lambda n: jvm.Path(f"{target}/version={n}/_SUCCESS")
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    return sorted(n for n in _folders(spark, target, "version") if done(n).getFileSystem(conf).exists(done(n)))
+
+
+def _versions(spark: SparkSession, target: str, before: int | None = None) -> dict[int, int]:
+    """Of each bucket the newest version (below ``before``) that has it."""
+    return {b: n for n in _complete(spark, target) if before is None or n < before for b in _folders(spark, f"{target}/version={n}", "bucket")}
+
+
+def _read(spark: SparkSession, target: str, versions: dict[int, int]) -> DataFrame:
+    return spark.read.option("basePath", target).parquet(*[f"{target}/version={n}/bucket={b}" for b, n in versions.items()]).drop("version")
+
+
+def _sweep(spark: SparkSession, target: str, number: int) -> None:
+    """Remove bucket versions that aren't needed for a replay of batch ``number``."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    needed = _versions(spark, target, number)
+    for n in _complete(spark, target):
+        for b in _folders(spark, f"{target}/version={n}", "bucket"):
+            if n < number and needed.get(b) != n:
+                old = jvm.Path(f"{target}/version={n}/bucket={b}")
+                old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
+
+
 def documents(spark: SparkSession, target: str, before: int | None = None) -> DataFrame | None:
-    """The newest version of the documents (below ``before``), None if there is none."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return None
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(root) if s.getPath().getName().startswith("version=") and fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    done = [n for n in done if before is None or n < before]
-    return spark.read.parquet(f"{target}/version={max(done)}") if done else None
+    """The documents as the newest versions (below ``before``) of all buckets have them, None if there is none."""
+    known = _versions(spark, target, before)
+    return _read(spark, target, known).drop("bucket") if known else None
 
 
 def sessions(events: DataFrame, ttl_seconds: int, delay: str = "1 hour") -> DataFrame:

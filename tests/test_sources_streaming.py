@@ -55,7 +55,9 @@ def test_html_curated_queue_checkpoint_manifest(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     pages = spark.createDataFrame([("t", "u1", "x"), ("t", "u2", "x"), ("s", "u3", None)], "university_id string, url string, html string")
     files.write_pages(pages, f"{tmp_path}/pages")
-    assert spark.read.parquet(f"{tmp_path}/pages").count() == 2
+    files.write_pages(pages, f"{tmp_path}/pages")  # again: nothing is added
+    assert sorted(r["url"] for r in spark.read.parquet(f"{tmp_path}/pages/pages").collect()) == ["u1", "u2", "u3"]
+    assert [(r["university_id"], r["html"]) for r in files.raw_html(spark, f"{tmp_path}/pages/html").collect()] == [("t", "x")]
     files.write_url_list(pages, f"{tmp_path}/urls")
     assert [r["value"] for r in spark.read.text(f"{tmp_path}/urls").collect()] == ["u1", "u2", "u3"]
     files.write_events(spark.createDataFrame([(1, 1, "b"), (1, 0, "a")], "query_id int, seq int, type string"), f"{tmp_path}/events")
