@@ -41,6 +41,11 @@ def snippet_col(text: Column, limit: int = 1800) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit("..."))).otherwise(text)
 
 
+def token_hash_col(token: Column) -> Column:
+    """What is stored of a secret token."""
+    return F.sha2(token, 256)
+
+
 def url_label_col(url: Column, limit: int = 56) -> Column:
     """Address without scheme and closing slash, cut to ``limit`` characters."""
     bare = F.regexp_replace(F.regexp_replace(url, r"(?i)^https?://", ""), "/$", "")

@@ -29,6 +29,11 @@ def cosine_col(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (lengths > 0), dot_col(a, b) / lengths)
 
 
+def literal_col(vector: Column) -> Column:
+    """A vector as text with eight decimals a component."""
+    return F.concat(F.lit("["), F.array_join(F.transform(vector, lambda x: F.format_string("%.8f", x.cast("double"))), ","), F.lit("]"))
+
+
 def hash_dimension_col(token: Column, dim: int) -> Column:
     return (F.conv(F.substring(F.sha2(token, 256), 1, 8), 16, 10).cast("long") % dim).cast("int")
 

@@ -10,15 +10,23 @@ from .ranking import top_k_per_group
 
 # Fixed value: what an answer says when the evidence isn't enough.
 INSUFFICIENT = r"(?i)\b(not enough evidence|insufficient evidence|cannot determine|can't determine|don't have enough evidence)\b"
-#: a step's marker at the start of a line
+# A step's marker at the start of a line, the end of a sentence, and the rules and the system's role of a prompt.
 STEP_MARK = r"(?i)^\s*(?:step\s*\d+|stage\s*\d+|\d+[.)]|[-*])\s*"
 SENTENCE_END = r"(?<=[.!?])\s+"
+RULES = (
+    "Rules:",
+    "- Use only evidence above.",
+    "- Include citations in-line as markdown links: [source N](URL).",
+    "- If at least one relevant fact exists, answer with those facts and cite them.",
+    "- Say 'Insufficient evidence.' only when none of the evidence is relevant.",
+)
+NO_ANSWER = "Insufficient evidence."
 
 
 def evidence(results: DataFrame, query: str = "query_id", most: int = 6, chunk_chars: int = 1800, total_chars: int = 2600) -> DataFrame:
-    """``query, source, chunk_id, url, heading, snippet``: the results an answer is made from.
+    """``query, source, chunk_id, url, domain, heading, snippet``: the results an answer is made from.
 
-    ``results`` has ``query, chunk_id, url, heading, text, score``.  In the order of scores, of
+    ``results`` has ``query, chunk_id, url, heading, text, score`` and perhaps ``domain``.  In the order of scores, of
     each (url, heading) the first; at most ``most``; up to the first snippet with which the
     characters exceed ``total_chars``, the first one in any case.  Lengths aren't negative, so
     the running sum decides the break.  Blank texts and null scores are left out.
@@ -26,12 +34,13 @@ def evidence(results: DataFrame, query: str = "query_id", most: int = 6, chunk_c
     snippet = fn.snippet_col(fn.squeezed_col(F.col("text")), chunk_chars)
     usable = results.withColumn("snippet", snippet).where("score IS NOT NULL AND NOT isnan(score) AND snippet <> ''")
     # the first of each (url, heading): combined on the map side
-    best = F.min_by(F.struct("chunk_id", "score", "snippet"), F.struct((-F.col("score")).alias("s"), "chunk_id"))
+    domain = F.col("domain") if "domain" in results.columns else F.lit(None).cast("string")
+    best = F.min_by(F.struct("chunk_id", "score", "snippet", domain.alias("domain")), F.struct((-F.col("score")).alias("s"), "chunk_id"))
     unique = usable.groupBy(query, "url", "heading").agg(best.alias("b")).select(query, "url", "heading", "b.*")
     first = top_k_per_group(unique, [query], [F.desc("score"), F.asc("chunk_id")], most)
     order = Window.partitionBy(query).orderBy(F.desc("score"), F.asc("chunk_id"))
     summed = first.withColumn("source", F.row_number().over(order)).withColumn("chars", F.sum(F.length("snippet")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return summed.where((F.col("source") == 1) | (F.col("chars") <= total_chars)).select(query, "source", "chunk_id", "url", "heading", "snippet")
+    return summed.where((F.col("source") == 1) | (F.col("chars") <= total_chars)).select(query, "source", "chunk_id", "url", "domain", "heading", "snippet")
 
 
 def above_floor(results: DataFrame, query: str = "query_id", least: float = 0.18, share: float = 0.55, fallback: int = 2) -> DataFrame:
@@ -98,11 +107,12 @@ def process_steps(results: DataFrame, query: str = "query_id", most: int = 6, ci
 
 
 def prompts(questions: DataFrame, found: DataFrame, query: str = "query_id") -> DataFrame:
-    """``query, prompt``: question and numbered evidence for a generator, ``(none)`` without evidence."""
-    line = F.concat_ws("\n", F.concat(F.lit("[source "), F.col("source").cast("string"), F.lit("]")), F.concat(F.lit("URL: "), F.coalesce("url", F.lit(""))), F.concat(F.lit("Heading: "), F.coalesce("heading", F.lit(""))), F.concat(F.lit("Text: "), F.col("snippet")))
-    listed = found.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("source", line.alias("line")))).alias("l"))  # a few sources each
-    body = F.coalesce(F.array_join(F.transform("l", lambda x: x["line"]), "\n\n"), F.lit("(none)"))
-    return questions.join(listed, query, "left").select(query, F.concat(F.lit("Question:\n"), F.trim("query_text"), F.lit("\n\nEvidence:\n"), body).alias("prompt"))
+    """``query, prompt``: question, numbered evidence (``(none)`` without any) and rules for a generator."""
+    said = lambda name, value: F.concat(F.lit(f"{name}: "), F.coalesce(value, F.lit("")))
+    part = F.concat_ws("\n", F.concat(F.lit("[source "), F.col("source").cast("string"), F.lit("]")), said("URL", F.col("url")), said("Domain", F.col("domain")), said("Heading", F.col("heading")), said("Text", F.col("snippet")))
+    listed = found.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("source", part.alias("part")))).alias("l"))  # a few sources each
+    body = F.coalesce(F.array_join(F.transform("l", lambda x: x["part"]), "\n\n"), F.lit("(none)"))
+    return questions.join(listed, query, "left").select(query, F.concat(F.lit("Question:\n"), F.trim("query_text"), F.lit("\n\nEvidence:\n"), body, F.lit("\n\n" + "\n".join(RULES))).alias("prompt"))
 
 
 def answer_payload(answers: DataFrame, found: DataFrame, query: str = "query_id") -> DataFrame:
@@ -116,9 +126,24 @@ def answer_payload(answers: DataFrame, found: DataFrame, query: str = "query_id"
     return joined.select(query, linked.alias("answer"), F.when(missing, F.array().cast("array<int>")).otherwise(cited).alias("citations"), missing.alias("insufficient"))
 
 
-def answer_events(payload: DataFrame, query: str = "query_id") -> DataFrame:
-    """``query, seq, type, payload``: the words of an answer as events, the whole as the last one."""
-    words = F.split("answer", r"(?<=\s)(?=\S)")
-    deltas = payload.select(query, F.posexplode(words).alias("seq", "w")).select(query, "seq", F.lit("delta").alias("type"), F.to_json(F.struct(F.col("w").alias("text"))).alias("payload"))
-    final = payload.select(query, F.size(words).alias("seq"), F.lit("final").alias("type"), F.to_json(F.struct("answer", "citations", "insufficient")).alias("payload"))
-    return deltas.unionByName(final)
+def answer_events(questions: DataFrame, results: DataFrame, payload: DataFrame, query: str = "query_id") -> DataFrame:
+    """``query, seq, type, payload``: an answer as the events of its making, as JSON.
+
+    ``query_upgrade`` (the question and what it was rewritten to), ``retrieval`` (the results by
+    rank), ``prompt`` (the rules), a ``delta`` for every word of the answer, and ``final`` with
+    the whole.  An answer that is empty is told as one delta that says so.
+    ``questions``: query, original, upgraded; ``results``: as :func:`evidence` takes them.
+    """
+    order = F.struct((-F.col("score")).alias("s"), "chunk_id", "url", "heading", F.round("score", 4).alias("score"))
+    ranked = results.where("score IS NOT NULL").groupBy(query).agg(F.array_sort(F.collect_list(order)).alias("l"))  # a question's results
+    documents = F.transform("l", lambda x, n: F.struct((n + 1).alias("rank"), x["url"].alias("url"), x["heading"].alias("heading"), x["score"].alias("score"), x["chunk_id"].alias("chunk_id")))
+    joined = questions.join(payload, query).join(ranked, query, "left").withColumn("answer", F.when(F.trim(F.coalesce("answer", F.lit(""))) == "", NO_ANSWER).otherwise(F.col("answer")))
+    event = lambda kind, body: F.struct(F.lit(kind).alias("type"), F.to_json(body).alias("payload"))
+    before = F.array(
+        event("query_upgrade", F.struct(F.col("original").alias("original_question"), F.col("upgraded").alias("upgraded_question"))),
+        event("retrieval", F.struct(F.coalesce(documents, F.array().cast("array<struct<rank:int,url:string,heading:string,score:double,chunk_id:string>>")).alias("documents"))),
+        event("prompt", F.struct(F.lit("\n".join(RULES)).alias("rules"))),
+    )
+    deltas = F.transform(F.split("answer", r"(?<=\s)(?=\S)"), lambda w: event("delta", F.struct(w.alias("delta"))))
+    final = F.array(event("final", F.struct("answer", "citations", "insufficient", F.col("original").alias("original_question"), F.col("upgraded").alias("upgraded_question"))))
+    return joined.select(query, F.posexplode(F.concat(before, deltas, final)).alias("seq", "e")).select(query, "seq", "e.type", "e.payload")

@@ -119,6 +119,19 @@ def sitemap_urls(starts: DataFrame, sitemaps: DataFrame, max_depth: int = 3) ->
     return found.groupBy("url").agg(F.min("way").alias("ord"))
 
 
+def admissible_links(links: DataFrame, link: str, domain: Column) -> DataFrame:
+    """The links with ``target``: in canonical form, below the page's domain, without skipped
+    endings; links that become equal stay apart."""
+    kept = links.withColumn("target", urls.canonical_url_col(F.col(link))).where(F.col("target").isNotNull())
+    return kept.where(urls.in_domain_col(F.col("target"), domain) & ~urls.skipped_url_col(F.col("target")))
+
+
+def persisted(pages: DataFrame, redirects: DataFrame) -> DataFrame:
+    """``url`` of the pages that are stored: with html that isn't blank, or as the source of a redirect."""
+    whole = pages.where(F.col("url").isNotNull() & F.col("html").rlike(r"(?U)\S")).select("url")
+    return whole.unionByName(redirects.select(F.col("source").alias("url"))).distinct()
+
+
 # --- audits
 
 
@@ -138,6 +151,12 @@ def requeue(matches: DataFrame, queue: DataFrame) -> tuple[DataFrame, DataFrame]
     return queue.select("url", "depth").unionByName(added), counts
 
 
+def purge(records: DataFrame, matches: DataFrame, key: str = "normalized_url") -> tuple[DataFrame, DataFrame]:
+    """(the records left, the records removed) where those of the matched addresses go."""
+    gone = matches.select(F.col("url").alias(key)).distinct()
+    return records.join(gone, key, "left_anti"), records.join(gone, key, "left_semi")
+
+
 def domain_roots(entries: DataFrame, order: str) -> DataFrame:
     """``slug, root``: of each first path segment the root of its earliest entry."""
     url = F.coalesce("final_url", "url")

@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 NODE = "url string, depth int"
 
 
+def snapshot(queue: DataFrame, in_flight: DataFrame) -> DataFrame:
+    """``url, depth`` of what a crawl goes on with: what waits and what was being fetched, each address at its smallest depth."""
+    return queue.select("url", "depth").unionByName(in_flight.select("url", "depth")).groupBy("url").agg(F.min("depth").alias("depth"))
+
+
 class Frontier:
     """Breadth-first expansion over a link table with its state in a folder.
 

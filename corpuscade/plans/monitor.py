@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics
 from ..operators.ranking import top_k_per_group
+from .answers import _EVIDENCE, _RESULTS, _SPACES, _TOLD
 from .common import table
 
 NOW = "TIMESTAMP '2025-09-01 00:00:00+00:00'"
@@ -105,6 +106,9 @@ QUERIES = {f.__name__: f for f in (slow_events, top_queries, citation_accuracy,
 _HOURLY = "h AS (SELECT event_type, date_trunc('hour', ts) AS w, count(*) AS events FROM events GROUP BY ALL)"
 
 SQL = {
+    "citation_accuracy": rf"""WITH {_RESULTS}, {_EVIDENCE}, {_TOLD}
+        SELECT t.query_id, count(*) AS cited, count(*) FILTER (coalesce(contains(lower(snippet), lower(trim(regexp_replace(sentence, '{_SPACES}', ' ', 'g')))), false)) AS supported
+        FROM told t LEFT JOIN ev ON ev.query_id = t.query_id AND ev.source = t.source GROUP BY t.query_id""",
     "slow_events": "SELECT event_id, value FROM events WHERE value > 100.0",
     "top_queries": "SELECT query_text, count(DISTINCT query_id) AS asked, count(*) AS results FROM (SELECT DISTINCT query_id, query_text, chunk_id FROM search_results) GROUP BY query_text ORDER BY asked DESC, results DESC, query_text LIMIT 20",
     "eval_retrieval_metrics": """

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.text import embedding_input_col
+from .functions.text import embedding_input_col, first_line_col
 from .functions.vectors import digest_vector
 from .operators.tables import cache_split
 
@@ -36,7 +36,28 @@ class DigestEmbedder:
         return [digest_vector(t, self.dim).tolist() for t in texts]
 
 
-_REGISTRY: dict[tuple[str, str], Callable] = {("embedder", "digest"): DigestEmbedder}
+class IdentityUpgrader:
+    """The offline upgrader: a question as it is."""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        return list(prompts)
+
+
+class HeuristicReranker:
+    """The offline reranker: no model, so the heuristic's score stands alone."""
+
+    def score(self, pairs: Sequence[tuple[str, str]]) -> list[float] | None:
+        return None
+
+
+class EvidenceGenerator:
+    """The offline generator: says nothing, so the extractive answer is given."""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        return ["" for _ in prompts]
+
+
+_REGISTRY: dict[tuple[str, str], Callable] = {("embedder", "digest"): DigestEmbedder, ("upgrader", "identity"): IdentityUpgrader, ("reranker", "heuristic"): HeuristicReranker, ("reranker", "none"): HeuristicReranker, ("generator", "extractive"): EvidenceGenerator}
 
 
 def register(kind: str, name: str, make: Callable) -> None:
@@ -50,6 +71,60 @@ def provider(kind: str, name: str, **options):  # noqa: ANN003, ANN201
     return _REGISTRY[kind, name](**options)
 
 
+def provider_or(kind: str, name: str, fallback: str, **options):  # noqa: ANN003, ANN201
+    """A provider by name; ``auto`` is the first one registered beside the fallback that can be made, else the fallback."""
+    if name != "auto":
+        return provider(kind, name, **options)
+    for known, other in _REGISTRY:
+        if known == kind and other not in (fallback, "none"):
+            try:
+                return provider(kind, other, **options)
+            except (ImportError, OSError):
+                continue
+    return provider(kind, fallback)
+
+
+def completed(rows: DataFrame, kind: str, name: str, prompt: str, out: str, batch: int = 32) -> DataFrame:
+    """``rows`` with ``out``: what the provider makes of ``prompt``; it is made once a task."""
+    schema = rows.schema.simpleString()[len("struct<") : -1]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) if schema else ""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = provider(kind, name)
+        for part in batches:
+            told: list[str] = []
+            for at in range(0, len(part), batch):
+                told += model.complete([p or "" for p in part[prompt].iloc[at : at + batch]])
+            yield part.assign(**{out: told})
+
+    return rows.mapInPandas(run, f"{fields}, `{out}` string")
+
+
+def upgrade_questions(questions: DataFrame, name: str = "identity") -> DataFrame:
+    """``query_id, original, upgraded``: questions of at least three characters as an upgrader
+    rewrites them, on one line without outer quotes.  A rewriting of under three characters is an error."""
+    asked = questions.where(F.length(F.trim("query_text")) >= 3).select("query_id", F.col("query_text").alias("original"))
+    told = completed(asked, "upgrader", name, "original", "raw")
+    line = first_line_col(F.col("raw"))
+    return told.select("query_id", "original", F.when(F.length(line) >= 3, line).otherwise(F.raise_error(F.lit("the upgrader returned no question"))).alias("upgraded"))
+
+
+def rerank(scored: DataFrame, name: str = "auto", group: str = "query_id") -> DataFrame:
+    """``scored`` (query_text, text, heuristic_score) with ``rerank``: the heuristic's score, blended
+    with a reranker's where one is registered."""
+    from .operators.fusion import blended_rerank
+
+    model = provider_or("reranker", name, "heuristic")
+    if model.score([]) is None:
+        return scored.withColumn("rerank", F.col("heuristic_score"))
+
+    @F.pandas_udf("double")
+    def judged(questions: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series(provider_or("reranker", name, "heuristic").score(list(zip(questions, texts))))
+
+    return blended_rerank(scored.withColumn("model_score", judged("query_text", "text")), group).drop("model_score")
+
+
 def embed_batch(embedder: Embedder, texts: Sequence[str], retries: int = 3, pause: float = 1.0) -> list[list[float]]:
     """A batch with retries at doubling pauses; a batch that is too large is halved."""
     for attempt in range(retries + 1):

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from .functions.urls import canonical_url_col
 from .operators import capture, compaction
-from .plans import answers, documents, graph, lexical, monitor, retrieval, tables
+from .plans import answers, documents, graph, lexical, monitor, retrieval, services, tables
 from .session import scalars, work_path
 
-PLANS = (lexical, retrieval, documents, answers, graph, tables, monitor)
+PLANS = (lexical, retrieval, documents, answers, graph, tables, monitor, services)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,8 +101,13 @@ def test_answers(spark):
     payload = {r["query_id"]: r for r in answers.answer_payload(said, found).collect()}
     assert payload[1]["citations"] == [2] and "[source 2](u2)" in payload[1]["answer"] and not payload[1]["insufficient"]
     assert payload[2]["insufficient"] and payload[2]["citations"] == []
-    events = answers.answer_events(answers.answer_payload(said, found)).where("query_id = 1").orderBy("seq").collect()
-    assert [e["type"] for e in events][-1] == "final" and "".join(json.loads(e["payload"])["text"] for e in events[:-1]).startswith("So [source 2]")
+    asked = spark.createDataFrame([(1, "How to apply", "How to apply")], "query_id int, original string, upgraded string")
+    events = answers.answer_events(asked, df, answers.answer_payload(said, found)).orderBy("seq").collect()
+    assert [e["type"] for e in events][:3] == ["query_upgrade", "retrieval", "prompt"] and events[-1]["type"] == "final"
+    assert "".join(json.loads(e["payload"])["delta"] for e in events[3:-1]).startswith("So [source 2]")
+    assert [x["rank"] for x in json.loads(events[1]["payload"])["documents"]] == [1, 2, 3]
+    nothing = answers.answer_events(asked, df, answers.answer_payload(said.withColumn("answer", F.lit(" ")), found)).where("type = 'delta'")
+    assert "".join(json.loads(e["payload"])["delta"] for e in nothing.orderBy("seq").collect()) == answers.NO_ANSWER
     assert "(none)" in answers.prompts(spark.createDataFrame([(7, "q")], "query_id int, query_text string"), found).first()["prompt"]
 
 
