@@ -1,4 +1,4 @@
-"""Main body against boilerplate: flat text blocks, features of a block and its neighbours, a decision tree."""
+"""Main body against boilerplate: flat text blocks, their features and those of their neighbours, a decision tree."""
 
 from __future__ import annotations
 
@@ -124,8 +124,26 @@ def _digest(text: str) -> int:
     return xxhash.xxh3_64_intdigest(_BLANK.sub(" ", text).strip()) - (1 << 63)
 
 
+# Second labels below which names are registered.
+SECOND_LEVEL = frozenset("ac co com edu gov net org".split())
+
+
+def site_name(site: str | None) -> str:
+    """The registered label of a host: ``uni`` of ``www.uni.example`` and of ``uni.ac.uk``."""
+    labels = (site or "").split(".")
+    if len(labels) > 2 and labels[-2] in SECOND_LEVEL:
+        return labels[-3]
+    return labels[-2] if len(labels) > 1 else labels[0]
+
+
+def one_version(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Of several rows of one page the one with the smallest ``version``."""
+    return rows.groupBy("page_id").agg(F.min_by(F.struct(*columns), "version").alias("v")).select("page_id", *[f"v.{c}" for c in columns])
+
+
 def page_blocks(raw: DataFrame) -> DataFrame:
-    """``page_id, blocks``: digest and features of each block of the html; duplicates may remain."""
+    """``page_id, version, blocks``: digest and features of each block of the html; ``version`` tells
+    contents of one page apart; duplicates may remain."""
     fields = "array<struct<d:bigint,words:int,links:float,beside:boolean,marked:int,after:boolean>>"
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,15 +153,15 @@ def page_blocks(raw: DataFrame) -> DataFrame:
                 found, title, parent = text_blocks(source)
                 out.append([{"d": _digest(b.text), "words": b.words, "links": b.links, "beside": b.parent == parent, "marked": b.marked, "after": k >= title} for k, b in enumerate(found)] if title >= 0 else [{"d": _digest(b.text), "words": b.words, "links": b.links, "beside": True, "marked": b.marked, "after": True} for b in found])
             kind = pa.list_(pa.struct([("d", pa.int64()), ("words", pa.int32()), ("links", pa.float32()), ("beside", pa.bool_()), ("marked", pa.int32()), ("after", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["page_id", "blocks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, kind)], ["page_id", "version", "blocks"])
 
-    return raw.where("html IS NOT NULL AND html <> ''").select(F.col("page_id").cast("long"), "html").mapInArrow(rows, f"page_id long, blocks {fields}")
+    return raw.where("html IS NOT NULL AND html <> ''").select(F.col("page_id").cast("long"), "html", F.xxhash64("html").alias("version")).mapInArrow(rows, f"page_id long, version long, blocks {fields}")
 
 
 def page_lines(extracted: DataFrame) -> DataFrame:
-    """``page_id, site, lines``: the lines of a text that aren't blank, with digest, key and words.
+    """``page_id, version, site, lines``: the lines of a text that aren't blank, with digest and words.
 
-    ``named``: the line has the first label of its site's registered name as a word.
+    ``named``: the line has its site's registered name as a word.
     """
     fields = "array<struct<n:int,d:bigint,words:int,named:boolean>>"
 
@@ -151,8 +169,7 @@ def page_lines(extracted: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for site, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                labels = (site or "").split(".")
-                name = labels[-2] if len(labels) > 1 else labels[0]
+                name = site_name(site)
                 lines = []
                 for n, line in enumerate((text or "").split("\n")):
                     if line.strip():
@@ -160,9 +177,9 @@ def page_lines(extracted: DataFrame) -> DataFrame:
                         lines.append({"n": n, "d": _digest(line), "words": len(words), "named": name in (w.lower() for w in words)})
                 out.append(lines)
             kind = pa.list_(pa.struct([("n", pa.int32()), ("d", pa.int64()), ("words", pa.int32()), ("named", pa.bool_())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, kind)], ["page_id", "site", "lines"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), batch.column(1), pa.array(out, kind)], ["page_id", "version", "site", "lines"])
 
-    return extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long"), host_col(F.col("url")).alias("site"), "text").mapInArrow(rows, f"page_id long, site string, lines {fields}")
+    return extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long"), host_col(F.col("url")).alias("site"), "text", F.xxhash64("text").alias("version")).mapInArrow(rows, f"page_id long, version long, site string, lines {fields}")
 
 
 def _aligned(lines: Sequence[dict], blocks: Sequence[dict]) -> Iterator[tuple[dict, dict | None]]:
@@ -193,8 +210,8 @@ def line_features(raw: DataFrame, extracted: DataFrame) -> DataFrame:
     names the site.  Lines whose block isn't found (a page without html, changed text) count
     as unmarked blocks beside the title without links.  Only digests and numbers are shuffled.
     """
-    texts = page_lines(extracted).dropDuplicates(["page_id"])
-    markup = page_blocks(raw).dropDuplicates(["page_id"])
+    texts = one_version(page_lines(extracted), ["lines"])
+    markup = one_version(page_blocks(raw), ["blocks"])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("page_id", "line_no", "words", "links", "prev_words", "prev_links", "next_words", "next_links", "beside_title", "marked", "after_title", "names_site")
@@ -283,7 +300,11 @@ def boilerplate_lines(raw: DataFrame, extracted: DataFrame, tree: Leaf | Split |
     """``page_id, line_no, boilerplate`` of every line that isn't blank.
 
     Null texts have no rows, and so have pages of ``raw`` without text.  Repeated rows count
-    once; of several rows of one page_id one is taken.  Other columns are ignored.
+    once; of several texts of one page_id the one with the smallest hash is taken.  Other columns are ignored.
+
+    The method's own features, words and link density of a block and its neighbours, don't tell
+    these templates apart by themselves (the figures are in the README), so the tree is given
+    the block's place, its own markup, and how often its site has the line as well.
     """
     return line_features(raw, extracted).select("page_id", "line_no", as_column(tree or trained()).alias("boilerplate"))
 
@@ -291,7 +312,7 @@ def boilerplate_lines(raw: DataFrame, extracted: DataFrame, tree: Leaf | Split |
 def main_body(raw: DataFrame, extracted: DataFrame) -> DataFrame:
     """``page_id, text`` of the main body; pages of boilerplate only have an empty text."""
     gone = boilerplate_lines(raw, extracted).groupBy("page_id").agg(F.collect_set(F.when(F.col("boilerplate"), F.col("line_no"))).alias("gone"))  # one page's lines
-    unique = extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "text").dropDuplicates(["page_id"])
+    unique = one_version(extracted.where("text IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), "text", F.xxhash64("text").alias("version")), ["text"])
     numbered = F.transform(F.split("text", "\n"), lambda line, n: F.struct(n.alias("n"), line.alias("line")))
     kept = F.filter(numbered, lambda x: ~F.array_contains(F.coalesce("gone", F.array().cast("array<int>")), x["n"]) & x["line"].rlike(r"(?U)\S"))
     return unique.join(gone, "page_id", "left").select("page_id", F.array_join(F.transform(kept, lambda x: x["line"]), "\n").alias("text"))
