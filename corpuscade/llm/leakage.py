@@ -51,6 +51,7 @@ class ItemIndex:
     top: list[float] = field(default_factory=list)
     need: list[float] = field(default_factory=list)
     floor: float = math.inf
+    tops: np.ndarray = field(default_factory=lambda: np.empty(0))
 
     def build(self, items: list[tuple[object, str]]) -> ItemIndex:
         tokens = [(i, words(t)) for i, t in items if t]
@@ -75,6 +76,7 @@ class ItemIndex:
             self.need.append(min(runs) * (1 - 1e-9))
         self.block_max = [[max(i[k : k + self.block]) for k in range(0, len(i), self.block)] for i in self.impacts]
         self.top = [max(i) for i in self.impacts]
+        self.tops = np.array([*self.top, 0.0])  # the last one for words that aren't indexed
         self.floor = min(self.need, default=math.inf)
         return self
 
@@ -135,14 +137,14 @@ class ItemIndex:
         reach the lowest of all needed scores, whatever the item, aren't searched.
         """
         get, span = self.terms.get, self.span
-        ids = np.array([get(w, -1) for w in tokens], np.int64)
-        if len(ids) < span:
+        if len(tokens) < span:
             return {}
+        ids = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
         edges = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         long = edges[1::2] - edges[::2] >= span
         if not long.any():
             return {}
-        most = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, np.array(self.top)[ids], 0.0))])
+        most = np.concatenate([[0.0], np.cumsum(self.tops[ids])])
         out: dict[int, int] = {}
         for start, end in zip(edges[::2][long].tolist(), edges[1::2][long].tolist()):
             seen: set[int] = set()
