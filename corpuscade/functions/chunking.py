@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Sequence
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -11,44 +14,34 @@ from pyspark.sql import types as T
 _END = re.compile(r"(?<=[.!?])\s+")
 
 
-def sentences_within(text: str, size: int) -> list[str]:
-    """Sentences of a text with white space squeezed; those above ``size`` characters in runs of words."""
-    out: list[str] = []
-    for sentence in _END.split(" ".join(text.split())):
-        if len(sentence) <= size:
-            out.append(sentence)
-            continue
-        run = ""
-        for word in sentence.split():
-            if run and len(run) + 1 + len(word) > size:
-                out.append(run)
-                run = word
-            else:
-                run = f"{run} {word}" if run else word
-        out.append(run)
-    return [s for s in out if s]
+def runs(units: Sequence[str], size: int, overlap: int = -1) -> list[tuple[int, int]]:
+    """(start, end) of runs of units that have up to ``size`` characters when joined by a space.
+
+    ``ends[n]`` is where unit n would start if all were joined, so the units a to b have
+    ends[b] - ends[a] - 1 characters and both bounds of a run are searched: its end is the last
+    that fits (one unit in any case); the next run starts with as many of its last units as have
+    up to ``overlap`` characters, and behind its start.
+    """
+    ends = [0, *accumulate(len(u) + 1 for u in units)]
+    out: list[tuple[int, int]] = []
+    while not out or out[-1][1] < len(units):
+        last = out[-1] if out else (-1, 0)
+        start = min(last[1], max(last[0] + 1, bisect_left(ends, ends[last[1]] - 1 - overlap)))
+        if start == len(units):
+            break
+        out.append((start, max(start + 1, bisect_right(ends, ends[start] + size + 1) - 1)))
+    return out
 
 
 def sentence_chunks(text: str | None, size: int = 1400, overlap: int = 250) -> list[str]:
-    """Runs of whole sentences of up to ``size`` characters; each starts with the last sentences
-    of the one before, as many as ``overlap`` characters hold, and always gets further."""
-    units = sentences_within(text or "", size)
-    out: list[str] = []
-    start = 0
-    while start < len(units):
-        end, length = start + 1, len(units[start])
-        while end < len(units) and length + 1 + len(units[end]) <= size:
-            length += 1 + len(units[end])
-            end += 1
-        out.append(" ".join(units[start:end]))
-        if end == len(units):
-            break
-        back, carried = end, 0
-        while back - 1 > start and carried + len(units[back - 1]) + (carried > 0) <= overlap:
-            back -= 1
-            carried += len(units[back]) + (carried > 0)
-        start = back
-    return out
+    """Runs of whole sentences of up to ``size`` characters, white space squeezed, each starting
+    with the last sentences of the one before, as many as ``overlap`` characters hold.  A longer
+    sentence counts as several, runs of its words."""
+    units: list[str] = []
+    for sentence in _END.split(" ".join((text or "").split())):
+        words = sentence.split()
+        units += [" ".join(words[a:b]) for a, b in runs(words, size)] if len(sentence) > size else words and [sentence]
+    return [" ".join(units[a:b]) for a, b in runs(units, size, overlap)]
 
 
 def sentence_chunks_udf(size: int = 1400, overlap: int = 250):  # noqa: ANN201

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..session import scalars, written
 
 EDGE_TYPES = ("link", "redirect")
+#: Rounds of a traversal after which its tables are merged.
+MERGE = 8
 
 
 def edges_of(link_files: DataFrame) -> DataFrame:
@@ -57,21 +59,30 @@ def depths(edges: DataFrame, roots: DataFrame, cost: Column | None = None, max_d
     """``node, depth``: the smallest cost from any root; nodes that can't be reached aren't listed.
 
     ``cost`` of an edge is 1 unless given, and must be 0 or more.  One round joins the frontier,
-    the nodes whose depth changed last, with the edges, and keeps the minimum a node; every round
-    is written, so the plan doesn't grow and a lost executor costs a round at most.  Rounds end
-    when no depth changes; only the number of changes reaches the driver.
+    the nodes whose depth changed last, with the edges, and keeps the minimum a node.  A round
+    writes its frontier only, so the plan doesn't grow and a lost executor costs a round at most;
+    every ``MERGE`` rounds the frontiers so far become one table.  Rounds end when no depth
+    changes; only whether one did reaches the driver.
     """
     priced = written(edges.select("source", "target", (F.lit(1) if cost is None else cost).alias("cost")).groupBy("source", "target").agg(F.min("cost").alias("cost")), "edges")
-    best = written(roots.select("node").distinct().withColumn("depth", F.lit(0)).withColumn("fresh", F.lit(True)), "depths")
-    while not best.where("fresh").isEmpty():
-        reached = best.where("fresh").join(priced, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("depth") + F.col("cost")).alias("depth"))
+    last = written(roots.select("node").distinct().withColumn("depth", F.lit(0)), "frontier")
+    parts = [last]
+
+    def known() -> DataFrame:
+        every = parts[0]
+        for more in parts[1:]:
+            every = every.unionByName(more)
+        return every.groupBy("node").agg(F.min("depth").alias("depth"))
+
+    while not last.isEmpty():
+        reached = last.join(priced, F.col("node") == F.col("source")).select(F.col("target").alias("node"), (F.col("depth") + F.col("cost")).alias("depth"))
         if max_depth is not None:
             reached = reached.where(F.col("depth") <= max_depth)
-        news = reached.groupBy("node").agg(F.min("depth").alias("found"))
-        merged = best.select("node", "depth").join(news, "node", "full_outer")
-        fresh = F.col("found").isNotNull() & (F.col("depth").isNull() | (F.col("found") < F.col("depth")))
-        best = written(merged.select("node", F.least("depth", "found").alias("depth"), fresh.alias("fresh")), "depths")
-    return best.select("node", "depth")
+        news = reached.groupBy("node").agg(F.min("depth").alias("depth"))
+        had = known().select(F.col("node").alias("k"), F.col("depth").alias("had"))
+        last = written(news.join(had, F.col("node") == F.col("k"), "left").where("had IS NULL OR depth < had").select("node", "depth"), "frontier")
+        parts = [written(known(), "depths"), last] if len(parts) >= MERGE else [*parts, last]
+    return known()
 
 
 def all_depths(edges: DataFrame, roots: DataFrame) -> DataFrame:

@@ -8,12 +8,14 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import tokens_col
+from ..session import scalars
 from .lexical import B, K1
+from .ranking import top_k_per_group
 
 #: Questions that are sent to all tasks at a time, and cells of a matrix that a task makes at once.
 BLOCK = 1024
@@ -70,8 +72,6 @@ class ChunkIndex:
 
         Up to ``BLOCK`` distinct terms they are a filter of the scan; beyond, a join.
         """
-        from .ranking import top_k_per_group
-
         asked = queries.select("query_id", F.explode(tokens_col(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         few = [r["term"] for r in asked.select("term").distinct().limit(BLOCK + 1).collect()]
         posted = self._read("postings")
@@ -83,6 +83,25 @@ class ChunkIndex:
         scored = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("score"))
         return scored if limit is None else top_k_per_group(scored.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.asc("chunk_id")], limit)
 
+    def every_lexical(self, queries: DataFrame, limit: int) -> DataFrame:
+        """``query_id, chunk_id, score, place``: the first ``limit`` chunks of every question by
+        BM25, ties by document and position; chunks without a term of it follow with score 0.
+
+        Those are taken from the first 2 * limit chunks in that order, of which less than
+        ``limit`` can be matches of a question that has fewer matches than that.
+        """
+        order = ("document_id", "position", "chunk_id")
+        chunks = self.chunks.select(*order)
+        scored = self.lexical(queries).withColumn("score", F.round("score", 9)).where("score > 0").join(chunks, "chunk_id")
+        first = top_k_per_group(scored, ["query_id"], [F.desc("score"), *order], limit)
+        head = chunks.orderBy(*order).limit(2 * limit).agg(F.collect_list(F.struct(*order)).alias("l"))  # 2 * limit at most
+        asked = queries.where(F.size(tokens_col(F.col("query_text"))) > 0).select("query_id").distinct()
+        short = asked.join(first.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit)
+        rest = short.select("query_id", F.explode(scalars(head)["l"]).alias("c")).select("query_id", "c.*").join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti").withColumn("score", F.lit(0.0))
+        both = top_k_per_group(first.select("query_id", "chunk_id", "score", "document_id", "position").unionByName(rest), ["query_id"], [F.desc("score"), *order], limit)
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), *order))
+        return both.select("query_id", "chunk_id", "score", place.alias("place"))
+
     def scan(self, queries: DataFrame, keep: int, weights: tuple[float, float] | None = None, domains: list[str] | None = None, sparse_queries: DataFrame | None = None) -> DataFrame:
         """Both legs of every question over every chunk (of ``domains``), in one pass over the forward table.
 

@@ -48,6 +48,15 @@ def answer_events(spark: SparkSession, d: str) -> DataFrame:
     return answers.answer_events(providers.upgrade_questions(asked(spark, d)), _results(spark, d), _payload(spark, d))
 
 
+def generated_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of the offline generator: the extractive ones, or that the evidence isn't enough."""
+    results = _results(spark, d)
+    bullets = answers.extractive_answers(results).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("source", "bullet"))).alias("l"))  # five at most
+    told = bullets.select("query_id", F.array_join(F.transform("l", lambda x: x["bullet"]), "\n").alias("extractive"))
+    asked_for = answers.prompts(asked(spark, d), answers.evidence(results)).join(told, "query_id", "left")
+    return providers.generate(asked_for).select("query_id", "answer")
+
+
 def answer_event_texts(spark: SparkSession, d: str) -> DataFrame:
     """The order and kind of the events, with the words of the answers and the whole answers."""
     text = F.when(F.col("type") == "delta", F.get_json_object("payload", "$.delta")).when(F.col("type") == "final", F.get_json_object("payload", "$.answer"))
@@ -76,7 +85,7 @@ def citation_parse(spark: SparkSession, d: str) -> DataFrame:
     return said.select("chunk_id", F.explode(fn.citations_col(F.col("answer"))).alias("source"))
 
 
-QUERIES = {f.__name__: f for f in (evidence_select, extractive_answer, process_answer, answer_payloads, answer_events, answer_prompts, answer_event_texts, unsupported_values, answer_quality, citation_parse)}
+QUERIES = {f.__name__: f for f in (evidence_select, extractive_answer, process_answer, answer_payloads, answer_events, answer_prompts, generated_answers, answer_event_texts, unsupported_values, answer_quality, citation_parse)}
 
 _RESULTS = f"""
     f AS (SELECT query_id, query_text, chunk_id, max(CASE WHEN NOT isnan(rerank_score) THEN rerank_score END) AS score FROM search_results GROUP BY ALL),
@@ -138,6 +147,9 @@ SQL = {
         w AS (SELECT query_id, regexp_extract_all(answer, '^[\s\x{{0B}}]+|[^\s\x{{0B}}]+[\s\x{{0B}}]*') AS l, answer FROM t)
         SELECT query_id, s AS seq, k AS type, NULL AS text FROM t, (SELECT unnest([0, 1, 2]) AS s, unnest(['query_upgrade', 'retrieval', 'prompt']) AS k)
         UNION ALL SELECT query_id, 2 + unnest(range(1, len(l) + 1)), 'delta', unnest(l) FROM w UNION ALL SELECT query_id, 3 + len(l), 'final', answer FROM w""",
+    "generated_answers": f"""
+        WITH {_RESULTS}, {_TOLD}, w AS (SELECT told.query_id, string_agg('- ' || sentence || ' [source ' || told.source || '](' || n.url || ')', chr(10) ORDER BY told.source) AS answer FROM told JOIN n ON n.query_id = told.query_id AND n.source = told.source GROUP BY told.query_id)
+        SELECT query_id, coalesce(answer, 'Insufficient evidence.') AS answer FROM (SELECT DISTINCT query_id FROM search_results) LEFT JOIN w USING (query_id)""",
     "answer_quality": f"WITH {_PAYLOAD} SELECT count(*) AS answers, count(*) FILTER (insufficient) AS refused, round(avg(len(citations)), 6) AS citations FROM paid",
     "answer_prompts": f"""
         WITH {_RESULTS}, {_EVIDENCE},

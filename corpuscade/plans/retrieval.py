@@ -133,6 +133,11 @@ def index_search(spark: SparkSession, d: str) -> DataFrame:
     return stored_index(spark, d).lexical(asked(spark, d), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
+def sparse_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The first 120 chunks of every question by terms, those without a term among them."""
+    return stored_index(spark, d).every_lexical(asked(spark, d), 120).select("query_id", "chunk_id", "place")
+
+
 def blended_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Every question's results by a model's scores, here the stored ones, blended with the heuristic's."""
     found = table(spark, d, "search_results").groupBy("query_id", "query_text", "chunk_id").agg(F.max(F.when(~F.isnan("rerank_score"), F.col("rerank_score"))).alias("model_score")).where("model_score IS NOT NULL")
@@ -194,7 +199,7 @@ def chunk_vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "id", F.round("cosine", 4).alias("cosine"))
 
 
-QUERIES = {"hybrid_search": hybrid_search_query} | {f.__name__: f for f in (hybrid_search_domains, index_terms, index_search, blended_rerank, backend_retrieve, rrf_fusion, multi_query_fusion, neighbor_expand, vector_topk_cosine, vector_topk_tenant, chunk_vector_topk)}
+QUERIES = {"hybrid_search": hybrid_search_query} | {f.__name__: f for f in (hybrid_search_domains, sparse_candidates, index_terms, index_search, blended_rerank, backend_retrieve, rrf_fusion, multi_query_fusion, neighbor_expand, vector_topk_cosine, vector_topk_tenant, chunk_vector_topk)}
 
 _Q = "query_text"
 _VEC = """
@@ -272,6 +277,8 @@ SQL = {
         r AS (SELECT split_part(query_id, '/', 1)::BIGINT AS query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, chunk_id) AS rank FROM sp QUALIFY rank <= 120),
         f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS fused FROM r GROUP BY query_id, chunk_id)
         SELECT query_id, chunk_id, fused FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) <= 8""",
+    "sparse_candidates": f"""WITH c AS ({CHUNKS}), {_QUESTIONS}, {_BM25.format(tokens=tokens_sql('text'), question=tokens_sql(_Q))}
+        SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(round(sparse, 9), 0) DESC, document_id, position, chunk_id)::INT AS place FROM q CROSS JOIN c LEFT JOIN sp USING (query_id, chunk_id) QUALIFY place <= 120""",
     "blended_rerank": f"""WITH f AS (SELECT query_id, query_text, chunk_id, max(CASE WHEN NOT isnan(rerank_score) THEN rerank_score END) AS m FROM search_results GROUP BY ALL),
         r AS (SELECT query_id, query_text, chunk_id, m, heading, coalesce(text, '') AS text FROM f JOIN ({CHUNKS}) USING (chunk_id) WHERE m IS NOT NULL)
         SELECT query_id, chunk_id, round(0.8::DOUBLE * CASE WHEN min(m) OVER w >= 0 AND max(m) OVER w <= 1 THEN m ELSE 1 / (1 + exp(-m)) END + 0.2::DOUBLE * {_rerank('text')}, 6) AS rerank FROM r WINDOW w AS (PARTITION BY query_id)""",

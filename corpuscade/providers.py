@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import embedding_input_col, first_line_col
 from .functions.vectors import digest_vector
+from .operators.answers import NO_ANSWER
 from .operators.tables import cache_split
 
 
@@ -100,6 +101,17 @@ def completed(rows: DataFrame, kind: str, name: str, prompt: str, out: str, batc
     return rows.mapInPandas(run, f"{fields}, `{out}` string")
 
 
+def generate(prompts: DataFrame, name: str = "extractive", prompt: str = "prompt", instead: str = "extractive", out: str = "answer") -> DataFrame:
+    """``prompts`` with ``out``: a generator's answers.  A blank answer is asked for once more;
+    where it stays blank, and with the offline generator, the column ``instead`` stands in, and
+    without that the statement that the evidence isn't enough."""
+    told = completed(prompts, "generator", name, prompt, "__first")
+    blank = F.trim(F.coalesce(F.col("__first"), F.lit(""))) == ""
+    again = completed(told.withColumn("__ask", F.when(blank, F.col(prompt))), "generator", name, "__ask", "__second")
+    given = lambda c: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", c)
+    return again.withColumn(out, F.coalesce(given(F.col("__first")), F.when(blank, given(F.col("__second"))), given(F.col(instead)), F.lit(NO_ANSWER))).drop("__first", "__second", "__ask")
+
+
 def upgrade_questions(questions: DataFrame, name: str = "identity") -> DataFrame:
     """``query_id, original, upgraded``: questions of at least three characters as an upgrader
     rewrites them, on one line without outer quotes.  A rewriting of under three characters is an error."""

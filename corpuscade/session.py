@@ -7,6 +7,8 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,9 +53,37 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + own
 
 
+#: Work paths made within the scratch scopes that are open.
+_OPEN: list[list[str]] = []
+
+
 def work_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/corpuscade/{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark)}/corpuscade/{tag}-{uuid.uuid4().hex[:12]}"
+    for paths in _OPEN:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the work tables made within it at its end, so results must be written or collected there.
+
+    ``with scratch(spark): pairs(...).write.parquet(target)``
+    """
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN.remove(paths)
+        for path in paths:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -92,5 +122,4 @@ def scalars(one_row: DataFrame) -> dict[str, Column]:
 
 def clear_work(spark: SparkSession) -> None:
     """Remove all tables written into the shared folder; results that read them are gone too."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/corpuscade")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, f"{shared_dir(spark)}/corpuscade")

@@ -1,5 +1,6 @@
 """Stored index, sessions, providers and running values on small tables."""
 
+import os
 import random
 
 import pytest
@@ -47,6 +48,17 @@ def test_running_values_over_a_hot_group(spark):
     assert rows(metrics.percentile_report(numbers, "k", "v", (0.0, 0.5, 0.9)), "k", "events", "p0", "p50", "p90") == [("x", 7, 1.0, 3.0, pytest.approx(6.6)), ("y", 1, 2.0, 2.0, 2.0)]
 
 
+def test_work_tables_are_removed(spark):
+    from corpuscade.session import local_path, scratch, shared_dir, written
+
+    root = local_path(shared_dir(spark)) + "/corpuscade"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    with scratch(spark):
+        kept = written(spark.range(5), "kept").count()
+        assert len(set(os.listdir(root)) - before) == 1
+    assert kept == 5 and not set(os.listdir(root)) - before
+
+
 def test_sessions_and_conversations(spark):
     sent = spark.createDataFrame([("a", "t1"), ("b", "t2"), ("c", None), ("d", "t9")], "caller string, token string")
     stored = spark.createDataFrame([("u1", "t1", "2025-01-02 00:00:00"), ("u2", "t2", "2024-12-31 00:00:00")], "user_id string, token string, until string").select("user_id", F.sha2("token", 256).alias("token_hash"), F.col("until").cast("timestamp").alias("expires_at"))
