@@ -133,6 +133,18 @@ def oracle_sql() -> dict[str, str]:
             iwords AS (SELECT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM eval_items),
             igrams AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM iwords)
             SELECT DISTINCT doc_id, item_id FROM grams JOIN igrams USING (g)""",
+        "p9_extent": r"""
+            WITH words AS (SELECT doc_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM documents WHERE text IS NOT NULL),
+            iwords AS (SELECT DISTINCT item_id, regexp_extract_all(lower(nfc_normalize(text)), '[\pL\pN]+') AS w FROM eval_items),
+            grams AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM words),
+            igrams AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 10), lambda i: array_to_string(w[i : i + 11], ' '))) AS g FROM iwords),
+            hits AS (SELECT DISTINCT doc_id, item_id FROM grams JOIN igrams USING (g)),
+            d AS (SELECT doc_id, item_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM hits JOIN words USING (doc_id)),
+            t AS (SELECT DISTINCT item_id, unnest(w) AS word, unnest(range(len(w))) AS j FROM iwords WHERE item_id IN (SELECT item_id FROM hits)),
+            m AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM d JOIN t USING (item_id, word)),
+            r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM m),
+            c AS (SELECT doc_id, item_id, count(*) AS n FROM r GROUP BY doc_id, item_id, diagonal, run)
+            SELECT doc_id, item_id, max(n)::INT AS words FROM c GROUP BY doc_id, item_id HAVING max(n) >= 12""",
         "p3_found": """
             WITH one AS (SELECT query_id, chunk_id,
                 max(CASE WHEN isnan(dense_score) THEN NULL ELSE dense_score END) AS a,
