@@ -57,12 +57,18 @@ def unpack(vecs: pa.Array, dim: int) -> np.ndarray:
     return np.frombuffer(b"".join(vecs.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
 
 
+def at_least(mean: float, count: int) -> float:
+    """Probability that a Poisson number of that mean is ``count`` or more."""
+    return 1 - sum(math.exp(-mean) * mean**k / math.factorial(k) for k in range(max(0, count)))
+
+
 class SimilarVectors:
     """The k nearest by cosine of every vector.
 
     Each direction is one Gaussian projection with an array of its own, sorted by the projection.
     A vector is entered in the ``tail`` arrays in which its projection is largest, where the
-    density is low; a query looks into its first ``probes`` arrays, at the window around its own
+    density is low (12 arrays of up to 512, and with more directions 12 (m / 512)^0.3, as a
+    pair of the same cosine then collides less often); a query looks into its first ``probes`` arrays, at the window around its own
     projection.  Two vectors collide once for every direction whose tail holds both, no further
     apart than the window; a pair with at least ``thresholds[round]`` collisions is verified by
     its cosine.  A query of which k verified neighbours don't lie within the round's radius
@@ -75,8 +81,9 @@ class SimilarVectors:
     number of values, so a task's memory doesn't depend on the number of directions.
 
     Crowds: where very many vectors are alike, collisions don't tell the nearest of them apart.
-    A query that meets more than ``enough`` candidates in one array, or looks into an array of
-    more than ``segment`` entries (or four times the mean, if that is more), is compared with
+    A query that meets more than ``enough`` candidates in one array beyond four times what chance
+    gives an array of that size, or looks into an array of more than ``segment`` entries (or four
+    times the mean, if that is more), is compared with
     every vector instead, in blocks, so its neighbours are exact; arrays of that size are left
     out for all others.  A crowd of a third of all vectors so costs n * n / 3 cosines.
     Outside crowds the search is approximate; recall against brute
@@ -86,9 +93,9 @@ class SimilarVectors:
     with its class (the smallest id) and the class's size.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int = 12, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.8, 0.6), segment: int = 4096, enough: int = 64, seed: int = 11) -> None:
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int | None = None, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.8, 0.6), segment: int = 4096, enough: int = 64, seed: int = 11) -> None:
         self.enough = enough
-        self.dim, self.k, self.tail, self.probes, self.thresholds, self.radii, self.segment, self.seed = dim, k, tail, probes, thresholds, radii, segment, seed
+        self.dim, self.k, self.probes, self.thresholds, self.radii, self.segment, self.seed = dim, k, probes, thresholds, radii, segment, seed
         table = written(usable_vectors(df, id_col, vec_col, dim), "vectors")
         reps = table.groupBy("key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
         self.classes = written(table.select("id", "key").distinct().join(reps, "key").select("id", "rep", "copies"), "classes")
@@ -97,6 +104,7 @@ class SimilarVectors:
         self.count = own.count()
         self._large: list[int] | None = None
         self.directions = max(32, 1 << round(math.log2(2 * math.sqrt(max(1, self.count)))))
+        self.tail = tail or round(12 * max(1.0, self.directions / 512) ** 0.3)
 
     def _postings(self, queries: DataFrame | None) -> DataFrame:
         """``dir, rep, query, tail, height``: a row for each direction of a vector's tail, with the
@@ -134,6 +142,8 @@ class SimilarVectors:
         both_ways = queries is None
         enough = self.enough
         threshold, wide, t = self.thresholds[number], self.directions > 65536, min(self.tail, self.directions)
+        # of the others in an array, the share that collides often enough by chance, and that seems to by the signatures
+        chance, seeming = at_least((t - 1) * t / self.directions, threshold - 1), at_least((t - 1) * t / min(SIGNATURE, self.directions), threshold - 1)
         window = round(2.5 * math.sqrt(2 - 2 * self.radii[number]) * STEPS) if number < len(self.radii) else 255
         postings = written(self._postings(queries), "postings")
         if self._large is None:
@@ -142,22 +152,28 @@ class SimilarVectors:
         ordered = postings.where(~F.col("dir").isin(self._large)).repartitionByRange("dir").sortWithinPartitions("dir", "rep")
 
         def compare(q: dict, out: list) -> None:
-            asked = np.flatnonzero(q["query"])
+            asked, size = np.flatnonzero(q["query"]), len(q["rep"])
             for k in range(0, len(asked), 256):
                 own = asked[k : k + 256]
                 low, high = np.searchsorted(q["at"], q["at"][own[0]] - window, "left"), np.searchsorted(q["at"], q["at"][own[-1]] + window, "right")
                 # an upper bound of the collisions: shared directions, modulo the signature's width
                 row, col = np.nonzero(q["hot"][own] @ q["hot"][low:high].T >= threshold)
-                full = np.bincount(row, minlength=len(own)) > enough
+                full = np.bincount(row, minlength=len(own)) > 4 * (enough + size * seeming)
+                row, col = row[~full[row]], col[~full[row]] + low
+                hits = np.zeros(len(row), np.int64)
+                first = np.zeros(len(row), bool)
+                for p in range(0, len(row), 1 << 16):
+                    x, y = own[row[p : p + (1 << 16)]], col[p : p + (1 << 16)]
+                    apart = np.abs(q["height"][x][:, :, None] - q["height"][y][:, None, :])
+                    hit = ((q["tail"][x][:, :, None] == q["tail"][y][:, None, :]) & (apart <= window)).any(axis=2)
+                    hits[p : p + (1 << 16)] = hit.sum(axis=1)
+                    # each pair where it collides first, seen from the query
+                    first[p : p + (1 << 16)] = (q["rep"][x] != q["rep"][y]) & (q["tail"][x, hit.argmax(axis=1)] == q["dir"])
+                full |= np.bincount(row[hits >= threshold], minlength=len(own)) > enough + 4 * size * chance
                 if full.any():  # a crowd
                     out.append((q["rep"][own[full]],) * 2)
-                    row, col = row[~full[row]], col[~full[row]]
-                row, col = own[row], col + low
-                apart = np.abs(q["height"][row][:, :, None] - q["height"][col][:, None, :])
-                hit = ((q["tail"][row][:, :, None] == q["tail"][col][:, None, :]) & (apart <= window)).any(axis=2)
-                # each pair where it collides first, seen from the query
-                kept = (hit.sum(axis=1) >= threshold) & (q["rep"][row] != q["rep"][col]) & (q["tail"][row, hit.argmax(axis=1)] == q["dir"])
-                x, y = q["rep"][row[kept]], q["rep"][col[kept]]
+                kept = (hits >= threshold) & first & ~full[row]
+                x, y = q["rep"][own[row[kept]]], q["rep"][col[kept]]
                 out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
