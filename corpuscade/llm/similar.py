@@ -93,7 +93,7 @@ class SimilarVectors:
     with its class (the smallest id) and the class's size.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int | None = None, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.8, 0.6), segment: int = 4096, enough: int = 64, seed: int = 11) -> None:
+    def __init__(self, df: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 5, tail: int | None = None, probes: int = 5, thresholds: tuple[int, ...] = (5, 4, 3), radii: tuple[float, ...] = (0.9, 0.7), segment: int = 4096, enough: int = 64, seed: int = 11) -> None:
         self.enough = enough
         self.dim, self.k, self.probes, self.thresholds, self.radii, self.segment, self.seed = dim, k, probes, thresholds, radii, segment, seed
         table = written(usable_vectors(df, id_col, vec_col, dim), "vectors")
