@@ -145,11 +145,13 @@ class SimilarVectors:
         # of the others in an array, the share that collides often enough by chance, and that seems to by the signatures
         chance, seeming = at_least((t - 1) * t / self.directions, threshold - 1), at_least((t - 1) * t / min(SIGNATURE, self.directions), threshold - 1)
         window = round(2.5 * math.sqrt(2 - 2 * self.radii[number]) * STEPS) if number < len(self.radii) else 255
-        postings = written(self._postings(queries), "postings")
+        postings = self._postings(queries)
+        if self._large is None or self._large:  # else they are read once
+            postings = written(postings, "postings")
         if self._large is None:
             limit = max(self.segment, 4 * t * self.count // self.directions)
             self._large = [r["dir"] for r in postings.groupBy("dir").count().where(F.col("count") > limit).collect()]  # at most a quarter of the directions
-        ordered = postings.where(~F.col("dir").isin(self._large)).repartitionByRange("dir").sortWithinPartitions("dir", "rep")
+        ordered = postings.where(~F.col("dir").isin(self._large)).repartition("dir").sortWithinPartitions("dir")
 
         def compare(q: dict, out: list) -> None:
             asked, size = np.flatnonzero(q["query"]), len(q["rep"])
