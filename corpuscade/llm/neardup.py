@@ -40,13 +40,14 @@ def shingle_hashes(words: list[str], size: int, memo: dict[str, int]) -> np.ndar
     return (np.unique(mixed) ^ np.uint64(1 << 63)).view(np.int64)
 
 
-def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """``doc, cls, n, sketch, shingles`` of the texts with at least one shingle; duplicates of a row may remain."""
+def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int | None) -> DataFrame:
+    """``doc, cls, n, sketch`` of the texts with at least one shingle: the ``k`` smallest hashes, or
+    all of them where k is None; duplicates of a row may remain."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, int] = {}
         for batch in batches:
-            docs, cls, counts, sketches, sets = [], [], [], [], []
+            docs, cls, counts, sketches = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if text is None or doc is None:
                     continue
@@ -59,11 +60,10 @@ def shingled(pages: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
                 cls.append(xxhash.xxh3_128_hexdigest(found.tobytes()))
                 counts.append(len(found))
                 sketches.append(found[:k])
-                sets.append(found)
             as_list = lambda arrays: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cls, pa.string()), pa.array(counts, pa.int32()), as_list(sketches), as_list(sets)], ["doc", "cls", "n", "sketch", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(cls, pa.string()), pa.array(counts, pa.int32()), as_list(sketches)], ["doc", "cls", "n", "sketch"])
 
-    return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc long, cls string, n int, sketch array<long>, shingles array<long>")
+    return pages.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(rows, "doc long, cls string, n int, sketch array<long>")
 
 
 def short_texts(pages: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
@@ -101,7 +101,8 @@ class NearDuplicates:
     link shares 2t/(1+t) of its own shingles, the longer one t, so one of the n - share + 1
     rarest is common.  Pages with more content of their own than that meet nobody over their
     template, however many there are; those with less are links, or nearly so.
-    The last step compares the whole shingle sets, so no false link remains.
+    The last step compares the whole shingle sets, so no false link remains.  Whole sets are made
+    of the texts that need them only, from the texts again, and never kept for all.
 
     ``members``: doc, cls (the text's class id, its smallest doc), one row per document.
     ``links``: a, b (class ids, a < b), common, jaccard.
@@ -113,6 +114,7 @@ class NearDuplicates:
     def __init__(self, pages: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8, k: int = 192, list_limit: int = 400, shared: int = 8) -> None:
         self.k, self.threshold, self.list_limit, self.shared = k, threshold, list_limit, shared
         self._short = short_texts(pages, id_col, text_col, size)
+        self._source = (pages.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")), size)
         self.slack = 4 * math.sqrt(threshold * (1 - threshold) / k)
         table = written(shingled(pages, id_col, text_col, size, k), "shingled")
         one = table.groupBy("doc").agg(F.min("cls").alias("digest"))
@@ -128,14 +130,20 @@ class NearDuplicates:
             self._links = written(self._find(), "links")
         return self._links
 
-    def _classes(self, *columns: str, among: DataFrame | None = None) -> DataFrame:
-        """``rep`` and columns of one text a class; of the classes in ``among`` only, if given.
+    def _classes(self) -> DataFrame:
+        """``rep, n, sketch`` of one text a class.
 
         The smallest digest of an id is the one its class goes by.  Joined and grouped by
         ``rep``, so the rows move once."""
-        own = self._own if among is None else self._own.join(among, "rep", "left_semi")
-        rows = self._table.select("rep", "cls", *columns).join(own, "rep", "left_semi")
-        return rows.groupBy("rep").agg(F.min_by(F.struct(*columns), "cls").alias("x")).select("rep", "x.*")
+        rows = self._table.join(self._own, "rep", "left_semi")
+        return rows.groupBy("rep").agg(F.min_by(F.struct("n", "sketch"), "cls").alias("x")).select("rep", "x.*")
+
+    def _sets(self, among: DataFrame) -> DataFrame:
+        """``rep, n, shingles`` of one text of each class in ``among``."""
+        pages, size = self._source
+        wanted = pages.join(among.select(F.col("rep").alias("doc")), "doc", "left_semi")
+        rows = shingled(wanted, "doc", "text", size, None)
+        return rows.groupBy(F.col("doc").alias("rep")).agg(F.min_by(F.struct("n", F.col("sketch").alias("shingles")), "cls").alias("x")).select("rep", "x.*")
 
     def _postings(self, slim: DataFrame) -> DataFrame:
         """``key, rep, n, least, hot``: each text under its rarest retained values; ``least`` is
@@ -162,7 +170,7 @@ class NearDuplicates:
         """Pairs of crowded texts that may be linked, over the rarest of their whole shingle sets."""
         t = self.threshold
         crowd = written(postings.where("hot").select("rep").distinct(), "crowd")
-        sets = written(self._classes("n", "shingles", among=crowd), "crowded")
+        sets = written(self._sets(crowd), "crowded")
         entries = sets.select("rep", "n", F.explode("shingles").alias("value"))
         shared = entries.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
         ranked = entries.join(shared, "value").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("v"))  # one text's shingles
@@ -178,7 +186,7 @@ class NearDuplicates:
         return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def _find(self) -> DataFrame:
-        slim = written(self._classes("n", "sketch"), "sketches")
+        slim = written(self._classes(), "sketches")
         postings = written(self._postings(slim), "postings")
         pairs = self._candidates(postings)
         if not postings.where("hot").isEmpty():
@@ -200,7 +208,7 @@ class NearDuplicates:
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         likely = written(both.select("a", "b", "sa", "sb").mapInArrow(estimated, "a long, b long"), "likely")
-        sets = self._classes("n", "shingles", among=likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        sets = written(self._sets(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()), "sets")
         whole = likely.join(sets.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb")), "b")
         counted = whole.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         return counted.withColumn("jaccard", F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).where(F.col("jaccard") >= self.threshold).select("a", "b", "common", "jaccard")

@@ -65,7 +65,7 @@ def test_a_template_meets_pairs_in_proportion(spark):
         data = [(p, " ".join(frame + [f"o{p}x{n}" for n in range(450)])) for p in range(count)]
         data += [(count + p, data[p][1] + " " + " ".join(rng.choice(WORDS) for _ in range(20))) for p in range(20)]
         found = neardup.NearDuplicates(spark.createDataFrame(data, "doc_id long, text string").repartition(4), size=3, threshold=0.6)
-        slim = found._classes("n", "sketch")
+        slim = found._classes()
         postings = found._postings(slim)
         met[count] = found._candidates(postings).count() + found._crowded(postings).count()
         assert set(rows(found.pairs(), "doc_a", "doc_b")) == {(p, count + p) for p in range(20)}
