@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import math
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -58,6 +60,19 @@ def hashed_components(df: DataFrame, id_col: str, text_col: str, dim: int = 256)
     return summed.select(id_col, "dim", (F.col("v") / length).alias("value"))
 
 
+def hashed_tokens(tokens: list[str], dim: int = 256) -> list[tuple[int, float]]:
+    """The components (dimension, value) of :func:`hashed_components` for one text's tokens."""
+    summed: dict[int, float] = {}
+    for token, tf in Counter(tokens).items():
+        digest = hashlib.sha256(token.encode()).hexdigest()
+        weight = (-1.0 if int(digest[8:10], 16) % 2 else 1.0) * (1 + math.log(tf))
+        at = int(digest[:8], 16) % dim
+        summed[at] = summed.get(at, 0.0) + weight
+    kept = {d: v for d, v in summed.items() if abs(v) > 1e-12}
+    length = math.sqrt(sum(v * v for v in kept.values()))
+    return [(d, v / length) for d, v in kept.items()]
+
+
 def digest_vector(text: str, dim: int) -> np.ndarray:
     """A stand-in vector made of the text's SHA-512, repeated, read as floats and scaled to length 1.
 

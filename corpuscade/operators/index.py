@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,6 +25,14 @@ BLOCK = 1024
 CELLS = 1 << 22
 
 
+_TOKEN = re.compile("[a-zA-Z0-9]+")
+
+
+def words(text: str | None) -> list[str]:
+    """The tokens of :func:`corpuscade.functions.text.tokens_col`, of a question on the driver."""
+    return [t.lower() for t in _TOKEN.findall(text or "")]
+
+
 @dataclass(frozen=True)
 class ChunkIndex:
     """Tables below ``path``: ``chunks`` (as given), ``forward`` (of each chunk its domain, length,
@@ -116,28 +127,35 @@ class ChunkIndex:
         The questions are sent to all tasks in blocks of ``BLOCK``; a task multiplies its chunks
         with a block and hands on ``keep`` rows a question and batch, so nothing else is shuffled.
         """
-        texts = queries.where(F.size(tokens_col(F.col("query_text"))) > 0).select("query_id", "query_text").distinct()
-        terms_of = texts if sparse_queries is None else sparse_queries.join(texts.select("query_id"), "query_id", "left_semi").select("query_id", "query_text").distinct()
+        texts = queries.where(F.size(tokens_col(F.col("query_text"))) > 0).select("query_id", F.col("query_text").alias("dense_text"))
+        if sparse_queries is None:
+            texts = texts.withColumn("sparse_text", F.col("dense_text"))
+        else:
+            texts = texts.join(sparse_queries.select("query_id", F.col("query_text").alias("sparse_text")), "query_id", "left")
         base = self._read("forward")
         base = base.where(F.col("domain").isin(domains)) if domains else base
         kind = queries.schema["query_id"].dataType.simpleString()
-        parts = vectors.hashed_components(texts, "query_id", "query_text", self.dim).groupBy("query_id").agg(F.collect_list(F.struct("dim", "value")).alias("v"))
-        counted = terms_of.select("query_id", F.explode(tokens_col(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf")).join(self._read("terms"), "term")
         n, avgdl = self.stats()
-        idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = counted.groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("qtf") * idf).alias("w"))).alias("t"))
-        asked = texts.select("query_id").join(parts, "query_id", "left").join(weighed, "query_id", "left").orderBy("query_id")
         out, held = None, []
-        for row in asked.toLocalIterator():  # a block of questions at a time
-            held.append((row["query_id"], [tuple(x) for x in row["v"] or ()], [tuple(x) for x in row["t"] or ()]))
+
+        def block() -> DataFrame:
+            return self._block(base, self._weighed(held, n), keep, weights, kind, avgdl)
+
+        for row in texts.distinct().toLocalIterator():  # a block of questions at a time
+            held.append((row["query_id"], words(row["dense_text"]), words(row["sparse_text"])))
             if len(held) == BLOCK:
-                part = self._block(base, held, keep, weights, kind, avgdl)
-                out, held = part if out is None else out.unionByName(part), []
+                out, held = block() if out is None else out.unionByName(block()), []
         if held or out is None:
-            part = self._block(base, held, keep, weights, kind, avgdl)
-            out = part if out is None else out.unionByName(part)
+            out = block() if out is None else out.unionByName(block())
         return out
 
+    def _weighed(self, asked: list, n: int) -> list:
+        """A block's questions with vector components and weighed terms: (id, [(dim, value)], [(term, qtf * idf)])."""
+        vocabulary = sorted({t for _, _, terms in asked for t in terms})
+        known = self.spark.createDataFrame([(t,) for t in vocabulary], "term string").join(self._read("terms"), "term").collect() if vocabulary else []  # the block's terms
+        idf = {r["term"]: math.log(1 + (n - r["df"] + 0.5) / (r["df"] + 0.5)) for r in known}
+        return [(q, vectors.hashed_tokens(dense, self.dim), [(t, f * idf[t]) for t, f in Counter(terms).items() if t in idf]) for q, dense, terms in asked]
+
     def _block(self, base: DataFrame, asked: list, keep: int, weights: tuple[float, float] | None, kind: str, avgdl: float) -> DataFrame:
         dim = self.dim
         vocabulary = sorted({t for _, _, terms in asked for t, _ in terms})
