@@ -183,7 +183,6 @@ def _common_prefixes(suffixes: DataFrame, width: int, min_docs: int) -> DataFram
         own = ordered.where(F.col(name).isNotNull()).select("uid", F.lit(side).alias("side"), "ctx", "win", F.posexplode(name).alias("at", "part"))
         own = own.select("uid", "side", (F.col("at") + 1).alias("lines"), "ctx", F.slice("win", F.lit(1), F.col("at") + 1).alias("prefix"), "part")
         edges = own if edges is None else edges.unionByName(own)
-    edges = written(edges, "edges")
     totals = edges.groupBy("ctx", "prefix").agg(F.sum("part").alias("docs")).where(F.col("docs") >= min_docs)
     known = edges.join(totals, ["ctx", "prefix"]).groupBy("uid").agg(F.collect_list(F.struct("side", "lines", F.col("docs").cast("int").alias("docs"))).alias("known"))  # at most two a prefix length
     joined = ordered.join(known, "uid", "left")
@@ -214,10 +213,10 @@ def repeated_blocks(documents: DataFrame, min_docs: int, window: int = 4) -> Dat
         common = _common_prefixes(suffixes, width, min_docs)
         here = written(suffixes.where("seq >= 0").join(common, ["ctx", "win"]).select("site", "doc", "v", "seq", "line_no", (F.col("lines") + depth).alias("block_lines"), "docs", F.xxhash64("ctx", F.slice("win", F.lit(1), F.col("lines"))).alias("block"), F.when(F.col("lines") == width, F.concat("ctx", F.lit(" "), F.hex(F.xxhash64("win")), F.hex(F.xxhash64("win", F.lit(1))))).alias("next")), "blocks")
         found = here if found is None else found.unionByName(here)
-        further = here.where("next IS NOT NULL").groupBy("site", "doc").agg(F.collect_list(F.struct("v", "seq", F.col("next").alias("ctx"))).alias("starts"))  # one document's lines
-        further = written(further, "starts")
-        if further.isEmpty():
+        whole = here.where("next IS NOT NULL")
+        if whole.isEmpty():
             break
+        further = whole.groupBy("site", "doc").agg(F.collect_list(F.struct("v", "seq", F.col("next").alias("ctx"))).alias("starts"))  # one document's lines
         now = documents.join(further, (documents["site"] == further["site"]) & documents["doc"].eqNullSafe(further["doc"])).select(documents["site"], documents["doc"], "texts", "starts")
         depth, width = depth + width, 2 * width
     best = F.max_by(F.struct("block_lines", "block", "docs"), F.struct("block_lines", "docs", "block"))
