@@ -20,6 +20,8 @@ from ..session import scalars
 from .lexical import B, K1
 from .ranking import top_k_per_group
 
+#: Number of the tables' form; an index of another form isn't read.
+FORMAT = 1
 #: Questions that are sent to all tasks at a time, and cells of a matrix that a task makes at once.
 BLOCK = 1024
 CELLS = 1 << 22

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fn
-from ..operators import fusion, vector_search
+from ..operators import fusion, index, vector_search
 from ..operators.index import ChunkIndex
 from ..operators.ranking import top_k_per_group
 from ..session import shared_dir, work_path, written
@@ -97,7 +97,7 @@ def stored_index(spark: SparkSession, d: str) -> ChunkIndex:
     at = jvm.org.apache.hadoop.fs.Path(f"{d}/chunks.parquet")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     seen = sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(at))
-    path = f"{shared_dir(spark)}/corpuscade/index-{hashlib.sha256(repr(seen).encode()).hexdigest()[:16]}"
+    path = f"{shared_dir(spark)}/corpuscade/index-{hashlib.sha256(repr((index.FORMAT, seen)).encode()).hexdigest()[:16]}"
     done = jvm.org.apache.hadoop.fs.Path(f"{path}/stats/_SUCCESS")
     if done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
         return ChunkIndex.load(spark, path)
