@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import text as fn
 from ..functions import vectors
 from ..operators import lexical
-from ..operators.ranking import top_k_per_group
 from .common import CHUNKS, asked, chunk_table, table, tokens_sql
 
 
@@ -34,8 +33,7 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25_search_topk(spark: SparkSession, d: str) -> DataFrame:
     """The eight best chunks of every question."""
-    scored = lexical.scores(chunk_table(spark, d), asked(spark, d), "chunk_id", "text", "query_id", "query_text").withColumn("score", F.round("score", 6))
-    return top_k_per_group(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], 8)
+    return lexical.best_scores(chunk_table(spark, d), asked(spark, d), "chunk_id", "text", "query_id", "query_text", 8, 6)
 
 
 def hash_embedding(spark: SparkSession, d: str) -> DataFrame:

@@ -411,3 +411,38 @@ def test_every_query_has_a_stable_name():
 
     assert set(queries.oracle_sql()) <= set(queries.queries())
     assert len(list(itertools.chain(queries.queries()))) > 60
+
+
+def _crowd(spark, seed, docs=700, questions=150):
+    """Texts that nearly all share some words, with ties, repeated ids, blank texts; questions with repeats, without a match, blank."""
+    rng = random.Random(seed)
+    text = lambda n: " ".join(rng.choice(["of"] * 6 + ["for"] * 4 + [f"w{int(rng.paretovariate(0.6)) % 90}"] * 3) for _ in range(n))
+    texts = [(f"c{rng.randrange(10**6):06}", text(rng.choice([3, 3, 5, 9]))) for _ in range(docs)]
+    texts += [("c5", "of w1"), ("c5", "of w2"), ("c5", "of of w1 w3 w4"), ("c6", None), ("c7", "")]
+    asked = [(n, text(rng.choice([1, 2, 4, 7]))) for n in range(questions)] + [(997, "unheard"), (998, ""), (999, None), (7, "of w3")]
+    return spark.createDataFrame(texts, "id string, t string").repartition(3), spark.createDataFrame(asked, "q long, s string")
+
+
+@pytest.mark.parametrize("limit", [1, 8, 120])
+def test_best_scores_in_blocks_equal_the_joined_ones(spark, monkeypatch, limit):
+    for name, size in (("FIRST", 16), ("HELD", 128), ("FEW", 8), ("QUESTIONS", 50)):
+        monkeypatch.setattr(lexical, name, size)
+    docs, asked = _crowd(spark, limit)
+    joined = ranking.top_k_per_group(lexical.scores(docs, asked, "id", "t", "q", "s").withColumn("score", F.round("score", 6)), ["q"], [F.desc("score"), F.asc("id")], limit)
+    got = lexical.best_scores(docs, asked, "id", "t", "q", "s", limit, 6)
+    assert rows(got, "q", "id", "score") == rows(joined, "q", "id", "score")
+    empty = docs.limit(0)
+    assert lexical.best_scores(empty, asked, "id", "t", "q", "s", limit).count() == 0 and lexical.best_scores(docs, asked.limit(0), "id", "t", "q", "s", limit).count() == 0
+
+
+def test_bm25_search_topk_makes_no_row_for_each_pair(spark, tmp_path):
+    """1,000 questions and 1,000 chunks that share a word: no join or shuffle of a million pairs."""
+    from corpuscade.plans.lexical import bm25_search_topk
+
+    chunk = "concat('c', lpad(id, 4, '0')) AS chunk_id, concat('d', id) AS document_id, 'u' AS university_id, 'x' AS domain, 'y' AS url, 'h' AS heading, concat('cost of w', id % 40) AS text, 0 AS position"
+    spark.sql(f"SELECT {chunk} FROM range(1000)").write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.sql("SELECT id AS query_id, concat('cost of w', id % 40) AS query_text FROM range(1000)").write.parquet(f"{tmp_path}/search_results.parquet")
+    found = bm25_search_topk(spark, str(tmp_path))
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = rows(found, "query_id", "chunk_id")
+    assert got == sorted(((q, f"c{q % 40 + 40 * n:04}") for q in range(1000) for n in range(8)), key=repr)
