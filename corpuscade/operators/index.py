@@ -11,12 +11,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import tokens_col
-from ..session import scalars
+from ..session import remove, scalars
+from . import lexical
 from .lexical import B, K1
 from .ranking import top_k_per_group
 
@@ -48,22 +49,39 @@ class ChunkIndex:
     @classmethod
     def write(cls, chunks: DataFrame, path: str, dim: int = 256) -> ChunkIndex:
         """Index ``chunks`` (chunk_id, unique, with domain, text and further columns); what lies at ``path`` is replaced."""
+        index = cls.write_postings(chunks, path, dim)
+        index.add_forward()
+        return index
+
+    @classmethod
+    def write_postings(cls, chunks: DataFrame, path: str, dim: int = 256) -> ChunkIndex:
+        """An index for :meth:`lexical` and :meth:`every_lexical` only; :meth:`add_forward` makes it whole."""
         index = cls(chunks.sparkSession, path, dim)
-        save = lambda df, name: df.write.mode("overwrite").option("compression", "lz4").parquet(f"{path}/{name}")
-        save(chunks, "chunks")
-        own = index._read("chunks")
-        tokens = own.select("chunk_id", tokens_col(F.col("text")).alias("tokens"))
+        remove(index.spark, f"{path}/forward")
+        index._save(chunks, "chunks")
+        tokens = index.chunks.select("chunk_id", tokens_col(F.col("text")).alias("tokens"))
         counted = tokens.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("chunk_id", "dl", "term").agg(F.count("*").cast("int").alias("tf"))
-        save(counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
-        posted = index._read("postings")
-        save(posted.groupBy("term").agg(F.count("*").alias("df")), "terms")
-        lists = posted.groupBy("chunk_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("t"))  # one chunk's terms
-        parts = vectors.hashed_components(own, "chunk_id", "text", dim).groupBy("chunk_id").agg(F.collect_list(F.struct("dim", "value")).alias("v"))  # at most dim
+        index._save(counted.repartitionByRange("term", "chunk_id").sortWithinPartitions("term"), "postings")
+        index._save(index._read("postings").groupBy("term").agg(F.count("*").alias("df")), "terms")
+        index._save(tokens.select(F.size("tokens").alias("dl")).agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")), "stats")
+        return index
+
+    def add_forward(self) -> None:
+        """Write ``forward``, from which :meth:`scan` reads."""
+        own = self.chunks
+        lists = self._read("postings").groupBy("chunk_id").agg(F.max("dl").alias("dl"), F.collect_list(F.struct("term", "tf")).alias("t"))  # one chunk's terms
+        parts = vectors.hashed_components(own, "chunk_id", "text", self.dim).groupBy("chunk_id").agg(F.collect_list(F.struct("dim", "value")).alias("v"))  # at most dim
         full = own.select("chunk_id", "domain").join(lists, "chunk_id", "left").join(parts, "chunk_id", "left")
         empty = lambda column, kind: F.coalesce(column, F.array().cast(f"array<{kind}>"))
-        save(full.select("chunk_id", "domain", F.coalesce("dl", F.lit(0)).alias("dl"), empty(F.col("t.term"), "string").alias("terms"), empty(F.col("t.tf"), "int").alias("tfs"), empty(F.col("v.dim"), "int").alias("dims"), empty(F.col("v.value"), "double").alias("vals")), "forward")
-        save(index._read("forward").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")), "stats")
-        return index
+        self._save(full.select("chunk_id", "domain", F.coalesce("dl", F.lit(0)).alias("dl"), empty(F.col("t.term"), "string").alias("terms"), empty(F.col("t.tf"), "int").alias("tfs"), empty(F.col("v.dim"), "int").alias("dims"), empty(F.col("v.value"), "double").alias("vals")), "forward")
+
+    def has(self, name: str) -> bool:
+        """Is the table written to its end?"""
+        done = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return done.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+    def _save(self, df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").option("compression", "lz4").parquet(f"{self.path}/{name}")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, dim: int = 256) -> ChunkIndex:
@@ -83,8 +101,19 @@ class ChunkIndex:
     def lexical(self, queries: DataFrame, limit: int | None = None) -> DataFrame:
         """``query_id, chunk_id, score`` by BM25 over the postings of the queries' terms.
 
-        Up to ``BLOCK`` distinct terms they are a filter of the scan; beyond, a join.
+        Up to ``BLOCK`` distinct terms they are a filter of the scan; beyond, a join.  Without
+        ``limit`` every pair of a query and a chunk with a common term is listed; with it, the
+        best are found without these rows (:func:`corpuscade.operators.lexical.top`), scores
+        rounded to 9 digits.
         """
+        if limit is not None:
+            return self._best(queries, limit)
+        posted, asked, idf, weight = self._posted(queries)
+        weighed = posted.join(asked.join(self._read("terms"), "term"), "term")
+        return weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * weight).alias("score"))
+
+    def _posted(self, queries: DataFrame) -> tuple[DataFrame, DataFrame, Column, Column]:
+        """The postings of the queries' terms (if these are few), the queries' terms, a term's idf, what a posting counts for."""
         asked = queries.select("query_id", F.explode(tokens_col(F.col("query_text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         few = [r["term"] for r in asked.select("term").distinct().limit(BLOCK + 1).collect()]
         posted = self._read("postings")
@@ -92,9 +121,14 @@ class ChunkIndex:
         n, avgdl = self.stats()
         length = K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)) if avgdl > 0 else F.lit(K1)
         idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weighed = posted.join(asked.join(self._read("terms"), "term"), "term")
-        scored = weighed.groupBy("query_id", "chunk_id").agg(F.sum(F.col("qtf") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + length)).alias("score"))
-        return scored if limit is None else top_k_per_group(scored.withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.asc("chunk_id")], limit)
+        return posted, asked, idf, F.col("tf") * (K1 + 1) / (F.col("tf") + length)
+
+    def _best(self, queries: DataFrame, limit: int, ties: DataFrame | None = None) -> DataFrame:
+        """The first ``limit`` chunks of every query, ties by chunk_id or the ``key`` of ``ties``."""
+        posted, asked, idf, weight = self._posted(queries)
+        weighed = posted.join(asked.select("term").distinct(), "term", "left_semi").select("chunk_id", "term", weight.alias("w"))
+        asked = asked.join(self._read("terms"), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+        return lexical.top(weighed, asked, "chunk_id", "query_id", limit, 9, ties)
 
     def every_lexical(self, queries: DataFrame, limit: int) -> DataFrame:
         """``query_id, chunk_id, score, place``: the first ``limit`` chunks of every question by

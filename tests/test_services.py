@@ -80,3 +80,30 @@ def test_replaceable_services(spark):
         providers.rerank(scored, "missing")
     assert providers.provider("generator", "extractive").complete(["x"]) == [""]
     assert providers.provider_or("reranker", "auto", "heuristic").score([]) is None
+
+
+def _shared_word(spark, tmp_path, n):
+    """An index of ``n`` chunks and as many questions that all share two words and tie."""
+    chunks = spark.sql(f"SELECT concat('c', lpad(id, 4, '0')) AS chunk_id, concat('d', {n} - id) AS document_id, 'x' AS domain, concat('cost of w', id % 40) AS text, 'h' AS heading, 0 AS position FROM range({n})")
+    return ChunkIndex.write(chunks, f"file://{tmp_path}/index"), spark.sql(f"SELECT id AS query_id, concat('cost of w', id % 40) AS query_text FROM range({n})")
+
+
+def test_the_best_of_an_index_are_found_without_a_row_for_each_pair(spark, tmp_path):
+    index, asked = _shared_word(spark, tmp_path, 1000)
+    found = index.lexical(asked, 10)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(found, "query_id", "chunk_id") == sorted(((q, f"c{q % 40 + 40 * n:04}") for q in range(1000) for n in range(10)), key=repr)
+    some = asked.where("query_id % 100 = 3")
+    joined = ranking.top_k_per_group(index.lexical(some).withColumn("score", F.round("score", 9)), ["query_id"], [F.desc("score"), F.asc("chunk_id")], 120)
+    assert rows(index.lexical(some, 120), "query_id", "chunk_id", "score") == rows(joined, "query_id", "chunk_id", "score")
+
+
+def test_lexical_queries_write_no_forward_table(spark, tmp_path):
+    from corpuscade.plans import retrieval
+
+    _shared_word(spark, tmp_path, 20)[0].chunks.withColumns({"university_id": F.lit("u"), "url": F.lit("y")}).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.sql("SELECT 1L AS query_id, 'cost of w3' AS query_text").write.parquet(f"{tmp_path}/search_results.parquet")
+    assert retrieval.index_search(spark, str(tmp_path)).first()["chunk_id"] == "c0003"
+    index = retrieval.stored_index(spark, str(tmp_path), forward=False)
+    assert index.stats() == (20, 3.0) and not index.has("forward")
+    assert retrieval.stored_index(spark, str(tmp_path)).has("forward") and index.has("forward")
