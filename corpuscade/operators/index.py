@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..functions.text import tokens_col
-from ..session import remove, scalars
+from ..session import remove, scalars, written
 from . import lexical
 from .lexical import B, K1
 from .ranking import top_k_per_group
@@ -139,8 +139,9 @@ class ChunkIndex:
         """
         order = ("document_id", "position", "chunk_id")
         chunks = self.chunks.select(*order)
-        scored = self.lexical(queries).withColumn("score", F.round("score", 9)).where("score > 0").join(chunks, "chunk_id")
-        first = top_k_per_group(scored, ["query_id"], [F.desc("score"), *order], limit)
+        ties = chunks.groupBy("chunk_id").agg(F.min(F.struct(*order)).alias("key"))
+        best = written(self._best(queries, limit, ties).where("score > 0"), "best")
+        first = best.join(chunks, "chunk_id")
         head = chunks.orderBy(*order).limit(2 * limit).agg(F.collect_list(F.struct(*order)).alias("l"))  # 2 * limit at most
         asked = queries.where(F.size(tokens_col(F.col("query_text"))) > 0).select("query_id").distinct()
         short = asked.join(first.groupBy("query_id").agg(F.count("*").alias("n")), "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit)

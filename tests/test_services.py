@@ -122,3 +122,14 @@ def test_multi_query_fusion_makes_no_row_for_each_pair(spark, tmp_path):
     found = retrieval.multi_query_fusion(spark, _asked(spark, tmp_path, 1000))
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert rows(found, "query_id", "chunk_id") == sorted(((q, f"c{q % 40 + 40 * n:04}") for q in range(1000) for n in range(8)), key=repr)
+
+
+def test_sparse_candidates_make_no_row_for_each_pair(spark, tmp_path):
+    index, asked = _shared_word(spark, tmp_path, 300)
+    found = index.every_lexical(asked, 120)
+    assert "qtf" not in found._jdf.queryExecution().optimizedPlan().toString()  # questions' terms don't meet postings in a join
+    documents = [(f"d{300 - n}", n) for n in range(300)]
+    expected = [(q, f"c{n:04}", place) for q in range(300) for place, (_, _, n) in enumerate(sorted((n % 40 != q % 40, d, n) for d, n in documents)[:120], 1)]
+    assert rows(found, "query_id", "chunk_id", "place") == sorted(expected, key=repr)
+    none = index.every_lexical(spark.createDataFrame([(1, "unheard"), (2, "w3"), (3, "")], "query_id long, query_text string"), 120)
+    assert {r["query_id"]: r["count"] for r in none.groupBy("query_id").count().collect()} == {1: 120, 2: 120}
