@@ -8,18 +8,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import top_k_per_group
 from ..session import located, work_path, written
 
-#: Width in bits of the set of directions that goes with a posting.
-SIGNATURE = 512
 #: Projections are kept in steps of this part of a standard deviation, up to 255 of them.
 STEPS = 40
-#: Values of a matrix that a task makes at once.
-SLICE = 1 << 22
+#: Values of a matrix that a task makes at once, and collisions it lists at once.
+SLICE, LISTED = 1 << 22, 1 << 18
 FIXED_POINT = 32767.0
 
 
@@ -53,8 +51,53 @@ def usable_vectors(df: DataFrame, id_col: str, vec_col: str, dim: int) -> DataFr
     return df.select(F.col(id_col).cast("long"), F.col(vec_col)).mapInArrow(rows, "id long, key binary, vec binary")
 
 
+def joined(values: pa.Array, kind: str) -> np.ndarray:
+    """The bytes of a binary column without nulls, one value behind the other, as numbers."""
+    if not len(values):
+        return np.empty(0, kind)
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(values.type) else np.int32)
+    low, high = int(ends[values.offset]), int(ends[values.offset + len(values)])
+    return np.frombuffer(data, np.uint8)[low:high].view(kind) if high > low else np.empty(0, kind)
+
+
 def unpack(vecs: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vecs.to_pylist()), "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
+    return joined(vecs, "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
+
+
+def meetings(tail: np.ndarray, height: np.ndarray, asked: np.ndarray, now: int, window: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``x, y, first``: of the array of direction ``now``, the entries y that collide with an
+    asked entry x there and in ``threshold`` directions altogether, x itself among them, and
+    whether it is x's first direction in which they do.  All pairs of an x come together.
+
+    The entries are listed by direction and projection, so what collides with x in a further
+    direction is one stretch of that list: the work is in proportion to the collisions.
+    """
+    size, t = tail.shape
+    at = height[np.arange(size), (tail == now).argmax(axis=1)].astype(np.int16)
+    # all collide in the array's own direction, which is left out of the list unless one is enough
+    others, needed = np.flatnonzero((tail.ravel() != now) | (threshold < 2)), max(1, threshold - 1)
+    key = tail.ravel()[others].astype(np.int64) << 8 | height.ravel()[others]
+    order = np.argsort(key)
+    key, entry = key[order], others[order] // t << 1
+    own_tail, own_height = tail[asked].astype(np.int64) << 8, height[asked].astype(np.int64)
+    low = np.searchsorted(key, own_tail | np.maximum(own_height - window, 0), "left")
+    number = np.searchsorted(key, own_tail | np.minimum(own_height + window, 255), "right") - low
+    later = np.arange(t) >= (tail[asked] == now).argmax(axis=1)[:, None]
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(number.sum(axis=1)) // LISTED)) + 1).tolist(), len(asked)]
+    for i, j in zip(cuts[:-1], cuts[1:]):
+        n = number[i:j].ravel()
+        total = int(n.sum())
+        stretch = np.repeat(low[i:j].ravel() - np.cumsum(n) + n, n) + np.arange(total)
+        # one number for x, y and whether it is behind the array's own direction in x's tail
+        code = np.sort(np.repeat(((np.arange(j - i) * size)[:, None] << 1 | later[i:j]).ravel(), n) + entry[stretch])
+        pair = code >> 1
+        starts = np.flatnonzero(np.diff(pair, prepend=-1))
+        starts = starts[np.diff(starts, append=total) >= needed]
+        row, y = np.divmod(pair[starts], size)
+        x, first = asked[i:j][row], code[starts] & 1 == 1
+        near = np.abs(at[x] - at[y]) <= window
+        yield x[near], y[near], first[near]
 
 
 def at_least(mean: float, count: int) -> float:
@@ -77,8 +120,9 @@ class SimilarVectors:
     radius are apart, and one collision less.  The last round has no window.
 
     The number of directions grows with the square root of the number of vectors, so an array
-    has some 6 sqrt(n) entries; one task holds it.  Vectors are projected in slices of a fixed
-    number of values, so a task's memory doesn't depend on the number of directions.
+    has some 6 sqrt(n) entries; one task holds it.  Vectors are projected once, in slices of a fixed
+    number of values, so a task's memory doesn't depend on the number of directions; the rounds
+    read the stored tails only.
 
     Crowds: where very many vectors are alike, collisions don't tell the nearest of them apart.
     A query that meets more than ``enough`` candidates in one array beyond four times what chance
@@ -100,16 +144,16 @@ class SimilarVectors:
         reps = table.groupBy("key").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("copies"))
         self.classes = written(table.select("id", "key").distinct().join(reps, "key").select("id", "rep", "copies"), "classes")
         own = self.classes.where("id = rep").select("rep")
-        self.vectors = table.withColumnRenamed("id", "rep").join(own, "rep", "left_semi").dropDuplicates(["rep"])
         self.count = own.count()
         self._large: list[int] | None = None
         self.directions = max(32, 1 << round(math.log2(2 * math.sqrt(max(1, self.count)))))
         self.tail = tail or round(12 * max(1.0, self.directions / 512) ** 0.3)
+        self.vectors = written(self._projected(table.withColumnRenamed("id", "rep").join(own, "rep", "left_semi").dropDuplicates(["rep"])), "projected")
 
-    def _postings(self, queries: DataFrame | None) -> DataFrame:
-        """``dir, rep, query, tail, height``: a row for each direction of a vector's tail, with the
-        whole tail and its projections in steps of 1 / STEPS."""
-        dim, m, t, seed, probes = self.dim, self.directions, min(self.tail, self.directions), self.seed, self.probes
+    def _projected(self, vectors: DataFrame) -> DataFrame:
+        """``rep, vec, dirs, tail, height``: each vector with the directions of its tail, largest
+        projection first, the same packed, and the projections in steps of 1 / STEPS."""
+        dim, m, t, seed = self.dim, self.directions, min(self.tail, self.directions), self.seed
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = directions(dim, m, seed)
@@ -117,23 +161,28 @@ class SimilarVectors:
             for whole in batches:
                 for low in range(0, whole.num_rows, step):
                     batch = whole.slice(low, step)
-                    n = batch.num_rows
                     h = unpack(batch.column(1), dim) @ a
                     top = np.argpartition(-h, t - 1, axis=1)[:, :t]
                     val = np.take_along_axis(h, top, 1)
                     order = np.argsort(-val, axis=1, kind="stable")
                     top, val = np.take_along_axis(top, order, 1), np.take_along_axis(val, order, 1)
-                    wanted = batch.column(2).to_numpy(zero_copy_only=False)[:, None] & (np.arange(t) < probes)
+                    dirs = pa.ListArray.from_arrays(np.arange(0, top.size + 1, t, dtype=np.int32), pa.array(top.ravel().astype(np.int32)))
                     tails = pa.array([r.tobytes() for r in top.astype("<u4" if m > 65536 else "<u2")], pa.binary())
                     heights = pa.array([r.tobytes() for r in np.clip(np.rint(val * STEPS), 0, 255).astype(np.uint8)], pa.binary())
-                    at = pa.array(np.repeat(np.arange(n), t))
-                    yield pa.RecordBatch.from_arrays([pa.array(top.ravel().astype(np.int32)), batch.column(0).take(at), pa.array(wanted.ravel()), tails.take(at), heights.take(at)], ["dir", "rep", "query", "tail", "height"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), dirs, tails, heights], ["rep", "vec", "dirs", "tail", "height"])
 
+        return vectors.select("rep", "vec").mapInArrow(rows, "rep long, vec binary, dirs array<int>, tail binary, height binary")
+
+    def _postings(self, queries: DataFrame | None) -> DataFrame:
+        """``dir, rep, query, tail, height``: a row for each direction of a vector's tail, with the
+        whole tail and its projections; ``query`` in the directions into which a query looks."""
+        flagged = self.vectors.select("rep", "dirs", "tail", "height")
         if queries is None:
-            flagged = self.vectors.select("rep", "vec", F.lit(True).alias("query"))
+            flagged = flagged.withColumn("query", F.lit(True))
         else:
-            flagged = self.vectors.join(queries.withColumn("query", F.lit(True)), "rep", "left").select("rep", "vec", F.coalesce("query", F.lit(False)).alias("query"))
-        return flagged.mapInArrow(rows, "dir int, rep long, query boolean, tail binary, height binary")
+            flagged = flagged.join(queries.withColumn("query", F.lit(True)), "rep", "left")
+        each = flagged.select(F.posexplode("dirs").alias("place", "dir"), "rep", "query", "tail", "height")
+        return each.select("dir", "rep", (F.coalesce("query", F.lit(False)) & (F.col("place") < self.probes)).alias("query"), "tail", "height")
 
     def _candidates(self, queries: DataFrame | None, number: int) -> DataFrame:
         """Pairs (query a, other b) with enough collisions, of the given queries in round
@@ -142,64 +191,39 @@ class SimilarVectors:
         both_ways = queries is None
         enough = self.enough
         threshold, wide, t = self.thresholds[number], self.directions > 65536, min(self.tail, self.directions)
-        # of the others in an array, the share that collides often enough by chance, and that seems to by the signatures
-        chance, seeming = at_least((t - 1) * t / self.directions, threshold - 1), at_least((t - 1) * t / min(SIGNATURE, self.directions), threshold - 1)
+        # of the others in an array, the share that collides often enough by chance
+        chance = at_least((t - 1) * t / self.directions, threshold - 1)
         window = round(2.5 * math.sqrt(2 - 2 * self.radii[number]) * STEPS) if number < len(self.radii) else 255
-        postings = self._postings(queries)
-        if self._large is None or self._large:  # else they are read once
-            postings = written(postings, "postings")
         if self._large is None:
             limit = max(self.segment, 4 * t * self.count // self.directions)
-            self._large = [r["dir"] for r in postings.groupBy("dir").count().where(F.col("count") > limit).collect()]  # at most a quarter of the directions
+            sizes = self.vectors.select(F.explode("dirs").alias("dir")).groupBy("dir").count()
+            self._large = [r["dir"] for r in sizes.where(F.col("count") > limit).collect()]  # at most a quarter of the directions
+        postings = self._postings(queries)
+        if self._large:  # else they are read once
+            postings = written(postings, "postings")
         ordered = postings.where(~F.col("dir").isin(self._large)).repartition("dir").sortWithinPartitions("dir")
 
-        def compare(q: dict, out: list) -> None:
-            asked, size = np.flatnonzero(q["query"]), len(q["rep"])
-            for k in range(0, len(asked), 256):
-                own = asked[k : k + 256]
-                low, high = np.searchsorted(q["at"], q["at"][own[0]] - window, "left"), np.searchsorted(q["at"], q["at"][own[-1]] + window, "right")
-                # an upper bound of the collisions: shared directions, modulo the signature's width
-                row, col = np.nonzero(q["hot"][own] @ q["hot"][low:high].T >= threshold)
-                full = np.bincount(row, minlength=len(own)) > 4 * (enough + size * seeming)
-                row, col = row[~full[row]], col[~full[row]] + low
-                hits = np.zeros(len(row), np.int64)
-                first = np.zeros(len(row), bool)
-                for p in range(0, len(row), 1 << 16):
-                    x, y = own[row[p : p + (1 << 16)]], col[p : p + (1 << 16)]
-                    apart = np.abs(q["height"][x][:, :, None] - q["height"][y][:, None, :])
-                    hit = ((q["tail"][x][:, :, None] == q["tail"][y][:, None, :]) & (apart <= window)).any(axis=2)
-                    hits[p : p + (1 << 16)] = hit.sum(axis=1)
-                    # each pair where it collides first, seen from the query
-                    first[p : p + (1 << 16)] = (q["rep"][x] != q["rep"][y]) & (q["tail"][x, hit.argmax(axis=1)] == q["dir"])
-                full |= np.bincount(row[hits >= threshold], minlength=len(own)) > enough + 4 * size * chance
-                if full.any():  # a crowd
-                    out.append((q["rep"][own[full]],) * 2)
-                kept = (hits >= threshold) & first & ~full[row]
-                x, y = q["rep"][own[row[kept]]], q["rep"][col[kept]]
-                out.append((np.minimum(x, y), np.maximum(x, y)) if both_ways else (x, y))
-
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, part = None, []
 
             def meet() -> pa.RecordBatch:
                 rep, query, tail, height = (np.concatenate([p[k] for p in part]) for k in range(4))
-                height = height.astype(np.int16)
-                at = height[np.arange(len(rep)), (tail == now).argmax(axis=1)]
-                order = np.argsort(at, kind="stable")
-                rep, query, tail, height, at = rep[order], query[order], tail[order], height[order], at[order]
-                hot = np.zeros((len(rep), SIGNATURE), np.float32)
-                hot[np.arange(len(rep))[:, None], tail % SIGNATURE] = 1
-                out: list = []
-                compare({"dir": now, "rep": rep, "query": query, "tail": tail, "height": height, "at": at, "hot": hot}, out)
-                a, b = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(2))
-                both = np.unique(np.stack([a, b], axis=1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-                return pa.RecordBatch.from_arrays([pa.array(both[:, 0], pa.int64()), pa.array(both[:, 1], pa.int64())], ["a", "b"])
+                size, out = len(rep), []
+                for x, y, first in meetings(tail, height, np.flatnonzero(query), now, window, threshold):
+                    crowd = np.bincount(x, minlength=size) > enough + 4 * size * chance
+                    kept = first & (rep[x] != rep[y]) & ~crowd[x]
+                    x, y = x[kept], y[kept]
+                    if both_ways:
+                        x, y = np.where(rep[x] < rep[y], x, y), np.where(rep[x] < rep[y], y, x)
+                    out += [x * size + y, np.flatnonzero(crowd) * (size + 1)]
+                a, b = np.divmod(np.unique(np.concatenate(out)) if out else np.empty(0, np.int64), max(1, size))
+                return pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
 
             for batch in batches:
                 dirs = batch.column("dir").to_numpy()
                 rep, query = batch.column("rep").to_numpy(), batch.column("query").to_numpy(zero_copy_only=False)
-                tail = np.frombuffer(b"".join(batch.column("tail").to_pylist()), "<u4" if wide else "<u2").reshape(-1, t)
-                height = np.frombuffer(b"".join(batch.column("height").to_pylist()), np.uint8).reshape(-1, t)
+                tail = joined(batch.column("tail"), "<u4" if wide else "<u2").reshape(-1, t)
+                height = joined(batch.column("height"), "u1").reshape(-1, t)
                 cuts = [0, *(np.flatnonzero(np.diff(dirs)) + 1).tolist(), len(dirs)]
                 for x, y in zip(cuts[:-1], cuts[1:]):
                     if x == y:
@@ -215,7 +239,8 @@ class SimilarVectors:
         met = ordered.mapInArrow(rows, "a long, b long")
         if self._large:
             met = met.unionByName(postings.where(F.col("query") & F.col("dir").isin(self._large)).select(F.col("rep").alias("a"), F.col("rep").alias("b")))
-        return met.distinct()
+        # a query meets another where they collide first, so only pairs seen from both sides are repeated
+        return met.distinct() if both_ways else met
 
     def _exact(self, queries: DataFrame, block: int = 2048, held: int = 1 << 18) -> DataFrame:
         """``rep, other, cos``: the k nearest of each of the queries by comparison with every vector.
@@ -225,7 +250,7 @@ class SimilarVectors:
         scan and one plan, however many queries there are, and nothing passes the driver.
         """
         spark, dim, k = self.classes.sparkSession, self.dim, self.k
-        base = written(self.vectors.select("rep", "vec"), "base")
+        base = self.vectors.select("rep", "vec")
         path = work_path(spark, "asked")
         base.join(queries.distinct(), "rep", "left_semi").write.option("compression", "snappy").parquet(path)
 
@@ -262,7 +287,7 @@ class SimilarVectors:
             ids, vecs, count = [], [], 0
             for batch in batches:
                 ids.append(batch.column(0).to_numpy())
-                vecs.append(np.frombuffer(b"".join(batch.column(1).to_pylist()), "<i2").reshape(-1, dim))
+                vecs.append(joined(batch.column(1), "<i2").reshape(-1, dim))
                 count += batch.num_rows
                 if count >= held:
                     yield from against(np.concatenate(ids), np.concatenate(vecs))
@@ -301,7 +326,7 @@ class SimilarVectors:
         found, queries, crowds, last = None, None, None, len(self.thresholds) - 1
         for number in range(last + 1):
             met = written(self._verified(self._candidates(queries, number), self.radii[number] if number < last else -2.0, queries), "pairs")
-            pairs, crowd = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("rep"))
+            pairs, crowd = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("rep")).distinct()
             crowds = crowd if crowds is None else crowds.unionByName(crowd)
             own = pairs.select(F.col("a").alias("rep"), F.col("b").alias("other"), "cos")
             if queries is None:
@@ -311,8 +336,8 @@ class SimilarVectors:
             found = own if found is None else found.unionByName(own)
             if number == last:
                 break
-            content = found.where(F.col("cos") >= self.radii[number]).groupBy("rep").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= self.k)
-            asked = self.classes.where("id = rep").select("rep") if queries is None else queries
+            content = found.where(F.col("cos") >= self.radii[number]).repartition("rep").groupBy("rep").agg(F.countDistinct("other").alias("n")).where(F.col("n") >= self.k)
+            asked = self.vectors.select("rep") if queries is None else queries
             queries = written(asked.join(content.select("rep").unionByName(crowd), "rep", "left_anti").select("rep"), "queries")
             if queries.isEmpty():
                 break
@@ -329,6 +354,10 @@ class SimilarVectors:
         members = top_k_per_group(self.classes.select("rep", "id"), ["rep"], [F.asc("id")], k + 1)
         others = near.join(members.select(F.col("rep").alias("other"), F.col("id").alias("neighbour")), "other").select("rep", "neighbour", "cos")
         same = members.select("rep", F.col("id").alias("neighbour"), F.lit(1.0).alias("cos"))
-        listed = others.unionByName(same).groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cos")).alias("far"), "neighbour"))), 1, k + 1).alias("l"))  # at most (k + 1) squared entries
-        per = self.classes.join(listed, "rep").select("id", F.posexplode(F.slice(F.filter("l", lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("place", "x"))
-        return per.select("id", F.col("x.neighbour").alias("neighbour"), (-F.col("x.far")).alias("cos"), (F.col("place") + 1).alias("place"))
+        order = [F.desc("cos"), F.asc("neighbour")]
+        listed = top_k_per_group(others.unionByName(same), ["rep"], order, k + 1).withColumn("at", F.row_number().over(Window.partitionBy("rep").orderBy(*order)))
+        # a row for each class, in numbers only, which Spark keeps in a hash table, unlike collected lists
+        row = listed.groupBy("rep").agg(*[F.max(F.when(F.col("at") == n + 1, F.col(c))).alias(f"{c}{n}") for n in range(k + 1) for c in ("neighbour", "cos")])
+        listing = F.array(*[F.struct(F.col(f"neighbour{n}").alias("neighbour"), F.col(f"cos{n}").alias("cos")) for n in range(k + 1)])
+        per = self.classes.join(row, "rep").select("id", F.posexplode(F.slice(F.filter(listing, lambda x: x["neighbour"] != F.col("id")), 1, k)).alias("place", "x"))
+        return per.select("id", "x.neighbour", "x.cos", (F.col("place") + 1).alias("place"))

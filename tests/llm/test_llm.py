@@ -463,6 +463,35 @@ def test_recall_where_a_third_is_one_crowd(spark, segment):
     assert np.mean(hits[:1000]) > 0.98 and np.mean(hits[1000:]) > 0.95
 
 
+@pytest.mark.parametrize(("window", "threshold"), [(0, 1), (20, 1), (20, 2), (20, 3), (255, 4)])
+def test_meetings_count_every_collision(window, threshold, monkeypatch):
+    monkeypatch.setattr(similar, "LISTED", 300)  # several parts
+    rng = np.random.default_rng(2)
+    now, size, t = 3, 80, 6
+    tail = np.array([rng.permutation([now, *rng.choice(np.delete(np.arange(16), now), t - 1, replace=False)]) for _ in range(size)]).astype("<u2")
+    height = rng.integers(0, 256, (size, t)).astype(np.uint8)
+    height[:30] //= 4
+    asked = np.flatnonzero(rng.random(size) < 0.5)
+    got = [(int(x), int(y), bool(f)) for part in similar.meetings(tail, height, asked, now, window, threshold) for x, y, f in zip(*part)]
+    want = set()
+    for x in asked.tolist():
+        for y in range(size):
+            other = dict(zip(tail[y].tolist(), height[y].tolist()))
+            hits = [d for d, h in zip(tail[x].tolist(), height[x].tolist()) if d in other and abs(h - other[d]) <= window]
+            if now in hits and len(hits) >= threshold:
+                want.add((x, y, hits[0] == now))
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_rounds_read_stored_projections_only(spark):
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(n, [float(x) for x in rng.standard_normal(16)]) for n in range(40)], "id long, v array<float>")
+    found = similar.SimilarVectors(df, "id", "v", 16)
+    for queries in (None, spark.createDataFrame([(4,), (7,)], "rep long")):
+        plan = found._candidates(queries, 1)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "vec#" not in plan
+
+
 def test_copies_and_few_vectors(spark):
     one, two = [1.0, 0.0, 0.0, 0.5], [0.0, 1.0, 0.0, 0.0]
     df = spark.createDataFrame([(n, one) for n in range(9)] + [(20, two), (21, [2.0, 0.0, 0.0, 1.0])], "id long, v array<double>")
