@@ -65,10 +65,11 @@ def unpack(vecs: pa.Array, dim: int) -> np.ndarray:
     return joined(vecs, "<i2").reshape(-1, dim).astype(np.float32) / np.float32(FIXED_POINT)
 
 
-def meetings(tail: np.ndarray, height: np.ndarray, asked: np.ndarray, now: int, window: int, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``x, y, first``: of the array of direction ``now``, the entries y that collide with an
+def meetings(tail: np.ndarray, height: np.ndarray, asked: np.ndarray, now: int, window: int, threshold: int, most: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``x, y, first, crowded``: of the array of direction ``now``, the entries y that collide with an
     asked entry x there and in ``threshold`` directions altogether, x itself among them, and
-    whether it is x's first direction in which they do.  All pairs of an x come together.
+    whether it is x's first direction in which they do.  An x of more than ``most`` pairs is
+    named in ``crowded`` instead, before they are listed where their number alone tells.
 
     The entries are listed by direction and projection, so what collides with x in a further
     direction is one stretch of that list: the work is in proportion to the collisions.
@@ -83,6 +84,12 @@ def meetings(tail: np.ndarray, height: np.ndarray, asked: np.ndarray, now: int,
     own_tail, own_height = tail[asked].astype(np.int64) << 8, height[asked].astype(np.int64)
     low = np.searchsorted(key, own_tail | np.maximum(own_height - window, 0), "left")
     number = np.searchsorted(key, own_tail | np.minimum(own_height + window, 255), "right") - low
+    around, widest = np.sort(at), t - (threshold > 1)
+    near = np.searchsorted(around, at[asked] + window, "right") - np.searchsorted(around, at[asked] - window, "left")
+    # those out of the window take widest collisions at most, those within it widest or fewer than needed: the pairs there are at least
+    sure = (number.sum(axis=1) - (size - near) * widest - near * (needed - 1)) / max(1, widest - needed + 1) > most
+    yield *(np.empty(0, np.int64),) * 2, np.empty(0, bool), asked[sure]
+    asked, low, number = asked[~sure], low[~sure], number[~sure]
     later = np.arange(t) >= (tail[asked] == now).argmax(axis=1)[:, None]
     cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(number.sum(axis=1)) // LISTED)) + 1).tolist(), len(asked)]
     for i, j in zip(cuts[:-1], cuts[1:]):
@@ -97,7 +104,9 @@ def meetings(tail: np.ndarray, height: np.ndarray, asked: np.ndarray, now: int,
         row, y = np.divmod(pair[starts], size)
         x, first = asked[i:j][row], code[starts] & 1 == 1
         near = np.abs(at[x] - at[y]) <= window
-        yield x[near], y[near], first[near]
+        crowd = np.bincount(row[near], minlength=j - i) > most
+        near &= ~crowd[row]
+        yield x[near], y[near], first[near], asked[i:j][crowd]
 
 
 def at_least(mean: float, count: int) -> float:
@@ -209,13 +218,12 @@ class SimilarVectors:
             def meet() -> pa.RecordBatch:
                 rep, query, tail, height = (np.concatenate([p[k] for p in part]) for k in range(4))
                 size, out = len(rep), []
-                for x, y, first in meetings(tail, height, np.flatnonzero(query), now, window, threshold):
-                    crowd = np.bincount(x, minlength=size) > enough + 4 * size * chance
-                    kept = first & (rep[x] != rep[y]) & ~crowd[x]
+                for x, y, first, crowded in meetings(tail, height, np.flatnonzero(query), now, window, threshold, enough + 4 * size * chance):
+                    kept = first & (rep[x] != rep[y])
                     x, y = x[kept], y[kept]
                     if both_ways:
                         x, y = np.where(rep[x] < rep[y], x, y), np.where(rep[x] < rep[y], y, x)
-                    out += [x * size + y, np.flatnonzero(crowd) * (size + 1)]
+                    out += [x * size + y, crowded * (size + 1)]
                 a, b = np.divmod(np.unique(np.concatenate(out)) if out else np.empty(0, np.int64), max(1, size))
                 return pa.RecordBatch.from_arrays([pa.array(rep[a], pa.int64()), pa.array(rep[b], pa.int64())], ["a", "b"])
 

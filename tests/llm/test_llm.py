@@ -463,8 +463,9 @@ def test_recall_where_a_third_is_one_crowd(spark, segment):
     assert np.mean(hits[:1000]) > 0.98 and np.mean(hits[1000:]) > 0.95
 
 
-@pytest.mark.parametrize(("window", "threshold"), [(0, 1), (20, 1), (20, 2), (20, 3), (255, 4)])
-def test_meetings_count_every_collision(window, threshold, monkeypatch):
+@pytest.mark.parametrize("most", [5, 20, 1000])
+@pytest.mark.parametrize(("window", "threshold"), [(0, 1), (20, 1), (20, 2), (20, 3), (255, 2), (255, 4)])
+def test_meetings_count_every_collision(window, threshold, most, monkeypatch):
     monkeypatch.setattr(similar, "LISTED", 300)  # several parts
     rng = np.random.default_rng(2)
     now, size, t = 3, 80, 6
@@ -472,7 +473,8 @@ def test_meetings_count_every_collision(window, threshold, monkeypatch):
     height = rng.integers(0, 256, (size, t)).astype(np.uint8)
     height[:30] //= 4
     asked = np.flatnonzero(rng.random(size) < 0.5)
-    got = [(int(x), int(y), bool(f)) for part in similar.meetings(tail, height, asked, now, window, threshold) for x, y, f in zip(*part)]
+    parts = list(similar.meetings(tail, height, asked, now, window, threshold, most))
+    got = [(int(x), int(y), bool(f)) for part in parts for x, y, f in zip(*part[:3])]
     want = set()
     for x in asked.tolist():
         for y in range(size):
@@ -480,6 +482,9 @@ def test_meetings_count_every_collision(window, threshold, monkeypatch):
             hits = [d for d, h in zip(tail[x].tolist(), height[x].tolist()) if d in other and abs(h - other[d]) <= window]
             if now in hits and len(hits) >= threshold:
                 want.add((x, y, hits[0] == now))
+    crowded = {x for x, n in collections.Counter(x for x, _, _ in want).items() if n > most}
+    assert sorted(int(x) for part in parts for x in part[3]) == sorted(crowded)
+    want = {w for w in want if w[0] not in crowded}
     assert len(got) == len(want) and set(got) == want
 
 
